@@ -95,6 +95,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, "orders", _FILES)
 
 
+def changes_of(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """``changes`` over any frame of events, a stream too."""
+    return spark.sql(_CHANGES.format(**SPARK).replace("FROM events", "FROM {events}"), events=events)
+
+
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, "events", _CHANGES)
 

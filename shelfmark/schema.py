@@ -66,13 +66,15 @@ def catalog_from_manifest(
     size: str = "size",
     modified_time: str = "modified_time",
     is_dir: str | None = "is_dir",
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Catalog rows from any listing table (a bucket inventory, an ``fsimage`` dump).
 
     A narrow projection: no shuffle, and only the four named columns are read. Rows without
-    a path are dropped, the other columns get the catalog's null-free defaults.
+    a path are dropped, the other columns get the catalog's null-free defaults; ``keep`` names
+    columns to carry along.
     """
     directory = F.col(is_dir) if is_dir else F.lit(False)
     return df.filter(F.col(path).isNotNull() & (F.col(path) != "")).select(
-        *catalog_row(F.col(path), F.col(size), F.col(modified_time), directory)
+        *catalog_row(F.col(path), F.col(size), F.col(modified_time), directory), *(keep or [])
     )
