@@ -26,7 +26,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.scoring import MEDIUM_BYTES, SMALL_BYTES, score_name, score_size
-from shelfmark.functions.text import like_literal, wildcard_to_like
+from shelfmark.functions.text import for_value, like_literal, wildcard_to_like
 from shelfmark.operators.fuzzy_join import close_pairs
 from shelfmark.operators.prefixes import beginnings, prefix_lengths, with_prefixes
 from shelfmark.operators.query_table import java_regex
@@ -37,6 +37,7 @@ from shelfmark.plans.sizing import (
     broadcast_if_small,
     first_k_per,
     join_hot_keys,
+    keep_known,
 )
 from shelfmark.plans.storage import reliable
 from shelfmark.schema import CATALOG_COLUMNS
@@ -57,13 +58,17 @@ ANY_EXTENSION = "*"
 
 
 def _distinct_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(query_id, qkey)`` for the readable rows, and the distinct settings by ``qkey``."""
+    """``(query_id, qkey)`` for the readable rows, and the distinct settings by ``qkey``.
+
+    The table is read once and kept, because every later step starts from it.
+    """
     usable = queries.filter(F.col("error").isNull()).withColumn(
         "extensions", F.array_sort(F.array_distinct("extensions"))
     )
-    keyed = usable.withColumn("qkey", F.md5(F.to_json(F.struct(*SETTINGS))))
+    key = F.md5(F.to_json(F.struct(*SETTINGS)))
+    keyed = reliable(usable.select("query_id", key.alias("qkey"), *SETTINGS))
     settings = [F.first(c).alias(c) for c in SETTINGS]
-    return keyed.select("query_id", "qkey"), keyed.groupBy("qkey").agg(*settings)
+    return keyed.select("query_id", "qkey"), reliable(keyed.groupBy("qkey").agg(*settings))
 
 
 def required_text(pattern: Column, kind: Column) -> Column:
@@ -111,25 +116,39 @@ def _with_needles(wanted: DataFrame) -> DataFrame:
     )
 
 
-def _verified() -> Column:
+def _verified(with_paths: bool) -> Column:
+    """The match itself; keys are hashes and only bring candidates together."""
     text = F.when(F.col("folds"), F.lower("name")).otherwise(F.col("name"))
-    return (
-        F.when(F.col("type") == "prefix", True)
-        .when(F.col("type") == "exact", F.col("folds") | (F.col("name") == F.col("pattern")))
+    matches = (
+        F.when(F.col("type") == "exact", text == F.col("needle"))
         .when(F.col("type") == "substring", F.contains(text, F.col("needle")))
         .when(F.col("type") == "wildcard", F.like(text, F.col("needle")))
-        .otherwise(F.rlike(F.col("name"), F.col("needle")))
     )
+    if with_paths:
+        matches = matches.when(
+            F.col("type") == "prefix", F.startswith(F.col("path"), F.col("pattern"))
+        )
+    return matches.otherwise(F.rlike(F.col("name"), F.col("needle")))
+
+
+def _key(kind: Column | str, piece: Column) -> Column:
+    return F.xxhash64(F.lit(kind) if isinstance(kind, str) else kind, piece)
 
 
 def _grams(text: Column, size: int, folds: bool) -> Column:
     """Distinct pieces of a text, marked by whether they are folded."""
-    mark = F.lit("folded:" if folds else "plain:")
-    last = F.char_length(text) - (size - 1)
-    pieces = F.transform(
-        F.sequence(F.lit(1), last), lambda i: F.concat(mark, F.substring(text, i, F.lit(size)))
-    )
-    return F.when(last >= 1, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+    kind = "folded" if folds else "plain"
+
+    def pieces(text: Column) -> Column:
+        last = F.char_length(text) - (size - 1)
+        places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.array_distinct(
+            F.transform(places, lambda i: _key(kind, F.substring(text, i, F.lit(size))))
+        )
+
+    return for_value(text, pieces)
 
 
 def _match_keyed(
@@ -142,27 +161,29 @@ def _match_keyed(
     """
     keys = []
     if any(s.type == "exact" for s in shapes):
-        keys.append(F.array(F.concat(F.lit("exact:"), F.lower("name"))))
+        keys.append(F.array(_key("exact", F.lower("name"))))
     if any(s.type == "prefix" for s in shapes):
         lengths = prefix_lengths(wanted.filter(F.col("type") == "prefix"), "pattern")
-        starts = F.transform(beginnings(F.col("path"), lengths), lambda p: F.concat(F.lit("path:"), p))
-        keys.append(starts)
+        starts = beginnings(F.col("path"), lengths)
+        keys.append(F.transform(starts, lambda start: _key("path", start)))
     pieces = sorted({(s.gram_size, s.folds) for s in shapes if s.gram_size})
     for size, folds in pieces:
         keys.append(_grams(F.lower("name") if folds else F.col("name"), size, folds))
-    keyed_names = named.withColumn("key", F.explode(F.concat(*keys)))
+    all_keys = F.concat(*keys)
 
-    first_piece = F.concat(
-        F.when(F.col("folds"), "folded:").otherwise("plain:"),
-        F.substring(F.col("anchor"), F.lit(1), F.col("gram_size")),
-    )
     own = (
-        F.when(F.col("type") == "exact", F.concat(F.lit("exact:"), F.lower("pattern")))
-        .when(F.col("type") == "prefix", F.concat(F.lit("path:"), F.col("pattern")))
-        .otherwise(first_piece)
+        F.when(F.col("type") == "exact", _key("exact", F.lower("pattern")))
+        .when(F.col("type") == "prefix", _key("path", F.col("pattern")))
+        .otherwise(
+            _key(
+                F.when(F.col("folds"), "folded").otherwise("plain"),
+                F.substring(F.col("anchor"), F.lit(1), F.col("gram_size")),
+            )
+        )
     )
     keyed_wanted = wanted.withColumn("key", own)
     if pick_rarest and pieces:
+        keyed_names = named.select("*", F.explode(all_keys).alias("key"))
         options = F.array(F.col("key"))
         for size, folds in pieces:
             same = (F.col("folds") == folds) & (F.col("gram_size") == size)
@@ -176,8 +197,10 @@ def _match_keyed(
             .select("qkey", "best.key")
         )
         keyed_wanted = reliable(keyed_wanted.drop("key").join(rarest, "qkey"))
+    known_keys = keep_known(all_keys, keyed_wanted)
+    keyed_names = named.select("*", F.explode(known_keys).alias("key"))
     met = join_hot_keys(keyed_names, keyed_wanted, "key", broadcast_bytes=broadcast_bytes)
-    return met.filter(_verified())
+    return met.filter(_verified("path" in named.columns))
 
 
 def _match_literals(named: DataFrame, wanted: DataFrame) -> DataFrame | None:
@@ -295,7 +318,6 @@ def search_many(
     """
     files = files.select(*CATALOG_COLUMNS)
     asked, wanted = _distinct_queries(queries)
-    wanted = reliable(wanted)
     small = broadcast_if_small(wanted, broadcast_bytes) is not None
     with_text = wanted.filter(F.col("pattern") != "")
     by_name = with_text.filter(F.col("type") != "prefix")

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.functions.text import as_bytes_text
-from shelfmark.plans.sizing import BROADCAST_BYTES, join_hot_keys
+from shelfmark.functions.text import as_bytes_text, for_value
+from shelfmark.plans.sizing import BROADCAST_BYTES, join_hot_keys, keep_known
 
-ANY = "*"
+# Marks for keys of names that are too short to be cut: any such name, one of its bytes.
+ANY_SHORT, SHORT_BYTE = -1, -2
 
 
 def _piece_bounds(length: Column, distance: Column, index: Column) -> tuple[Column, Column]:
@@ -30,7 +31,8 @@ def _piece_bounds(length: Column, distance: Column, index: Column) -> tuple[Colu
 
 
 def _key(distance: Column, length: Column, index: Column, piece: Column) -> Column:
-    return F.concat_ws("\x00", distance, length, index, piece)
+    """Keys are hashes: short to join on, and a collision is one more pair to verify."""
+    return F.xxhash64(distance, length, index, piece)
 
 
 def _short_keys(text: Column, distance: Column) -> Column:
@@ -38,11 +40,11 @@ def _short_keys(text: Column, distance: Column) -> Column:
     letters = F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda i: F.substring(text, i, F.lit(1)))
     )
-    return F.transform(letters, lambda c: F.concat_ws("\x00", F.lit("short"), distance, c))
+    return F.transform(letters, lambda c: _key(distance, F.lit(SHORT_BYTE), F.lit(0), c))
 
 
 def _any_short(distance: Column) -> Column:
-    return F.concat_ws("\x00", F.lit(ANY), distance)
+    return _key(distance, F.lit(ANY_SHORT), F.lit(0), F.lit(""))
 
 
 def name_keys(text: Column, distance: Column) -> Column:
@@ -88,7 +90,7 @@ def pattern_keys(text: Column, distance: Column) -> Column:
     short = (
         F.when(length <= distance, F.array(_any_short(distance)))
         .when(length <= distance * 2, _short_keys(text, distance))
-        .otherwise(F.array().cast("array<string>"))
+        .otherwise(F.array().cast("array<bigint>"))
     )
     return F.concat(pieces, short)
 
@@ -105,21 +107,26 @@ def close_pairs(
     distances = [r.distance for r in patterns.select("distance").distinct().collect()]
     if not distances:
         distances = [0]
-    spelled = names.withColumn("name_bytes", as_bytes_text(F.col("text"))).drop("text")
-    keyed_names = spelled.withColumn(
-        "key", F.explode(F.flatten(F.array(*[name_keys(F.col("name_bytes"), F.lit(d)) for d in sorted(distances)])))
-    )
-    keyed_patterns = (
-        patterns.withColumn("pattern_bytes", as_bytes_text(F.col("text")))
-        .drop("text")
-        .withColumn("key", F.explode(pattern_keys(F.col("pattern_bytes"), F.col("distance"))))
-    )
+    distances = sorted(distances)
+    name_bytes, pattern_bytes = as_bytes_text(F.col("text")), as_bytes_text(F.col("text"))
+
+    def keys_of_name(text: Column) -> Column:
+        return F.concat(*[name_keys(text, F.lit(d)) for d in distances])
+
+    keys_of_pattern = for_value(pattern_bytes, lambda text: pattern_keys(text, F.col("distance")))
+    keyed_patterns = patterns.select(
+        "*", pattern_bytes.alias("pattern_bytes"), F.explode(keys_of_pattern).alias("key")
+    ).drop("text")
+    keys = keep_known(for_value(name_bytes, keys_of_name), keyed_patterns)
+    keyed_names = names.select(
+        "*", name_bytes.alias("name_bytes"), F.explode(keys).alias("key")
+    ).drop("text")
     candidates = join_hot_keys(
         keyed_names, keyed_patterns, "key", broadcast_bytes=broadcast_bytes
     )
     # The limit of the early-stopping distance must be a literal: one branch per distance.
     close = F.lit(False)
-    for d in sorted(distances):
+    for d in distances:
         hit = F.levenshtein(F.col("name_bytes"), F.col("pattern_bytes"), d) >= 0
         close = F.when(F.col("distance") == d, hit).otherwise(close)
     kept = [c for c in names.columns + patterns.columns if c != "text"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.functions.text import for_value
+
 
 def prefix_lengths(prefixes: DataFrame, column: str = "prefix") -> list[int]:
     """Distinct lengths in characters: at most one per position of the longest path."""
@@ -14,8 +16,12 @@ def prefix_lengths(prefixes: DataFrame, column: str = "prefix") -> list[int]:
 def beginnings(text: Column, lengths: list[int]) -> Column:
     """Array of the text's first n characters, for every n that the text has."""
     array = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
-    fitting = F.filter(array, lambda n: n <= F.char_length(text))
-    return F.transform(fitting, lambda n: F.substring(text, F.lit(1), n))
+
+    def starts(whole: Column) -> Column:
+        fitting = F.filter(array, lambda n: n <= F.char_length(whole))
+        return F.transform(fitting, lambda n: F.substring(whole, F.lit(1), n))
+
+    return for_value(text, starts)
 
 
 def with_prefixes(df: DataFrame, prefixes: DataFrame, column: str = "prefix") -> DataFrame:

@@ -42,14 +42,19 @@ def _values_of(options: Column, *keys: str) -> Column:
     return F.transform(chosen, _option_value)
 
 
-def _bound(sizes: Column, operator: str, strict: str, step: int) -> Column:
-    """Last bound given with one of the two operators; the strict one moves it by a byte."""
-    given = F.filter(
-        sizes, lambda v: F.regexp_extract(v, SIZE_OPTION, 1).isin(operator, strict)
+def _read_size(value: Column) -> Column:
+    """Operator, bytes (NULL if unreadable) and text of one size option."""
+    return F.struct(
+        F.regexp_extract(value, SIZE_OPTION, 1).alias("operator"),
+        parse_size(F.regexp_extract(value, SIZE_OPTION, 2)).alias("bytes"),
+        value.alias("text"),
     )
-    last = _last(given)
-    size = parse_size(F.regexp_extract(last, SIZE_OPTION, 2))
-    return F.when(F.regexp_extract(last, SIZE_OPTION, 1) == strict, size + step).otherwise(size)
+
+
+def _bound(inclusive: str, strict: str, step: int) -> Column:
+    """Last bound given with one of the two operators; the strict one moves it by a byte."""
+    last = _last(F.filter("sizes", lambda size: size["operator"].isin(inclusive, strict)))
+    return last["bytes"] + F.when(last["operator"] == strict, step).otherwise(0)
 
 
 def regex_is_valid(pattern: Column) -> Column:
@@ -101,7 +106,7 @@ def parse_queries(df: DataFrame, query_id: str = "query_id", raw: str = "raw") -
         .otherwise("substring")
         .alias("type"),
         F.regexp_replace("text", TYPE_WORD, "").alias("pattern"),
-        _values_of(F.col("options"), "size").alias("sizes"),
+        F.transform(_values_of(F.col("options"), "size"), _read_size).alias("sizes"),
         _values_of(F.col("options"), "ext", "extension").alias("exts"),
         _values_of(F.col("options"), "case").alias("cases"),
         _values_of(F.col("options"), "fuzzy").alias("distances"),
@@ -119,8 +124,8 @@ def parse_queries(df: DataFrame, query_id: str = "query_id", raw: str = "raw") -
         "*",
         F.coalesce(F.lower(_last(F.col("cases"))) == "true", F.lit(False)).alias("case_sensitive"),
         F.transform(F.filter(listed, lambda e: e != ""), normalize_extension).alias("extensions"),
-        _bound(F.col("sizes"), ">=", ">", 1).alias("min_size"),
-        _bound(F.col("sizes"), "<=", "<", -1).alias("max_size"),
+        _bound(">=", ">", 1).alias("min_size"),
+        _bound("<=", "<", -1).alias("max_size"),
         F.when(
             F.col("type") == "fuzzy",
             F.greatest(
@@ -129,12 +134,7 @@ def parse_queries(df: DataFrame, query_id: str = "query_id", raw: str = "raw") -
         )
         .otherwise(distance)
         .alias("fuzzy_distance"),
-        F.try_element_at(
-            F.filter(
-                "sizes", lambda v: parse_size(F.regexp_extract(v, SIZE_OPTION, 2)).isNull()
-            ),
-            F.lit(1),
-        ).alias("bad_size"),
+        F.try_element_at(F.filter("sizes", lambda size: size["bytes"].isNull()), F.lit(1))["text"].alias("bad_size"),
         F.when((F.col("type") != "regex") | (F.col("pattern") == ""), True)
         .otherwise(regex_is_valid(F.col("pattern")))
         .alias("regex_ok"),

@@ -41,7 +41,7 @@ FROM events
 """
 
 _QUERY_LOG = r"""
-SELECT c_custkey AS query_id, CASE c_custkey % 18
+SELECT c_custkey AS query_id, CASE c_custkey % 20
   WHEN 0 THEN 'config'
   WHEN 1 THEN concat('/urg/cust', CAST(c_custkey % 97 AS {string}))
   WHEN 2 THEN 'test*.md'
@@ -59,6 +59,8 @@ SELECT c_custkey AS query_id, CASE c_custkey % 18
   WHEN 14 THEN '  *.tar.gz   CASE:true Ext:gz '
   WHEN 15 THEN concat('size:<', CAST(1 + c_custkey % 40 AS {string}), 'KB size:>=1.5KB')
   WHEN 16 THEN concat('o', CAST(c_custkey % 10 AS {string}), ' extension:,txt, fuzzy:9 foo:bar size:>=10')
+  WHEN 17 THEN 'regex:^[A-Z]+([.]|$)'
+  WHEN 18 THEN '?????? case:true'
   ELSE 'case:true' END AS raw
 FROM customer
 """
