@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.operators.merge import apply_changes, effective_changes
+from shelfmark.plans.storage import reliable
 from shelfmark.schema import CATALOG_SCHEMA, catalog_from_manifest
 from shelfmark.sources.change_log import filter_ignored
 from shelfmark.sources.snapshot import load_catalog, read_manifest, save_catalog
@@ -45,20 +46,19 @@ def maintain_catalog(
 
     Every micro-batch is first written under its own number, and every ``merge_every``-th one is
     merged with those before it into a new catalog version that records the number; a repeated
-    batch overwrites its own part and is not merged twice. Raise ``merge_every`` where the catalog
+    batch overwrites its own part and is not merged twice. A catalog belongs to one checkpoint,
+    whose batch numbers it records. Raise ``merge_every`` where the catalog
     is large: rewriting it per batch costs far more than reading the waiting changes with it
     (``current_catalog``).
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        applied = read_manifest(spark, folder).applied_batch
-        if batch_id <= applied:
-            return
         batch.drop("settled_at").write.mode("overwrite").parquet(
             f"{folder}/changes/batch_id={batch_id}"
         )
-        if (batch_id + 1) % merge_every == 0:
+        applied = read_manifest(spark, folder).applied_batch
+        if batch_id > applied and (batch_id + 1) % merge_every == 0:
             waiting = _waiting_changes(spark, folder, applied)
             merged = apply_changes(load_catalog(spark, folder), waiting)
             save_catalog(merged, folder, applied_batch=batch_id)
@@ -85,11 +85,12 @@ def deliver_changes(
 ) -> StreamingQuery:
     """Hand each micro-batch to user functions: rows to put in, and paths to take out.
 
-    Both get the batch number and must be repeatable, because a batch may be delivered again.
+    Both get the batch number and must be repeatable, because a batch may be delivered again. The
+    batch is computed once and kept in the shared folder for the two.
     """
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        last = effective_changes(batch)
+        last = reliable(effective_changes(batch))
         writes = F.col("op").isin("create", "modify")
         on_upsert(catalog_from_manifest(last.filter(writes)), batch_id)
         on_delete(last.filter(~writes).select("path"), batch_id)

@@ -1,7 +1,7 @@
 import gzip
 import json
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,7 +273,7 @@ def test_list_files(spark, tree):
     rows = {r.name: r for r in found.collect()}
     assert rows["file3.go"].size == 5 and rows["file3.go"].extension == ".go"
     assert rows["subdir"].is_dir and not rows["link"].is_dir
-    assert abs(rows["file3.go"].modified_time - datetime.utcnow()) < timedelta(minutes=10)
+    assert abs(rows["file3.go"].modified_time - datetime.now(timezone.utc).replace(tzinfo=None)) < timedelta(minutes=10)
     shown = relative(listing.list_files(spark, [tree], skip_dirs=["subdir"], include_hidden=False), tree)
     assert "/subdir" not in shown and "/node_modules/pkg.js" in shown and "/.git" not in shown
     inside = listing.list_files(spark, [tree + "/.git"])
