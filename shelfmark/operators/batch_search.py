@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfmark.functions.scoring import MEDIUM_BYTES, SMALL_BYTES, score_name, score_size
 from shelfmark.functions.text import for_value, like_literal, wildcard_to_like
 from shelfmark.operators.fuzzy_join import close_pairs
-from shelfmark.operators.prefixes import beginnings, prefix_lengths, with_prefixes
+from shelfmark.operators.prefixes import beginnings, with_prefixes
 from shelfmark.operators.query_table import java_regex
 from shelfmark.operators.rank import by_score
 from shelfmark.operators.search import spark_regex
@@ -53,7 +53,7 @@ SETTINGS = [
 ]
 GRAM = 3
 LITERALS_PER_SCAN = 64
-RANGES_PER_SCAN = 256
+RANGES_PER_SCAN = 128
 ANY_EXTENSION = "*"
 
 
@@ -152,7 +152,7 @@ def _grams(text: Column, size: int, folds: bool) -> Column:
 
 
 def _match_keyed(
-    named: DataFrame, wanted: DataFrame, shapes: list, pick_rarest: bool, broadcast_bytes: int
+    named: DataFrame, wanted: DataFrame, shapes: list, pick_rarest: bool
 ) -> DataFrame:
     """Searches that become one equality: exact, prefix and those with required text.
 
@@ -163,7 +163,7 @@ def _match_keyed(
     if any(s.type == "exact" for s in shapes):
         keys.append(F.array(_key("exact", F.lower("name"))))
     if any(s.type == "prefix" for s in shapes):
-        lengths = prefix_lengths(wanted.filter(F.col("type") == "prefix"), "pattern")
+        lengths = sorted({s.length for s in shapes if s.length is not None})
         starts = beginnings(F.col("path"), lengths)
         keys.append(F.transform(starts, lambda start: _key("path", start)))
     pieces = sorted({(s.gram_size, s.folds) for s in shapes if s.gram_size})
@@ -199,7 +199,7 @@ def _match_keyed(
         keyed_wanted = reliable(keyed_wanted.drop("key").join(rarest, "qkey"))
     known_keys = keep_known(all_keys, keyed_wanted)
     keyed_names = named.select("*", F.explode(known_keys).alias("key"))
-    met = join_hot_keys(keyed_names, keyed_wanted, "key", broadcast_bytes=broadcast_bytes)
+    met = join_hot_keys(keyed_names, keyed_wanted, "key", known_small=not pick_rarest)
     return met.filter(_verified("path" in named.columns))
 
 
@@ -223,22 +223,23 @@ def _match_literals(named: DataFrame, wanted: DataFrame) -> DataFrame | None:
 
 
 def match_patterns(
-    named: DataFrame, wanted: DataFrame, pick_rarest: bool, broadcast_bytes: int
+    named: DataFrame, wanted: DataFrame, small: bool, broadcast_bytes: int
 ) -> DataFrame | None:
     """Rows of ``named`` joined with the searches whose pattern matches; ``None`` for none.
 
-    ``named`` has a ``name``, and a ``path`` if there are prefix searches.
+    ``named`` has a ``name``, and a ``path`` if there are prefix searches; ``small`` says that
+    ``wanted`` may be broadcast.
     """
     out = named.columns + ["qkey"] + SETTINGS
     prepared = _with_needles(wanted)
-    shapes = prepared.select("type", "folds", "gram_size").distinct().collect()
+    length = F.when(F.col("type") == "prefix", F.char_length("pattern")).alias("length")
+    distance = F.when(F.col("type") == "fuzzy", F.col("fuzzy_distance")).alias("distance")
+    shapes = prepared.select("type", "folds", "gram_size", length, distance).distinct().collect()
     keyed = F.col("type").isin("exact", "prefix") | (F.col("gram_size") > 0)
     found = None
     if any(s.type in ("exact", "prefix") or s.gram_size for s in shapes):
         keyed_shapes = [s for s in shapes if s.type in ("exact", "prefix") or s.gram_size]
-        met = _match_keyed(
-            named, prepared.filter(keyed), keyed_shapes, pick_rarest, broadcast_bytes
-        )
+        met = _match_keyed(named, prepared.filter(keyed), keyed_shapes, not small)
         found = met.select(*out)
     if any(s.gram_size == 0 for s in shapes):
         scanned = _match_literals(named, prepared.filter(F.col("gram_size") == 0))
@@ -251,6 +252,7 @@ def match_patterns(
                 "distance", F.col("fuzzy_distance")
             ),
             broadcast_bytes,
+            sorted({s.distance for s in shapes if s.type == "fuzzy" and s.folds == folds}),
         )
         found = _union(found, pairs.select(*out))
     return found
@@ -305,7 +307,7 @@ def _filters_only(files: DataFrame, wanted: DataFrame, ranges: list, k: int) ->
         .drop("group", "cell", "low", "high")
     )
     placed = best.withColumn("place", F.struct("group", "cell")).drop("group", "cell")
-    return join_hot_keys(asked, placed, "place", broadcast_bytes=0).drop("place")
+    return join_hot_keys(asked, placed, "place", known_small=False).drop("place")
 
 
 def search_many(
@@ -326,26 +328,26 @@ def search_many(
     out = ["qkey", *SETTINGS, *CATALOG_COLUMNS]
 
     if small:
-        found = match_patterns(files, with_text, False, broadcast_bytes)
+        found = match_patterns(files, with_text, True, broadcast_bytes)
         if found is not None:
             found = found.select(*out).filter(_passes_filters())
     else:
         found = None
         names = reliable(files.select("name").distinct())
-        pairs = match_patterns(names, by_name, True, broadcast_bytes)
+        pairs = match_patterns(names, by_name, False, broadcast_bytes)
         pairs = None if pairs is None else reliable(pairs)
         for ranges, chunk in _range_chunks(pairs):
             cell = _size_cell(F.col("size"), ranges)
             group = ["name", "extension", "is_dir", "cell"]
             best = first_k_per(files.withColumn("cell", cell), group, ["path"], k, "n")
-            part = join_hot_keys(chunk, best.drop("n", "cell"), "name", broadcast_bytes=0)
+            part = join_hot_keys(chunk, best.drop("n", "cell"), "name", known_small=False)
             found = _union(found, part.select(*out).filter(_passes_filters()))
         for ranges, chunk in _range_chunks(by_path):
             cell = _size_cell(F.col("size"), ranges)
             starts = with_prefixes(files.withColumn("cell", cell), chunk, "pattern")
             group = ["pattern", "extension", "is_dir", "cell"]
             best = first_k_per(starts, group, ["path"], k, "n").drop("n", "cell")
-            part = join_hot_keys(chunk, best, "pattern", broadcast_bytes=0)
+            part = join_hot_keys(chunk, best, "pattern", known_small=False)
             found = _union(found, part.select(*out).filter(_passes_filters()))
     for ranges, chunk in _range_chunks(without_text):
         found = _union(found, _filters_only(files, chunk, ranges, k).select(*out))
@@ -354,7 +356,7 @@ def search_many(
         found = files.withColumn("qkey", F.lit("")).join(wanted.limit(0), "qkey").select(*out)
     best = first_k_per(_scored(found), ["qkey"], by_score(), k, "rank")
     results = best.select("qkey", "rank", "score", *CATALOG_COLUMNS)
-    return join_hot_keys(asked, results, "qkey", broadcast_bytes=0).select(
+    return join_hot_keys(asked, results, "qkey", known_small=False).select(
         "query_id", "rank", "score", *CATALOG_COLUMNS
     )
 
@@ -364,7 +366,7 @@ def _union(left: DataFrame | None, right: DataFrame) -> DataFrame:
 
 
 def _range_chunks(wanted: DataFrame | None):
-    """The searches in groups with at most 256 distinct size ranges each."""
+    """The searches in groups with at most 128 distinct size ranges each."""
     if wanted is None:
         return
     rows = wanted.select("min_size", "max_size").distinct().toLocalIterator()

@@ -96,18 +96,21 @@ def pattern_keys(text: Column, distance: Column) -> Column:
 
 
 def close_pairs(
-    names: DataFrame, patterns: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+    names: DataFrame,
+    patterns: DataFrame,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    distances: list[int] | None = None,
 ) -> DataFrame:
     """Pairs of rows whose ``text`` columns are within the pattern row's ``distance`` (int).
 
-    Every other column of both sides is kept; both sides must have distinct rows. Candidates are
+    ``distances`` are those that occur, if the caller knows them. Every other column of both sides
+    is kept; both sides must have distinct rows. Candidates are
     verified where they are found; only true pairs, met once per shared key, are shuffled to drop
     the repeats.
     """
-    distances = [r.distance for r in patterns.select("distance").distinct().collect()]
-    if not distances:
-        distances = [0]
-    distances = sorted(distances)
+    if distances is None:
+        rows = patterns.select("distance").distinct().collect()
+        distances = sorted(row.distance for row in rows) or [0]
     name_bytes, pattern_bytes = as_bytes_text(F.col("text")), as_bytes_text(F.col("text"))
 
     def keys_of_name(text: Column) -> Column:
@@ -143,4 +146,4 @@ def fuzzy_join(names: DataFrame, patterns: DataFrame, distance: int) -> DataFram
     right = patterns.select("pattern").distinct().select(
         "pattern", F.col("pattern").alias("text"), F.lit(distance).alias("distance")
     )
-    return close_pairs(left, right).select("name", "pattern")
+    return close_pairs(left, right, distances=[distance]).select("name", "pattern")

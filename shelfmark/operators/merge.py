@@ -6,8 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from shelfmark.operators.search import present_paths
 from shelfmark.plans.sizing import broadcast_if_small
-from shelfmark.schema import CATALOG_COLUMNS
+from shelfmark.plans.storage import reliable
+from shelfmark.schema import CATALOG_COLUMNS, catalog_from_manifest
 
 
 def latest_per_path(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
@@ -33,12 +35,18 @@ def upsert(catalog: DataFrame, rows: DataFrame, order: list[str] | None = None)
 
     Without ``order`` the rows must have distinct paths.
     """
-    given = rows.filter(F.col("path") != "")
-    if order:
-        given = latest_per_path(given, order, CATALOG_COLUMNS + [c for c in order if c not in CATALOG_COLUMNS])
+    given = _one_per_path(rows.filter(F.col("path") != ""), order)
     return replace_paths(catalog, given, given)
 
 
+def _one_per_path(rows: DataFrame, order: list[str] | None) -> DataFrame:
+    """The last row of every path, computed once: the merge reads it several times."""
+    if not order:
+        return rows
+    extra = [c for c in order if c not in CATALOG_COLUMNS]
+    return reliable(latest_per_path(rows, order, CATALOG_COLUMNS + extra))
+
+
 def union_last_wins(frames: list[DataFrame]) -> DataFrame:
     """Union of catalogs; where a path repeats, the row of the later frame stays."""
     numbered = [
@@ -57,12 +65,16 @@ def update_existing(
 
     Returns the catalog and a report ``(path, found)`` with one row per given path.
     """
-    given = rows
-    if order:
-        given = latest_per_path(rows, order, CATALOG_COLUMNS + [c for c in order if c not in CATALOG_COLUMNS])
-    report = found_report(catalog, given.select("path"))
-    known = given.join(report.filter("found").select("path"), "path", "left_semi")
-    return replace_paths(catalog, known, known), report
+    given = _one_per_path(rows.filter(F.col("path") != ""), order).select(*CATALOG_COLUMNS)
+    others = [c for c in CATALOG_COLUMNS if c != "path"]
+    replacement = given.select("path", F.struct(*others).alias("given"))
+    small = broadcast_if_small(replacement)
+    joined = catalog.join(replacement if small is None else small, "path", "left")
+    updated = joined.select(
+        "path",
+        *[F.when(F.col("given").isNull(), F.col(c)).otherwise(F.col("given")[c]).alias(c) for c in others],
+    )
+    return updated, found_report(catalog, given)
 
 
 def found_report(catalog: DataFrame, paths: DataFrame) -> DataFrame:
@@ -71,9 +83,8 @@ def found_report(catalog: DataFrame, paths: DataFrame) -> DataFrame:
     The catalog is narrowed to those paths first, by broadcast when they are few.
     """
     asked = paths.select("path").distinct()
-    small = broadcast_if_small(asked)
-    present = catalog.select("path").join(asked if small is None else small, "path", "left_semi")
-    return asked.join(present.withColumn("found", F.lit(True)), "path", "left").select(
+    present = present_paths(catalog, asked).withColumn("found", F.lit(True))
+    return asked.join(present, "path", "left").select(
         "path", F.coalesce("found", F.lit(False)).alias("found")
     )
 
@@ -103,8 +114,6 @@ def apply_changes(catalog: DataFrame, changes: DataFrame) -> DataFrame:
 
     Only the order within a path matters, so the result does not depend on partitioning.
     """
-    from shelfmark.schema import catalog_from_manifest
-
-    last = effective_changes(changes)
+    last = reliable(effective_changes(changes))
     written = last.filter(F.col("op").isin("create", "modify"))
     return replace_paths(catalog, last, catalog_from_manifest(written))

@@ -16,6 +16,7 @@ from shelfmark.functions.naming import dotted, stem_of
 from shelfmark.functions.predicates import has_any_extension, matches_extension
 from shelfmark.functions.text import like_literal, within_distance
 from shelfmark.operators.rank import by_score, with_score
+from shelfmark.plans.sizing import broadcast_if_small
 
 # Fuzzy distance used when none is given, and its limits.
 DEFAULT_FUZZY_DISTANCE, MIN_FUZZY_DISTANCE, MAX_FUZZY_DISTANCE = 2, 1, 5
@@ -143,9 +144,19 @@ def contains_path(df: DataFrame, path: str) -> DataFrame:
     return found.agg((F.count(F.lit(1)) > 0).alias("found"))
 
 
+def present_paths(df: DataFrame, asked: DataFrame) -> DataFrame:
+    """The distinct asked paths that the catalog has.
+
+    When they are few they filter the scan by broadcast and the catalog is not shuffled.
+    """
+    small = broadcast_if_small(asked)
+    return df.select("path").join(asked if small is None else small, "path", "left_semi")
+
+
 def contains_paths(df: DataFrame, paths: DataFrame) -> DataFrame:
     """The rows of ``paths`` whose path is in the catalog."""
-    return paths.join(df.select("path"), "path", "left_semi")
+    present = present_paths(df, paths.select("path").distinct())
+    return paths.join(present, "path", "left_semi")
 
 
 def all_files(df: DataFrame) -> DataFrame:

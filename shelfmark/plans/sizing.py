@@ -50,16 +50,18 @@ def join_hot_keys(
     key: str,
     rows_per_task: int = ROWS_PER_TASK,
     broadcast_bytes: int = BROADCAST_BYTES,
+    known_small: bool | None = None,
 ) -> DataFrame:
     """Inner join where one key may hold a large part of ``many`` and fewer rows of ``few``.
 
-    A small ``few`` is broadcast (``broadcast_bytes=0`` skips the measurement). Otherwise the rows
-    of hot keys are cut into slices by a hash of the row, and their rows in ``few`` are repeated
-    per slice, so no task gets a whole hot key.
+    A small ``few`` is broadcast; its size is measured unless the caller knows the answer.
+    Otherwise the rows of hot keys are cut into slices by a hash of the row, and their rows in
+    ``few`` are repeated per slice, so no task gets a whole hot key.
     """
-    small = broadcast_if_small(few, broadcast_bytes) if broadcast_bytes else None
-    if small is not None:
-        return many.join(small, key)
+    if known_small is None:
+        known_small = broadcast_if_small(few, broadcast_bytes) is not None
+    if known_small:
+        return many.join(F.broadcast(few), key)
     hot = hot_keys(many, key, rows_per_task)
     if hot is None:
         return many.join(few, key)
