@@ -105,10 +105,10 @@ def query_type_name(code: Column) -> Column:
     return _name_of(code, QUERY_TYPES, "unknown")
 
 
-def for_value(value: Column, function) -> Column:
-    """``function(value)`` for a function to an array, with the value computed once.
+def for_value(value: str, array: str) -> str:
+    """SQL for an array expression over ``t``, with the expression for ``t`` computed once per row.
 
     Inside a lambda a column expression is computed again for every element, unless it is itself
     the argument of an outer lambda.
     """
-    return F.flatten(F.transform(F.array(value), function))
+    return f"flatten(transform(array({value}), t -> {array}))"

@@ -19,9 +19,7 @@ cells are the size ranges between the bounds that occur, so this loses nothing.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import islice
-from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -131,24 +129,16 @@ def _verified(with_paths: bool) -> Column:
     return matches.otherwise(F.rlike(F.col("name"), F.col("needle")))
 
 
-def _key(kind: Column | str, piece: Column) -> Column:
-    return F.xxhash64(F.lit(kind) if isinstance(kind, str) else kind, piece)
-
-
-def _grams(text: Column, size: int, folds: bool) -> Column:
-    """Distinct pieces of a text, marked by whether they are folded."""
+def _grams(text: str, size: int, folds: bool) -> str:
+    """SQL array of the keys of a text's distinct pieces."""
     kind = "folded" if folds else "plain"
-
-    def pieces(text: Column) -> Column:
-        last = F.char_length(text) - (size - 1)
-        places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.array_distinct(
-            F.transform(places, lambda i: _key(kind, F.substring(text, i, F.lit(size))))
-        )
-
-    return for_value(text, pieces)
+    places = (
+        f"IF(char_length(t) >= {size}, sequence(1, char_length(t) - {size - 1}), "
+        "CAST(array() AS ARRAY<INT>))"
+    )
+    return for_value(
+        text, f"array_distinct(transform({places}, i -> xxhash64('{kind}', substring(t, i, {size}))))"
+    )
 
 
 def _match_keyed(
@@ -161,33 +151,27 @@ def _match_keyed(
     """
     keys = []
     if any(s.type == "exact" for s in shapes):
-        keys.append(F.array(_key("exact", F.lower("name"))))
+        keys.append("array(xxhash64('exact', lower(name)))")
     if any(s.type == "prefix" for s in shapes):
         lengths = sorted({s.length for s in shapes if s.length is not None})
-        starts = beginnings(F.col("path"), lengths)
-        keys.append(F.transform(starts, lambda start: _key("path", start)))
+        keys.append(f"transform({beginnings('path', lengths)}, p -> xxhash64('path', p))")
     pieces = sorted({(s.gram_size, s.folds) for s in shapes if s.gram_size})
     for size, folds in pieces:
-        keys.append(_grams(F.lower("name") if folds else F.col("name"), size, folds))
-    all_keys = F.concat(*keys)
-
-    own = (
-        F.when(F.col("type") == "exact", _key("exact", F.lower("pattern")))
-        .when(F.col("type") == "prefix", _key("path", F.col("pattern")))
-        .otherwise(
-            _key(
-                F.when(F.col("folds"), "folded").otherwise("plain"),
-                F.substring(F.col("anchor"), F.lit(1), F.col("gram_size")),
-            )
-        )
+        keys.append(_grams("lower(name)" if folds else "name", size, folds))
+    all_keys = f"concat({', '.join(keys)})"
+
+    own = F.expr(
+        "CASE type WHEN 'exact' THEN xxhash64('exact', lower(pattern)) "
+        "WHEN 'prefix' THEN xxhash64('path', pattern) "
+        "ELSE xxhash64(IF(folds, 'folded', 'plain'), substring(anchor, 1, gram_size)) END"
     )
     keyed_wanted = wanted.withColumn("key", own)
     if pick_rarest and pieces:
-        keyed_names = named.select("*", F.explode(all_keys).alias("key"))
+        keyed_names = named.selectExpr("*", f"explode({all_keys}) AS key")
         options = F.array(F.col("key"))
         for size, folds in pieces:
             same = (F.col("folds") == folds) & (F.col("gram_size") == size)
-            options = F.when(same, _grams(F.col("anchor"), size, folds)).otherwise(options)
+            options = F.when(same, F.expr(_grams("anchor", size, folds))).otherwise(options)
         frequency = keyed_names.groupBy("key").agg(F.count(F.lit(1)).alias("names"))
         rarest = (
             keyed_wanted.select("qkey", F.explode(options).alias("key"))
@@ -198,7 +182,7 @@ def _match_keyed(
         )
         keyed_wanted = reliable(keyed_wanted.drop("key").join(rarest, "qkey"))
     known_keys = keep_known(all_keys, keyed_wanted)
-    keyed_names = named.select("*", F.explode(known_keys).alias("key"))
+    keyed_names = named.selectExpr("*", f"explode({known_keys}) AS key")
     met = join_hot_keys(keyed_names, keyed_wanted, "key", known_small=not pick_rarest)
     return met.filter(_verified("path" in named.columns))
 
@@ -275,25 +259,25 @@ def _scored(df: DataFrame) -> DataFrame:
     return df.withColumn("score", score.cast("int"))
 
 
-def _size_cell(size: Column, ranges: list) -> Column:
+def _size_cell(size: str, ranges: list) -> Column:
     """Number of the range between two neighbouring bounds that a size lies in."""
     cuts = {SMALL_BYTES, MEDIUM_BYTES}
     cuts |= {r.min_size for r in ranges if r.min_size is not None}
     cuts |= {r.max_size + 1 for r in ranges if r.max_size is not None}
-    return reduce(add, [(size >= c).cast("int") for c in sorted(cuts)])
+    return F.expr(" + ".join(f"CAST({size} >= {cut} AS INT)" for cut in sorted(cuts)))
 
 
 def _filters_only(files: DataFrame, wanted: DataFrame, ranges: list, k: int) -> DataFrame:
     """Searches without a pattern: path order, so the first k paths per cell are enough."""
-    celled = files.filter(~F.col("is_dir")).withColumn("cell", _size_cell(F.col("size"), ranges))
+    celled = files.filter(~F.col("is_dir")).withColumn("cell", _size_cell("size", ranges))
     per_extension = first_k_per(celled, ["extension", "cell"], ["path"], k, "n").drop("n")
     per_cell = first_k_per(per_extension, ["cell"], ["path"], k, "n").drop("n")
     best = per_extension.withColumn("group", F.col("extension")).unionByName(
         per_cell.withColumn("group", F.lit(ANY_EXTENSION))
     )
     top = len(ranges) * 2 + 2
-    low = F.when(F.col("min_size").isNull(), 0).otherwise(_size_cell(F.col("min_size"), ranges))
-    high = F.when(F.col("max_size").isNull(), top).otherwise(_size_cell(F.col("max_size"), ranges))
+    low = F.when(F.col("min_size").isNull(), 0).otherwise(_size_cell("min_size", ranges))
+    high = F.when(F.col("max_size").isNull(), top).otherwise(_size_cell("max_size", ranges))
     groups = F.when(F.size("extensions") == 0, F.array(F.lit(ANY_EXTENSION))).otherwise(
         F.col("extensions")
     )
@@ -337,13 +321,13 @@ def search_many(
         pairs = match_patterns(names, by_name, False, broadcast_bytes)
         pairs = None if pairs is None else reliable(pairs)
         for ranges, chunk in _range_chunks(pairs):
-            cell = _size_cell(F.col("size"), ranges)
+            cell = _size_cell("size", ranges)
             group = ["name", "extension", "is_dir", "cell"]
             best = first_k_per(files.withColumn("cell", cell), group, ["path"], k, "n")
             part = join_hot_keys(chunk, best.drop("n", "cell"), "name", known_small=False)
             found = _union(found, part.select(*out).filter(_passes_filters()))
         for ranges, chunk in _range_chunks(by_path):
-            cell = _size_cell(F.col("size"), ranges)
+            cell = _size_cell("size", ranges)
             starts = with_prefixes(files.withColumn("cell", cell), chunk, "pattern")
             group = ["pattern", "extension", "is_dir", "cell"]
             best = first_k_per(starts, group, ["path"], k, "n").drop("n", "cell")

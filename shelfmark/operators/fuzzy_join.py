@@ -10,89 +10,51 @@ longer than d must share one with them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.functions.text import as_bytes_text, for_value
+from shelfmark.functions.text import for_value
 from shelfmark.plans.sizing import BROADCAST_BYTES, join_hot_keys, keep_known
 
 # Marks for keys of names that are too short to be cut: any such name, one of its bytes.
 ANY_SHORT, SHORT_BYTE = -1, -2
 
+# The key expressions are SQL over a text ``t`` of one character per byte and a distance ``{d}``.
+# Keys are hashes: short to join on, and a collision is one more pair to verify. Piece ``i`` of a
+# name of ``n`` bytes: pieces are even, the last ones a byte longer.
+_FIRST_LONGER = "({d} + 1 - n % ({d} + 1))"
+_START = f"CAST(n div ({{d}} + 1) * i + greatest(0, i - {_FIRST_LONGER}) AS INT)"
+_SIZE = f"CAST(n div ({{d}} + 1) + IF(i >= {_FIRST_LONGER}, 1, 0) AS INT)"
+_ANY = f"xxhash64({{d}}, {ANY_SHORT}, 0, '')"
+_BYTES = f"""
+  transform(array_distinct(transform(sequence(1, char_length(t)), p -> substring(t, p, 1))),
+            c -> xxhash64({{d}}, {SHORT_BYTE}, 0, c))"""
+_NO_INTS, _NO_KEYS = "CAST(array() AS ARRAY<INT>)", "CAST(array() AS ARRAY<BIGINT>)"
+
+_NAME_KEYS = f"""
+IF(char_length(t) > {{d}},
+  flatten(transform(array(char_length(t)), n ->
+    transform(sequence(0, {{d}}), i -> xxhash64({{d}}, n, i, substring(t, {_START} + 1, {_SIZE}))))),
+  concat(array({_ANY}), IF(t = '', {_NO_KEYS}, {_BYTES})))
+"""
 
-def _piece_bounds(length: Column, distance: Column, index: Column) -> tuple[Column, Column]:
-    """Start (from 0) and size of a piece: pieces are even, the last ones a byte longer."""
-    count = distance + 1
-    base = F.floor(length / count).cast("int")
-    longer = F.pmod(length, count).cast("int")
-    first_longer = count - longer
-    start = base * index + F.greatest(F.lit(0), index - first_longer)
-    size = base + F.when(index >= first_longer, 1).otherwise(0)
-    return start, size
-
-
-def _key(distance: Column, length: Column, index: Column, piece: Column) -> Column:
-    """Keys are hashes: short to join on, and a collision is one more pair to verify."""
-    return F.xxhash64(distance, length, index, piece)
-
-
-def _short_keys(text: Column, distance: Column) -> Column:
-    """One key per different byte."""
-    letters = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda i: F.substring(text, i, F.lit(1)))
-    )
-    return F.transform(letters, lambda c: _key(distance, F.lit(SHORT_BYTE), F.lit(0), c))
-
-
-def _any_short(distance: Column) -> Column:
-    return _key(distance, F.lit(ANY_SHORT), F.lit(0), F.lit(""))
-
-
-def name_keys(text: Column, distance: Column) -> Column:
-    """Keys of a name (as one character per byte) for one distance."""
-    length = F.char_length(text)
-
-    def piece(index: Column) -> Column:
-        start, size = _piece_bounds(length, distance, index)
-        return _key(distance, length, index, F.substring(text, start + 1, size))
-
-    pieces = F.transform(F.sequence(F.lit(0), distance), piece)
-    short = F.when(length == 0, F.array(_any_short(distance))).otherwise(
-        F.concat(F.array(_any_short(distance)), _short_keys(text, distance))
-    )
-    return F.when(length > distance, pieces).otherwise(short)
-
-
-def pattern_keys(text: Column, distance: Column) -> Column:
-    """Keys of every name that could be within the distance of the pattern."""
-    length = F.char_length(text)
-
-    def of_length(n: Column) -> Column:
-        shift = length - n
-
-        def of_piece(index: Column) -> Column:
-            start, size = _piece_bounds(n, distance, index)
-            low = F.greatest(F.lit(0), start - F.floor((distance - shift) / 2).cast("int"))
-            high = F.least(length - size, start + F.floor((distance + shift) / 2).cast("int"))
-            places = F.when(high >= low, F.sequence(low, high)).otherwise(
-                F.array().cast("array<int>")
-            )
-            return F.transform(
-                places, lambda p: _key(distance, n, index, F.substring(text, p + 1, size))
-            )
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), distance), of_piece))
-
-    shortest = F.greatest(distance + 1, length - distance)
-    lengths = F.when(
-        length + distance >= shortest, F.sequence(shortest, length + distance)
-    ).otherwise(F.array().cast("array<int>"))
-    pieces = F.array_distinct(F.flatten(F.transform(lengths, of_length)))
-    short = (
-        F.when(length <= distance, F.array(_any_short(distance)))
-        .when(length <= distance * 2, _short_keys(text, distance))
-        .otherwise(F.array().cast("array<bigint>"))
-    )
-    return F.concat(pieces, short)
+# Where a piece can have moved to in the pattern: the bytes before and after it differ in number
+# by the shift, and all differences together are at most the distance.
+_SHIFT = "(char_length(t) - n)"
+_LOW = f"greatest(0, {_START} - CAST(floor(({{d}} - {_SHIFT}) / 2) AS INT))"
+_HIGH = f"least(char_length(t) - {_SIZE}, {_START} + CAST(floor(({{d}} + {_SHIFT}) / 2) AS INT))"
+_SHORTEST = "greatest({d} + 1, char_length(t) - {d})"
+
+_PATTERN_KEYS = f"""
+concat(
+  array_distinct(flatten(transform(
+    IF(char_length(t) + {{d}} >= {_SHORTEST}, sequence({_SHORTEST}, char_length(t) + {{d}}), {_NO_INTS}), n ->
+    flatten(transform(sequence(0, {{d}}), i ->
+      transform(IF({_HIGH} >= {_LOW}, sequence({_LOW}, {_HIGH}), {_NO_INTS}),
+                p -> xxhash64({{d}}, n, i, substring(t, p + 1, {_SIZE})))))))),
+  CASE WHEN char_length(t) <= {{d}} THEN array({_ANY})
+       WHEN char_length(t) <= 2 * {{d}} THEN {_BYTES}
+       ELSE {_NO_KEYS} END)
+"""
 
 
 def close_pairs(
@@ -111,18 +73,15 @@ def close_pairs(
     if distances is None:
         rows = patterns.select("distance").distinct().collect()
         distances = sorted(row.distance for row in rows) or [0]
-    name_bytes, pattern_bytes = as_bytes_text(F.col("text")), as_bytes_text(F.col("text"))
-
-    def keys_of_name(text: Column) -> Column:
-        return F.concat(*[name_keys(text, F.lit(d)) for d in distances])
-
-    keys_of_pattern = for_value(pattern_bytes, lambda text: pattern_keys(text, F.col("distance")))
-    keyed_patterns = patterns.select(
-        "*", pattern_bytes.alias("pattern_bytes"), F.explode(keys_of_pattern).alias("key")
+    as_bytes = "decode(encode(text, 'UTF-8'), 'ISO-8859-1')"
+    pattern_keys = for_value(as_bytes, _PATTERN_KEYS.format(d="distance"))
+    keyed_patterns = patterns.selectExpr(
+        "*", f"{as_bytes} AS pattern_bytes", f"explode({pattern_keys}) AS key"
     ).drop("text")
-    keys = keep_known(for_value(name_bytes, keys_of_name), keyed_patterns)
-    keyed_names = names.select(
-        "*", name_bytes.alias("name_bytes"), F.explode(keys).alias("key")
+    name_keys = ", ".join(_NAME_KEYS.format(d=d) for d in distances)
+    keys = keep_known(for_value(as_bytes, f"concat({name_keys})"), keyed_patterns)
+    keyed_names = names.selectExpr(
+        "*", f"{as_bytes} AS name_bytes", f"explode({keys}) AS key"
     ).drop("text")
     candidates = join_hot_keys(
         keyed_names, keyed_patterns, "key", broadcast_bytes=broadcast_bytes

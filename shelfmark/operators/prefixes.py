@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.functions.text import for_value
 
@@ -13,18 +13,14 @@ def prefix_lengths(prefixes: DataFrame, column: str = "prefix") -> list[int]:
     return sorted(row.n for row in rows)
 
 
-def beginnings(text: Column, lengths: list[int]) -> Column:
-    """Array of the text's first n characters, for every n that the text has."""
-    array = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
-
-    def starts(whole: Column) -> Column:
-        fitting = F.filter(array, lambda n: n <= F.char_length(whole))
-        return F.transform(fitting, lambda n: F.substring(whole, F.lit(1), n))
-
-    return for_value(text, starts)
+def beginnings(column: str, lengths: list[int]) -> str:
+    """SQL array of a text's first n characters, for every n that the text has."""
+    numbers = f"CAST(array({', '.join(map(str, lengths))}) AS ARRAY<INT>)"
+    fitting = f"filter({numbers}, n -> n <= char_length(t))"
+    return for_value(column, f"transform({fitting}, n -> substring(t, 1, n))")
 
 
 def with_prefixes(df: DataFrame, prefixes: DataFrame, column: str = "prefix") -> DataFrame:
     """One row per path and occurring prefix length, with the path's beginning as ``column``."""
     lengths = prefix_lengths(prefixes, column)
-    return df.select("*", F.explode(beginnings(F.col("path"), lengths)).alias(column))
+    return df.selectExpr("*", f"explode({beginnings('path', lengths)}) AS {column}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 # A broadcast copy is held by every executor; 32 MiB of text is a few hundred MiB as a hash table.
 BROADCAST_BYTES = 32 << 20
@@ -91,12 +91,12 @@ def first_k_per(df: DataFrame, keys: list[str], order: list, k: int, rank: str)
     return first(df, keys)
 
 
-def keep_known(keys: Column, wanted: DataFrame, key: str = "key") -> Column:
-    """An array of keys without those that ``wanted`` does not have, if it has few.
+def keep_known(keys: str, wanted: DataFrame, key: str = "key") -> str:
+    """SQL for an array of keys without those that ``wanted`` does not have, if it has few.
 
     Dropping them before ``explode`` saves a row each; with many keys the array stays as it is.
     """
     known = wanted.select(key).distinct().limit(LITERAL_KEYS + 1).collect()
-    if len(known) > LITERAL_KEYS:
+    if not 0 < len(known) <= LITERAL_KEYS:
         return keys
-    return F.filter(keys, lambda k: k.isin([row[0] for row in known]))
+    return f"filter({keys}, k -> k IN ({', '.join(f'{row[0]}L' for row in known)}))"
