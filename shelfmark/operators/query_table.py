@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.functions.naming import normalize_extension
 from shelfmark.functions.text import parse_size
 from shelfmark.operators.search import (
     DEFAULT_FUZZY_DISTANCE,
@@ -16,6 +15,7 @@ from shelfmark.operators.search import (
     MIN_FUZZY_DISTANCE,
     UNSUPPORTED_REGEX,
 )
+from shelfmark.schema import QUERY_SCHEMA
 
 # Leading words that set the query type.
 TYPE_WORDS = ["regex", "fuzzy", "exact"]
@@ -23,23 +23,8 @@ TYPE_WORD = f"^({'|'.join(TYPE_WORDS)}):"
 
 SIZE_OPTION = r"^(>=|<=|>|<)(.*)\z"
 
-
-def _option_key(token: Column) -> Column:
-    return F.lower(F.substring_index(token, ":", 1))
-
-
-def _option_value(token: Column) -> Column:
-    return F.regexp_extract(token, r"(?s)^[^:]*:(.*)\z", 1)
-
-
-def _last(values: Column) -> Column:
-    """Last element, NULL for an empty array: of repeated options the later one counts."""
-    return F.try_element_at(values, F.lit(-1))
-
-
-def _values_of(options: Column, *keys: str) -> Column:
-    chosen = F.filter(options, lambda token: _option_key(token).isin(*keys))
-    return F.transform(chosen, _option_value)
+# A token that belongs to the pattern: one without a colon, or a first one with a type word.
+_IS_PATTERN = f"(NOT contains(t, ':') OR (i = 0 AND t RLIKE r'{TYPE_WORD}'))"
 
 
 def _read_size(value: Column) -> Column:
@@ -51,10 +36,21 @@ def _read_size(value: Column) -> Column:
     )
 
 
-def _bound(inclusive: str, strict: str, step: int) -> Column:
-    """Last bound given with one of the two operators; the strict one moves it by a byte."""
-    last = _last(F.filter("sizes", lambda size: size["operator"].isin(inclusive, strict)))
-    return last["bytes"] + F.when(last["operator"] == strict, step).otherwise(0)
+def _last(array: str) -> str:
+    """SQL for the last element, NULL for an empty array: of repeated options the later counts."""
+    return f"try_element_at({array}, -1)"
+
+
+def _values_of(*keys: str) -> str:
+    """SQL for the values of the options with one of the keys."""
+    listed = ", ".join(f"'{key}'" for key in keys)
+    return f"transform(filter(options, o -> o.key IN ({listed})), o -> o.value)"
+
+
+def _bound(inclusive: str, strict: str, step: str) -> str:
+    """SQL for the last bound with one of the two operators; the strict one moves it by a byte."""
+    last = _last(f"filter(sizes, s -> s.operator IN ('{inclusive}', '{strict}'))")
+    return f"{last}.bytes + IF({last}.operator = '{strict}', {step}, 0)"
 
 
 def regex_is_valid(pattern: Column) -> Column:
@@ -79,93 +75,54 @@ def parse_queries(df: DataFrame, query_id: str = "query_id", raw: str = "raw") -
     starts with ``regex:``, ``fuzzy:`` or ``exact:`` belongs to the pattern and sets the type. A
     text of effective filters alone has the pattern ``''`` and selects by filter only.
     """
-    text = F.coalesce(F.col(raw), F.lit(""))
-    tokens = df.select(
-        F.col(query_id).cast("bigint").alias("query_id"),
-        F.col(raw).alias("raw"),
-        F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "").alias("tokens"),
-    )
-
-    def is_pattern(token: Column, index: Column) -> Column:
-        return ~F.contains(token, F.lit(":")) | ((index == 0) & token.rlike(TYPE_WORD))
-
-    split = tokens.select(
+    split = df.selectExpr(
+        f"CAST({query_id} AS BIGINT) AS query_id",
+        f"{raw} AS raw",
+        f"filter(split(coalesce({raw}, ''), r'(?U)\\s+'), t -> t <> '') AS tokens",
+    ).selectExpr(
         "query_id",
         "raw",
-        (F.size("tokens") == 0).alias("blank"),
-        F.array_join(F.filter("tokens", is_pattern), " ").alias("text"),
-        F.filter("tokens", lambda t, i: ~is_pattern(t, i)).alias("options"),
-    )
-
-    word = F.regexp_extract("text", TYPE_WORD, 1)
-    sized = split.select(
-        "*",
-        F.when(word != "", word)
-        .when(F.col("text").rlike(r"^[/\\]"), "prefix")
-        .when(F.col("text").rlike(r"[*?]"), "wildcard")
-        .otherwise("substring")
-        .alias("type"),
-        F.regexp_replace("text", TYPE_WORD, "").alias("pattern"),
-        F.transform(_values_of(F.col("options"), "size"), _read_size).alias("sizes"),
-        _values_of(F.col("options"), "ext", "extension").alias("exts"),
-        _values_of(F.col("options"), "case").alias("cases"),
-        _values_of(F.col("options"), "fuzzy").alias("distances"),
+        "size(tokens) = 0 AS blank",
+        f"array_join(filter(tokens, (t, i) -> {_IS_PATTERN}), ' ') AS text",
+        f"""transform(filter(tokens, (t, i) -> NOT {_IS_PATTERN}), t -> struct(
+              lower(substring_index(t, ':', 1)) AS key,
+              regexp_extract(t, r'(?s)^[^:]*:(.*)\\z', 1) AS value)) AS options""",
     )
-
-    numbers = F.filter(
-        F.transform(
-            "distances", lambda v: F.regexp_extract(v, r"^([+-]?[0-9]+)", 1).try_cast("int")
-        ),
-        lambda n: n.isNotNull(),
-    )
-    distance = F.coalesce(_last(numbers), F.lit(DEFAULT_FUZZY_DISTANCE))
-    listed = F.transform(F.split(F.coalesce(_last(F.col("exts")), F.lit("")), ","), F.trim)
-    settings = sized.select(
-        "*",
-        F.coalesce(F.lower(_last(F.col("cases"))) == "true", F.lit(False)).alias("case_sensitive"),
-        F.transform(F.filter(listed, lambda e: e != ""), normalize_extension).alias("extensions"),
-        _bound(">=", ">", 1).alias("min_size"),
-        _bound("<=", "<", -1).alias("max_size"),
-        F.when(
-            F.col("type") == "fuzzy",
-            F.greatest(
-                F.lit(MIN_FUZZY_DISTANCE), F.least(F.lit(MAX_FUZZY_DISTANCE), distance)
-            ),
-        )
-        .otherwise(distance)
-        .alias("fuzzy_distance"),
-        F.try_element_at(F.filter("sizes", lambda size: size["bytes"].isNull()), F.lit(1))["text"].alias("bad_size"),
-        F.when((F.col("type") != "regex") | (F.col("pattern") == ""), True)
-        .otherwise(regex_is_valid(F.col("pattern")))
-        .alias("regex_ok"),
-    )
-
-    filtered = (
-        (F.size("extensions") > 0)
-        | F.col("min_size").isNotNull()
-        | F.col("max_size").isNotNull()
-    )
-    filters_only = (F.col("type") == "substring") & filtered
-    error = (
-        F.when(F.col("blank"), "query cannot be empty")
-        .when(
-            F.col("bad_size").isNotNull(),
-            F.concat(F.lit("invalid size filter '"), F.col("bad_size"), F.lit("'")),
-        )
-        .when((F.trim("pattern") == "") & ~filters_only, "search pattern cannot be empty")
-        .when(~F.col("regex_ok"), "invalid regex pattern")
-    )
-    return settings.select(
+    read = split.withColumn("sizes", F.transform(F.expr(_values_of("size")), _read_size))
+    limits = f"{MIN_FUZZY_DISTANCE}, least({MAX_FUZZY_DISTANCE}, distance)"
+    settings = read.selectExpr(
         "query_id",
         "raw",
-        "type",
-        "pattern",
-        "case_sensitive",
-        "extensions",
-        "min_size",
-        "max_size",
-        "fuzzy_distance",
-        error.alias("error"),
+        "blank",
+        f"""CASE WHEN text RLIKE r'{TYPE_WORD}' THEN regexp_extract(text, r'{TYPE_WORD}', 1)
+                 WHEN text RLIKE r'^[/\\\\]' THEN 'prefix'
+                 WHEN text RLIKE r'[*?]' THEN 'wildcard'
+                 ELSE 'substring' END AS type""",
+        f"regexp_replace(text, r'{TYPE_WORD}', '') AS pattern",
+        f"coalesce(lower({_last(_values_of('case'))}) = 'true', false) AS case_sensitive",
+        f"""transform(filter(
+              transform(split(coalesce({_last(_values_of('ext', 'extension'))}, ''), ','), e -> trim(e)),
+              e -> e <> ''), e -> IF(startswith(e, '.'), e, concat('.', e))) AS extensions""",
+        f"{_bound('>=', '>', '1')} AS min_size",
+        f"{_bound('<=', '<', '-1')} AS max_size",
+        f"""coalesce({_last(f"""filter(
+              transform({_values_of('fuzzy')}, v -> try_cast(regexp_extract(v, '^([+-]?[0-9]+)', 1) AS INT)),
+              n -> n IS NOT NULL)""")}, {DEFAULT_FUZZY_DISTANCE}) AS distance""",
+        f"IF(type = 'fuzzy', greatest({limits}), distance) AS fuzzy_distance",
+        "try_element_at(filter(sizes, s -> s.bytes IS NULL), 1).text AS bad_size",
+        "type = 'substring' AND (size(extensions) > 0 OR min_size IS NOT NULL "
+        "OR max_size IS NOT NULL) AS filters_only",
+    )
+    valid = F.when((F.col("type") != "regex") | (F.col("pattern") == ""), True).otherwise(
+        regex_is_valid(F.col("pattern"))
+    )
+    checked = settings.withColumn("regex_ok", valid)
+    return checked.selectExpr(
+        *[f.name for f in QUERY_SCHEMA if f.name != "error"],
+        """CASE WHEN blank THEN 'query cannot be empty'
+                WHEN bad_size IS NOT NULL THEN concat("invalid size filter '", bad_size, "'")
+                WHEN trim(pattern) = '' AND NOT filters_only THEN 'search pattern cannot be empty'
+                WHEN NOT regex_ok THEN 'invalid regex pattern' END AS error""",
     )
 
 
