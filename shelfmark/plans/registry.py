@@ -1098,19 +1098,6 @@ def _(spark, sf_dir):
     return _plain_times(snapshot.load_catalog(spark, folder))
 
 
-@query("src5_import_json", f"SELECT {ROW} FROM files")
-def _(spark, sf_dir):
-    """A snapshot document written from the catalog and read back."""
-    folder = scratch_path(spark, "document")
-    document = workload.files(spark, sf_dir).agg(
-        F.lit("1.0").alias("version"),
-        F.count(F.lit(1)).alias("file_count"),
-        F.collect_list(F.struct(*CATALOG_COLUMNS)).alias("files"),
-    )
-    document.write.option("compression", "gzip").json(folder)
-    return _plain_times(snapshot.import_json(spark, folder))
-
-
 def _tree(spark, sf_dir) -> str:
     """A folder per thousand customers and nation, written by Spark."""
     folder = scratch_path(spark, "tree")

@@ -25,12 +25,18 @@ MANIFEST_SCHEMA = (
     "compressed boolean, data string, applied_batch long"
 )
 
-# Field names of a snapshot document in JSON.
+# Fields of a snapshot document in JSON, in their order, and the compact text between
+# two of its file entries. The text cannot be part of a name, because quotes in names are escaped.
+FILE_SCHEMA = (
+    "path string, name string, size long, modified_time timestamp, is_dir boolean, extension string"
+)
+HEAD_SCHEMA = "version string, created_at string, file_count long"
 DOCUMENT_SCHEMA = (
-    "version string, created_at string, file_count long, total_size long, compressed boolean, "
-    "files array<struct<path: string, name: string, size: long, modified_time: timestamp, "
-    "is_dir: boolean, extension: string>>"
+    f"{HEAD_SCHEMA}, files array<struct<{FILE_SCHEMA.replace(' ', ': ').replace(',:', ',')}>>"
 )
+BETWEEN_FILES = '},{"path":'
+BEFORE_FILES = r',"files":\[\{"path":'
+AFTER_FILES = r'\}\],"total_size":-?[0-9]+,"compressed":(true|false)\}\s*\z'
 
 
 def _publish(spark: SparkSession, folder: str, manifest: dict) -> None:
@@ -138,20 +144,53 @@ def clear_catalog(spark: SparkSession, folder: str) -> None:
         save_catalog(spark.createDataFrame([], CATALOG_SCHEMA), folder)
 
 
-def import_json(spark: SparkSession, path: str) -> DataFrame:
-    """Catalog rows of a snapshot kept as one JSON document, plain or ``.gz``.
-
-    The document is one value and is read by one task, so this is for moving such a snapshot over
-    once; the rows are spread out right after. Of repeated paths the later row stays.
-    """
-    document = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).json(path)
-    head = document.select("version", "file_count", F.size("files").alias("found")).first()
+def _check_head(head: Row | None, found: int, path: str) -> None:
     if head is None or head.version is None:
         raise ValueError(f"invalid JSON format: {path}")
     if head.version != FORMAT_VERSION:
         raise ValueError(
             f"unsupported catalog version: {head.version} (expected {FORMAT_VERSION})"
         )
-    _check_count(head, max(head.found, 0))
+    _check_count(head, found)
+
+
+def _split_document(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file entry of a compact document, read in parallel: ``head`` (in the first row
+    only) and ``file`` (NULL where the text is not one whole entry)."""
+    pieces = spark.read.option("lineSep", BETWEEN_FILES).text(path)
+    parts = F.split("value", BEFORE_FILES, 2)
+    is_first = F.size(parts) == 2
+    entry = F.regexp_replace(F.element_at(parts, -1), AFTER_FILES, "")
+    return pieces.select(
+        F.when(is_first, F.from_json(F.concat(parts[0], F.lit("}")), HEAD_SCHEMA)).alias("head"),
+        F.from_json(
+            F.concat(F.lit('{"path":'), entry, F.lit("}")), FILE_SCHEMA, {"mode": "PERMISSIVE"}
+        ).alias("file"),
+    )
+
+
+def import_json(spark: SparkSession, path: str) -> DataFrame:
+    """Catalog rows of a snapshot kept as one JSON document, plain or ``.gz``.
+
+    A document in the compact form it is written in is cut between its entries and read in
+    parallel (a compressed one is still one stream). In any other form, or with a path that
+    repeats, where the later entry stays, it is read as the single value it is.
+    """
+    split = _split_document(spark, path)
+    head = split.filter(F.col("head.version").isNotNull()).select("head.*").first()
+    files = split.select("file.*")
+    totals = files.agg(
+        F.count(F.lit(1)).alias("pieces"),
+        F.count("path").alias("entries"),
+        F.count("extension").alias("whole"),
+    ).first()
+    if head is not None and totals.pieces == totals.entries == totals.whole:
+        _check_head(head, totals.entries, path)
+        if files.groupBy("path").count().filter("count > 1").isEmpty():
+            return files.select(*CATALOG_COLUMNS)
+
+    document = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).json(path)
+    head = document.select("version", "file_count", F.size("files").alias("found")).first()
+    _check_head(head, (head.found or 0) if head else 0, path)
     rows = document.select(F.posexplode("files").alias("seq", "file")).select("seq", "file.*")
     return latest_per_path(rows, ["seq"], CATALOG_COLUMNS + ["seq"]).drop("seq")

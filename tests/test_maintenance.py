@@ -219,26 +219,32 @@ def test_damaged_snapshots(catalog, spark, tmp_path):
         snapshot.validate_catalog(spark, folder)
 
 
-def document(**change):
-    def file(path, size):
-        name = path.rsplit("/", 1)[1]
-        return {"path": path, "name": name, "size": size, "modified_time": "2024-01-01T00:00:00Z", "is_dir": False, "extension": ".txt"}
-
-    files = [file("/a.txt", 1), file("/b.txt", 2), file("/a.txt", 3)]
-    body = {"version": "1.0", "created_at": "2024-01-01T00:00:00Z", "file_count": 3, "files": files, "total_size": 6, "compressed": False}
-    return json.dumps({**body, **change})
+def document(names, separators=None, **change):
+    """A snapshot document in the compact form, or with other separators."""
+    files = [
+        {"path": f"/{name}", "name": name, "size": size, "modified_time": "2024-01-01T00:00:00Z", "is_dir": False, "extension": ".txt"}
+        for size, name in enumerate(names, 1)
+    ]
+    body = {"version": "1.0", "created_at": "2024-01-01T00:00:00Z", "file_count": len(files), "files": files, "total_size": 6, "compressed": False}
+    return json.dumps({**body, **change}, separators=separators or (",", ":"), ensure_ascii=False) + "\n"
 
 
-def test_import_json(spark, tmp_path):
+@pytest.mark.parametrize("separators", [None, (", ", ": ")])
+def test_import_json(spark, tmp_path, separators):
     plain, packed = tmp_path / "s.json", tmp_path / "s.json.gz"
-    plain.write_text(document())
-    packed.write_bytes(gzip.compress(document().encode()))
-    for file in (plain, packed):
-        df = snapshot.import_json(spark, str(file))
-        assert sizes(df) == {"/a.txt": 3, "/b.txt": 2}
-        assert df.first().modified_time == START
+    odd = ['a},{"path":"b.txt', "c}],x.txt", "d\ne.txt", "ü},{.txt", ',"files":[{"path":f.txt']
+    for names in (["a.txt"], ["a.txt", "b.txt"], ["a.txt", "b.txt", "a.txt"], odd, [f"{i}.txt" for i in range(500)]):
+        text = document(names, separators)
+        plain.write_text(text)
+        packed.write_bytes(gzip.compress(text.encode()))
+        for file in (plain, packed):
+            df = snapshot.import_json(spark, str(file))
+            assert sizes(df) == {f"/{name}": size for size, name in enumerate(names, 1)}
+            assert df.count() == len(set(names)) and df.first().modified_time == START
+    plain.write_text(document([], separators))
+    assert snapshot.import_json(spark, str(plain)).count() == 0
     for change in ({"version": "9"}, {"file_count": 7}):
-        plain.write_text(document(**change))
+        plain.write_text(document(["a.txt", "b.txt"], separators, **change))
         with pytest.raises(ValueError):
             snapshot.import_json(spark, str(plain))
     plain.write_text("not json")
@@ -246,6 +252,18 @@ def test_import_json(spark, tmp_path):
         snapshot.import_json(spark, str(plain))
 
 
+def test_import_json_is_read_in_parallel(spark, tmp_path):
+    file = tmp_path / "s.json"
+    file.write_text(document([f"{i}.txt" for i in range(20_000)]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 300_000)
+    try:
+        df = snapshot.import_json(spark, str(file))
+        assert df.rdd.getNumPartitions() > 3
+        assert df.count() == 20_000 and df.agg(F.sum("size")).first()[0] == 20_000 * 20_001 // 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "tree"
