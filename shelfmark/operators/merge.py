@@ -61,7 +61,7 @@ def union_last_wins(frames: list[DataFrame]) -> DataFrame:
 def update_existing(
     catalog: DataFrame, rows: DataFrame, order: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Replace only paths that are present.
+    """Replace only paths that are present; without ``order`` the rows must have distinct paths.
 
     Returns the catalog and a report ``(path, found)`` with one row per given path.
     """

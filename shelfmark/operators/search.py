@@ -219,8 +219,8 @@ def search_text(df: DataFrame, text: str, k: int | None = None) -> DataFrame:
     """``search`` for one query text; a text that cannot be read raises ``ValueError``."""
     from shelfmark.operators.query_table import parse_queries
 
-    spark = df.sparkSession
-    parsed = parse_queries(spark.createDataFrame([(0, text)], "query_id long, raw string")).first()
+    given = df.sparkSession.sql("SELECT 0 AS query_id, :text AS raw", args={"text": text})
+    parsed = parse_queries(given).first()
     if parsed.error is not None:
         raise ValueError(parsed.error)
     spec = SearchSpec(

@@ -17,10 +17,18 @@ from shelfmark.sources.snapshot import load_catalog, read_manifest, save_catalog
 from shelfmark.streaming.debounce import DEFAULT_DELAY, debounce_stream
 
 
+def _waiting_folder(folder: str, applied: int) -> str:
+    """Changes that wait beside the version which contains everything up to batch ``applied``.
+
+    Each saved version has its own folder, so old batches are never listed again.
+    """
+    return f"{folder}/changes/since={applied}"
+
+
 def _waiting_changes(spark: SparkSession, folder: str, applied: int) -> DataFrame | None:
-    """Settled changes that no saved version contains yet."""
+    """Settled changes that the saved version does not contain yet."""
     try:
-        changes = spark.read.parquet(f"{folder}/changes")
+        changes = spark.read.parquet(_waiting_folder(folder, applied))
     except AnalysisException:
         return None
     return changes.filter(F.col("batch_id") > applied).drop("batch_id")
@@ -54,13 +62,13 @@ def maintain_catalog(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        applied = read_manifest(spark, folder).applied_batch
         batch.drop("settled_at").write.mode("overwrite").parquet(
-            f"{folder}/changes/batch_id={batch_id}"
+            f"{_waiting_folder(folder, applied)}/batch_id={batch_id}"
         )
-        applied = read_manifest(spark, folder).applied_batch
         if batch_id > applied and (batch_id + 1) % merge_every == 0:
             waiting = _waiting_changes(spark, folder, applied)
-            merged = apply_changes(load_catalog(spark, folder), waiting)
+            merged = apply_changes(load_catalog(spark, folder, check_count=False), waiting)
             save_catalog(merged, folder, applied_batch=batch_id)
 
     spark = changes.sparkSession
