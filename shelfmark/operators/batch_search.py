@@ -56,9 +56,9 @@ ANY_EXTENSION = "*"
 
 
 def _distinct_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(query_id, qkey)`` for the readable rows, and the distinct settings by ``qkey``.
+    """``(query_id, qkey)`` for the readable rows, and the distinct searches, prepared.
 
-    The table is read once and kept, because every later step starts from it.
+    Both are kept, because every later step starts from them.
     """
     usable = queries.filter(F.col("error").isNull()).withColumn(
         "extensions", F.array_sort(F.array_distinct("extensions"))
@@ -66,7 +66,9 @@ def _distinct_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = F.md5(F.to_json(F.struct(*SETTINGS)))
     keyed = reliable(usable.select("query_id", key.alias("qkey"), *SETTINGS))
     settings = [F.first(c).alias(c) for c in SETTINGS]
-    return keyed.select("query_id", "qkey"), reliable(keyed.groupBy("qkey").agg(*settings))
+    return keyed.select("query_id", "qkey"), reliable(
+        _prepared(keyed.groupBy("qkey").agg(*settings))
+    )
 
 
 def required_text(pattern: Column, kind: Column) -> Column:
@@ -94,22 +96,26 @@ def required_text(pattern: Column, kind: Column) -> Column:
     return F.when(kind == "substring", pattern).when(kind.isin("wildcard", "regex"), longest)
 
 
-def _with_needles(wanted: DataFrame) -> DataFrame:
-    """Columns for matching: whether to fold, the text to verify with, and the anchor."""
+def _prepared(wanted: DataFrame) -> DataFrame:
+    """Add what matching needs: whether to fold, the text to verify with, the required text, the
+    size of its first piece, and the key of searches that are one equality."""
     folds = ~F.col("case_sensitive") & (F.col("type") != "regex")
     folded = F.when(F.col("folds"), F.lower("pattern")).otherwise(F.col("pattern"))
+    needle = (
+        F.when(F.col("type") == "wildcard", wildcard_to_like(folded))
+        .when(F.col("type") == "regex", java_regex(F.col("pattern")))
+        .otherwise(folded)
+    )
     return (
         wanted.withColumn("folds", folds)
-        .withColumn(
-            "needle",
-            F.when(F.col("type") == "wildcard", wildcard_to_like(folded))
-            .when(F.col("type") == "regex", java_regex(F.col("pattern")))
-            .otherwise(folded),
-        )
-        .withColumn("anchor", required_text(folded, F.col("type")))
-        .withColumn(
-            "gram_size",
-            F.when(F.col("anchor").isNotNull(), F.least(F.lit(GRAM), F.char_length("anchor"))),
+        .withColumns({"needle": needle, "anchor": required_text(folded, F.col("type"))})
+        .selectExpr("*", f"IF(anchor IS NULL, NULL, least({GRAM}, char_length(anchor))) AS gram_size")
+        .selectExpr(
+            "*",
+            """CASE WHEN type = 'exact' THEN xxhash64('exact', lower(pattern))
+                    WHEN type = 'prefix' THEN xxhash64('path', pattern)
+                    WHEN gram_size > 0 THEN xxhash64(
+                      IF(folds, 'folded', 'plain'), substring(anchor, 1, gram_size)) END AS key""",
         )
     )
 
@@ -160,12 +166,6 @@ def _match_keyed(
         keys.append(_grams("lower(name)" if folds else "name", size, folds))
     all_keys = f"concat({', '.join(keys)})"
 
-    own = F.expr(
-        "CASE type WHEN 'exact' THEN xxhash64('exact', lower(pattern)) "
-        "WHEN 'prefix' THEN xxhash64('path', pattern) "
-        "ELSE xxhash64(IF(folds, 'folded', 'plain'), substring(anchor, 1, gram_size)) END"
-    )
-    keyed_wanted = wanted.withColumn("key", own)
     if pick_rarest and pieces:
         keyed_names = named.selectExpr("*", f"explode({all_keys}) AS key")
         options = F.array(F.col("key"))
@@ -174,16 +174,16 @@ def _match_keyed(
             options = F.when(same, F.expr(_grams("anchor", size, folds))).otherwise(options)
         frequency = keyed_names.groupBy("key").agg(F.count(F.lit(1)).alias("names"))
         rarest = (
-            keyed_wanted.select("qkey", F.explode(options).alias("key"))
+            wanted.select("qkey", F.explode(options).alias("key"))
             .join(frequency, "key", "left")
             .groupBy("qkey")
             .agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "key")).alias("best"))
             .select("qkey", "best.key")
         )
-        keyed_wanted = reliable(keyed_wanted.drop("key").join(rarest, "qkey"))
-    known_keys = keep_known(all_keys, keyed_wanted)
+        wanted = reliable(wanted.drop("key").join(rarest, "qkey"))
+    known_keys = keep_known(all_keys, wanted)
     keyed_names = named.selectExpr("*", f"explode({known_keys}) AS key")
-    met = join_hot_keys(keyed_names, keyed_wanted, "key", known_small=not pick_rarest)
+    met = join_hot_keys(keyed_names, wanted, "key", known_small=not pick_rarest)
     return met.filter(_verified("path" in named.columns))
 
 
@@ -215,26 +215,22 @@ def match_patterns(
     ``wanted`` may be broadcast.
     """
     out = named.columns + ["qkey"] + SETTINGS
-    prepared = _with_needles(wanted)
     length = F.when(F.col("type") == "prefix", F.char_length("pattern")).alias("length")
     distance = F.when(F.col("type") == "fuzzy", F.col("fuzzy_distance")).alias("distance")
-    shapes = prepared.select("type", "folds", "gram_size", length, distance).distinct().collect()
-    keyed = F.col("type").isin("exact", "prefix") | (F.col("gram_size") > 0)
+    shapes = wanted.select("type", "folds", "gram_size", length, distance).distinct().collect()
+    keyed_shapes = [s for s in shapes if s.type in ("exact", "prefix") or s.gram_size]
     found = None
-    if any(s.type in ("exact", "prefix") or s.gram_size for s in shapes):
-        keyed_shapes = [s for s in shapes if s.type in ("exact", "prefix") or s.gram_size]
-        met = _match_keyed(named, prepared.filter(keyed), keyed_shapes, not small)
+    if keyed_shapes:
+        met = _match_keyed(named, wanted.filter("key IS NOT NULL"), keyed_shapes, not small)
         found = met.select(*out)
     if any(s.gram_size == 0 for s in shapes):
-        scanned = _match_literals(named, prepared.filter(F.col("gram_size") == 0))
+        scanned = _match_literals(named, wanted.filter("gram_size = 0"))
         found = _union(found, scanned.select(*out))
     for folds in sorted({s.folds for s in shapes if s.type == "fuzzy"}):
-        fuzzy = prepared.filter((F.col("type") == "fuzzy") & (F.col("folds") == folds))
+        fuzzy = wanted.filter((F.col("type") == "fuzzy") & (F.col("folds") == folds))
         pairs = close_pairs(
             named.withColumn("text", F.lower("name") if folds else F.col("name")),
-            fuzzy.withColumn("text", F.col("needle")).withColumn(
-                "distance", F.col("fuzzy_distance")
-            ),
+            fuzzy.selectExpr("qkey", *SETTINGS, "needle AS text", "fuzzy_distance AS distance"),
             broadcast_bytes,
             sorted({s.distance for s in shapes if s.type == "fuzzy" and s.folds == folds}),
         )
@@ -329,9 +325,13 @@ def search_many(
         for ranges, chunk in _range_chunks(by_path):
             cell = _size_cell("size", ranges)
             starts = with_prefixes(files.withColumn("cell", cell), chunk, "pattern")
-            group = ["pattern", "extension", "is_dir", "cell"]
-            best = first_k_per(starts, group, ["path"], k, "n").drop("n", "cell")
-            part = join_hot_keys(chunk, best, "pattern", known_small=False)
+            points = {
+                f"points_{case}": score_name(F.col("name"), F.col("pattern"), True, case)
+                for case in (True, False)
+            }
+            group = ["pattern", "extension", "is_dir", "cell", *points]
+            best = first_k_per(starts.withColumns(points), group, ["path"], k, "n")
+            part = join_hot_keys(chunk, best.select("pattern", *CATALOG_COLUMNS), "pattern", known_small=False)
             found = _union(found, part.select(*out).filter(_passes_filters()))
     for ranges, chunk in _range_chunks(without_text):
         found = _union(found, _filters_only(files, chunk, ranges, k).select(*out))

@@ -275,6 +275,15 @@ def test_search_many_equals_single_searches(spark, many_files, single_results, b
         assert ranked == single_results[number][:k], text
 
 
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 1])
+def test_search_many_ranks_prefixes_of_relative_paths(spark, catalog, broadcast_bytes):
+    df = catalog("co/a/x", "co/b/y", "co/c/co", "co/d/cobra", "co", "coat", "x/co", "Co/co")
+    queries = parsed(spark, ["co"]).withColumn("type", F.lit("prefix"))
+    for k in (1, 2, 3, 10):
+        many = search_many(df, queries, k, broadcast_bytes).orderBy("rank")
+        assert paths(many) == paths(s.search(df, SearchSpec("prefix", "co"), k))
+
+
 def test_search_many_with_nothing_to_do(spark, many_files):
     assert search_many(many_files, parsed(spark, ["", "regex:["]), 5).count() == 0
     assert search_many(many_files.limit(0), parsed(spark, MANY_TEXTS), 5).count() == 0
