@@ -35,6 +35,7 @@ from shelfmark.plans.sizing import (
     broadcast_if_small,
     first_k_per,
     join_hot_keys,
+    keep_keys_of,
     keep_known,
 )
 from shelfmark.plans.storage import reliable
@@ -166,24 +167,29 @@ def _match_keyed(
         keys.append(_grams("lower(name)" if folds else "name", size, folds))
     all_keys = f"concat({', '.join(keys)})"
 
+    counts = None
     if pick_rarest and pieces:
         keyed_names = named.selectExpr("*", f"explode({all_keys}) AS key")
         options = F.array(F.col("key"))
         for size, folds in pieces:
             same = (F.col("folds") == folds) & (F.col("gram_size") == size)
             options = F.when(same, F.expr(_grams("anchor", size, folds))).otherwise(options)
-        frequency = keyed_names.groupBy("key").agg(F.count(F.lit(1)).alias("names"))
+        counts = reliable(keyed_names.groupBy("key").agg(F.count(F.lit(1)).alias("rows")))
         rarest = (
             wanted.select("qkey", F.explode(options).alias("key"))
-            .join(frequency, "key", "left")
+            .join(counts, "key", "left")
             .groupBy("qkey")
-            .agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "key")).alias("best"))
+            .agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "key")).alias("best"))
             .select("qkey", "best.key")
         )
         wanted = reliable(wanted.drop("key").join(rarest, "qkey"))
     known_keys = keep_known(all_keys, wanted)
     keyed_names = named.selectExpr("*", f"explode({known_keys}) AS key")
-    met = join_hot_keys(keyed_names, wanted, "key", known_small=not pick_rarest)
+    if pick_rarest:
+        keyed_names = keep_keys_of(keyed_names, wanted, "key")
+    met = join_hot_keys(
+        keyed_names, wanted, "key", known_small=not pick_rarest, counts=counts
+    )
     return met.filter(_verified("path" in named.columns))
 
 

@@ -13,7 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.functions.text import for_value
-from shelfmark.plans.sizing import BROADCAST_BYTES, join_hot_keys, keep_known
+from shelfmark.plans.sizing import (
+    BROADCAST_BYTES,
+    broadcast_if_small,
+    join_hot_keys,
+    keep_keys_of,
+    keep_known,
+)
 
 # Marks for keys of names that are too short to be cut: any such name, one of its bytes.
 ANY_SHORT, SHORT_BYTE = -1, -2
@@ -83,9 +89,10 @@ def close_pairs(
     keyed_names = names.selectExpr(
         "*", f"{as_bytes} AS name_bytes", f"explode({keys}) AS key"
     ).drop("text")
-    candidates = join_hot_keys(
-        keyed_names, keyed_patterns, "key", broadcast_bytes=broadcast_bytes
-    )
+    small = broadcast_if_small(keyed_patterns, broadcast_bytes) is not None
+    if not small:
+        keyed_names = keep_keys_of(keyed_names, keyed_patterns, "key")
+    candidates = join_hot_keys(keyed_names, keyed_patterns, "key", known_small=small)
     # The limit of the early-stopping distance must be a literal: one branch per distance.
     close = F.lit(False)
     for d in distances:

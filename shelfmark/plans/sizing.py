@@ -31,19 +31,33 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if byte_size(df) <= limit else None
 
 
-def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
+def hot_keys(
+    df: DataFrame,
+    key: str,
+    rows_per_task: int = ROWS_PER_TASK,
+    counts: DataFrame | None = None,
+) -> DataFrame | None:
     """``(key, slices)`` for keys with more than ``rows_per_task`` rows, ``None`` if there are none.
 
-    There are at most rows / rows_per_task of them, so the list fits the driver and a broadcast.
+    ``counts`` has the ``rows`` per key, if the caller has counted. There are at most
+    rows / rows_per_task such keys, so the list fits the driver and a broadcast.
     """
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    hot = counted.filter(F.col("rows") > rows_per_task).select(
+    if counts is None:
+        counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    hot = counts.filter(F.col("rows") > rows_per_task).select(
         key, F.ceil(F.col("rows") / rows_per_task).cast("int").alias("slices")
     )
     found = hot.collect()
     return F.broadcast(df.sparkSession.createDataFrame(found, hot.schema)) if found else None
 
 
+def keep_keys_of(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``many`` without rows whose key ``few`` does not have, where its keys can be broadcast; the
+    rest of the rows need not be shuffled for the join then."""
+    keys = broadcast_if_small(few.select(key).distinct())
+    return many if keys is None else many.join(keys, key, "left_semi")
+
+
 def join_hot_keys(
     many: DataFrame,
     few: DataFrame,
@@ -51,6 +65,7 @@ def join_hot_keys(
     rows_per_task: int = ROWS_PER_TASK,
     broadcast_bytes: int = BROADCAST_BYTES,
     known_small: bool | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join where one key may hold a large part of ``many`` and fewer rows of ``few``.
 
@@ -62,7 +77,7 @@ def join_hot_keys(
         known_small = broadcast_if_small(few, broadcast_bytes) is not None
     if known_small:
         return many.join(F.broadcast(few), key)
-    hot = hot_keys(many, key, rows_per_task)
+    hot = hot_keys(many, key, rows_per_task, counts)
     if hot is None:
         return many.join(few, key)
     slices = F.coalesce("slices", F.lit(1))

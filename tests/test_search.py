@@ -310,6 +310,36 @@ def test_hot_keys_are_sliced(spark):
     assert sorted(map(tuple, sliced.collect())) == plain and len(plain) == 3001
 
 
+@pytest.mark.parametrize("distance", [1, 4])
+def test_fuzzy_join_of_large_tables(spark, monkeypatch, distance):
+    """Neither side broadcast, no literal keys, hot keys cut into slices."""
+    from shelfmark.operators import fuzzy_join as module
+    from shelfmark.plans import sizing
+
+    left, right = random_words(1, 300, "ab"), random_words(2, 80, "ab")
+    names = spark.createDataFrame([(w, w) for w in left], "name string, text string")
+    patterns = spark.createDataFrame([(w, w, distance) for w in right], "pattern string, text string, distance int")
+    monkeypatch.setattr(sizing, "LITERAL_KEYS", 3)
+    monkeypatch.setattr(module, "join_hot_keys", lambda *a, **k: sizing.join_hot_keys(*a, rows_per_task=20, **k))
+    found = module.close_pairs(names, patterns, broadcast_bytes=1).collect()
+    wanted = {(a, b) for a in left for b in right if byte_distance(a, b) <= distance}
+    assert len(found) == len(wanted) and {(r.name, r.pattern) for r in found} == wanted
+
+
+def test_saved_catalogs_skip_by_path(spark, catalog, tmp_path):
+    from shelfmark.sources.snapshot import load_catalog, save_catalog
+
+    folder = str(tmp_path / "catalog")
+    save_catalog(catalog(*[f"/d{i % 10}/{i:04}" for i in range(2000)]), folder, partitions=5)
+    saved = load_catalog(spark, folder)
+    for found, count in ((s.search_prefix(saved, "/d3/", ordered=False), 200), (s.get_by_path(saved, "/d7/0007"), 1)):
+        assert len(found.collect()) == count
+        execution = found._jdf.queryExecution()
+        execution.executedPlan().execute().count()
+        scan = execution.executedPlan().collectLeaves().apply(0)
+        assert scan.metrics().get("numOutputRows").get().value() <= 1000
+
+
 def plan_of(df):
     mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     return df._jdf.queryExecution().explainString(mode)
