@@ -51,6 +51,7 @@ def workloads(spark: SparkSession) -> dict:
     folder = scratch_path(spark, "bench-catalog")
     snapshot.save_catalog(files, folder, partitions=CPUS)
     saved = snapshot.load_catalog(spark, folder)
+    unsorted = reliable(files)
     queries = parse_queries(workload.query_log(spark, SF_DIR))
     incoming = reliable(registry._incoming_rows(spark, SF_DIR))
     home = reliable(registry._home(spark, SF_DIR))
@@ -70,6 +71,7 @@ def workloads(spark: SparkSession) -> dict:
         "load_catalog": lambda: drain(snapshot.load_catalog(spark, folder)),
         "top_k": lambda: drain(flagship()),
         "prefix_search": lambda: drain(s.search_prefix(saved, "/urg/cust1/")),
+        "prefix_search_unsorted": lambda: drain(s.search_prefix(unsorted, "/urg/cust1/")),
         "get_by_path": lambda: drain(s.get_by_path(saved, "/hig/cust0/o10206/report.tmp")),
         "name_search": lambda: drain(s.search_name(saved, "config")),
         "regex_search": lambda: drain(s.search_regex(saved, r"^[rR]e.*\.(txt|md)$")),
@@ -80,6 +82,7 @@ def workloads(spark: SparkSession) -> dict:
         "stats_by_extension": lambda: drain(stats.stats_by_extension(saved)),
         "prefix_counts": lambda: drain(stats.prefix_counts(saved, registry._prefixes(spark, SF_DIR))),
         "parse_queries": lambda: drain(queries),
+        "search_many_1": lambda: drain(search_many(saved, queries.filter("query_id = 7"), 50)),
         "search_many_100": lambda: drain(search_many(saved, queries.filter("query_id < 100"), 50)),
         "search_many": lambda: drain(search_many(saved, queries, 50)),
         "fuzzy_join": lambda: drain(fuzzy_join(saved, patterns, 2)),
