@@ -333,11 +333,11 @@ def test_saved_catalogs_skip_by_path(spark, catalog, tmp_path):
     save_catalog(catalog(*[f"/d{i % 10}/{i:04}" for i in range(2000)]), folder, partitions=5)
     saved = load_catalog(spark, folder)
     for found, count in ((s.search_prefix(saved, "/d3/", ordered=False), 200), (s.get_by_path(saved, "/d7/0007"), 1)):
-        assert len(found.collect()) == count
-        execution = found._jdf.queryExecution()
-        execution.executedPlan().execute().count()
-        scan = execution.executedPlan().collectLeaves().apply(0)
-        assert scan.metrics().get("numOutputRows").get().value() <= 1000
+        plan = found._jdf.queryExecution().executedPlan()
+        assert plan.execute().count() == count
+        scanned = plan.collectLeaves().apply(0).metrics().get("numOutputRows").get().value()
+        # The bounds between the five files are sampled: at most two of them hold the prefix.
+        assert count <= scanned <= 1400
 
 
 def plan_of(df):
