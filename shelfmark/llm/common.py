@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from shelfmark.plans.sizing import broadcast_if_small
 from shelfmark.plans.storage import reliable
 
-__all__ = ["table", "packed", "unpacked", "text_or_empty", "row_key", "same_row", "step"]
-
 step = reliable
 
 
@@ -30,11 +29,15 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("row.*")
 
 
-def row_key(text: str = "text") -> Column:
-    """With the id this tells rows apart, also those that repeat an id with another text."""
-    return F.xxhash64(text_or_empty(text))
+def doc_key(row_id: str = "id", text: str = "text") -> Column:
+    """A text that tells rows apart, also rows without an id and those that share one."""
+    shown = F.coalesce(F.col(row_id).cast("string"), F.lit(""))
+    return F.concat_ws(
+        ":", F.col(row_id).isNull().cast("string"), shown, F.hex(F.xxhash64(text_or_empty(text)))
+    )
 
 
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    """Join condition on ``id`` (null matches null) and ``key``."""
-    return left["id"].eqNullSafe(right["id"]) & (left["key"] == right["key"])
+def only_with(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows whose key is (or, as ``left_anti``, is not) among ``keys``; few keys are broadcast."""
+    few = broadcast_if_small(keys)
+    return rows.join(keys if few is None else few, key, how)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import exact_dedup, simhash
+from shelfmark.llm import decontaminate as dc, exact_dedup, simhash
 from shelfmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+DECONTAMINATION_SQL = f"""
+    d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    bi AS (SELECT item_id, w, least(13, len(w)) AS m FROM b WHERE len(w) > 0),
+    bw AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g
+           FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM bi)),
+    dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
+           FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i
+                 FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
+    hit AS (SELECT DISTINCT doc_id, i, m, item_id FROM dw JOIN bw USING (m, g)),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id),
+    judged AS (SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit,
+                      coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256,
+                      coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+               FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id))"""
+
+
+@query("op1_decontamination", f"WITH {DECONTAMINATION_SQL} SELECT * FROM judged")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dc.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        dc.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.llm.common import packed, row_key, step, unpacked
+from shelfmark.llm.common import doc_key, packed, step, unpacked
 from shelfmark.llm.components import connected_components
 
 #: Differing bits at which two documents are still linked.
@@ -61,19 +61,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, key, fingerprint)`` per row, written once; ``key`` tells apart rows that repeat an id."""
+    """``(id, doc, fingerprint)`` per row, written once; ``doc`` tells apart rows that repeat an id."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(text.as_py()) for text in batch["text"]]
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["key"], pa.array(found, pa.int64())], ["id", "key", "fingerprint"]
+                [batch["id"], batch["doc"], pa.array(found, pa.int64())], ["id", "doc", "fingerprint"]
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("id", row_key().alias("key"), "text")
+    rows = rows.select("id", doc_key().alias("doc"), "text")
     id_type = rows.schema["id"].dataType.simpleString()
-    return step(rows.mapInArrow(per_batch, f"id {id_type}, key long, fingerprint long"))
+    return step(rows.mapInArrow(per_batch, f"id {id_type}, doc string, fingerprint long"))
 
 
 def _signed(value: int) -> int:
@@ -132,7 +132,7 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS
 ) -> DataFrame:
-    """``(id, key, fingerprint, component_id, root)``, one row per row of ``docs``.
+    """``(id, doc, fingerprint, component_id, root)``, one row per row of ``docs``.
 
     Rows are linked if their fingerprints differ in ``bits`` places or fewer (0 to 2); a component's
     id is its smallest document id, ``root`` its smallest fingerprint. Null texts equal empty ones; their fingerprint is zero and is
@@ -150,7 +150,7 @@ def near_duplicates(
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = rooted.join(least, "root").select("fingerprint", "component_id", "root")
     return rows.join(labels, "fingerprint").select(
-        "id", "key", "fingerprint", "component_id", "root"
+        "id", "doc", "fingerprint", "component_id", "root"
     )
 
 
@@ -159,18 +159,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of rows that repeat that id one stays; without any id in a component one row stays.
     """
-    rows = packed(docs, id_col, text_col).select("row", "id", row_key().alias("key"))
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.groupBy("root").agg(
-        F.min_by(F.struct("id", "key"), F.struct(F.col("id").isNull(), "id", "key")).alias("k")
-    )
-
-    def one_key(row_id: Column, key: Column) -> Column:
-        named = F.coalesce(row_id.cast("string"), F.lit(""))
-        return F.concat_ws(":", row_id.isNull().cast("string"), named, key.cast("string"))
-
-    kept = kept.select(one_key(F.col("k.id"), F.col("k.key")).alias("one"))
-    met = rows.select("row", one_key(F.col("id"), F.col("key")).alias("one")).join(
-        kept, "one", "left_semi"
-    )
-    return unpacked(met.groupBy("one").agg(F.first("row").alias("row")))
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc")).alias("k"))
+    rows = packed(docs, id_col, text_col).select("row", doc_key().alias("doc"))
+    met = rows.join(kept.select("k.doc"), "doc", "left_semi")
+    return unpacked(met.groupBy("doc").agg(F.first("row").alias("row")))
