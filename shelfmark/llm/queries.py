@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import decontaminate as dc, exact_dedup, simhash
+from shelfmark.llm import decontaminate as dc, exact_dedup, packing, simhash
 from shelfmark.llm.common import table
+from shelfmark.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +87,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         dc.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_path("word_bpe_49k.json")
+    found = packing.pieces(table(spark, sf_dir, "documents"), tokenizer, end_id=1)
+    placed = packing.pack(found)
+    # Only the checksums travel to the places, not the ids.
+    digests = found.select(
+        F.col("id").alias("doc_id"), "row", "piece", "start", "length",
+        F.crc32("ids").alias("ids_crc32"),
+    )
+    return digests.join(placed, ["row", "piece"]).drop("row")
