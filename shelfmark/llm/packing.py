@@ -21,8 +21,8 @@ from shelfmark.llm.tokens import encoder
 
 #: Tokens of a sequence.
 CAPACITY = 4096
-#: Pieces in a block, and the fewest blocks.
-BLOCK, BLOCKS = 8192, 24
+#: Pieces in a block, on average.
+BLOCK = 2048
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,9 +102,9 @@ def pieces(
     return step(rows.mapInArrow(per_batch, schema))
 
 
-def _packed(units: DataFrame, count: int, capacity: int, fewest: int) -> DataFrame:
+def _packed(units: DataFrame, count: int, capacity: int) -> DataFrame:
     """``(row, piece, bin, offset, fill)`` of ``(row, piece, size)``, packed block by block."""
-    blocks = max(fewest, -(-count // BLOCK))
+    blocks = max(1, round(count / BLOCK))
 
     def per_block(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["size", "row", "piece"], ascending=[False, True, True])
@@ -126,11 +126,11 @@ def _packed(units: DataFrame, count: int, capacity: int, fewest: int) -> DataFra
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``(row, piece, sequence_id, offset)`` for every one of ``pieces``."""
     units = found.select("row", "piece", F.col("length").alias("size"))
-    first = step(_packed(units, units.count(), capacity, BLOCKS))
+    first = step(_packed(units, units.count(), capacity))
     loose = first.filter(F.col("fill") * 2 <= capacity).select(
         F.col("bin").alias("row"), F.lit(0).alias("piece"), F.col("fill").alias("size")
     ).distinct()
-    second = _packed(loose, loose.count(), capacity, 1).select(
+    second = _packed(loose, loose.count(), capacity).select(
         F.col("row").alias("bin"),
         # Sequences of the second round are numbered below zero.
         (-1 - F.col("bin")).alias("merged"), F.col("offset").alias("base"),
