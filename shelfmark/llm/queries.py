@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import decontaminate as dc, exact_dedup, packing, simhash
+from shelfmark.llm import decontaminate as dc, exact_dedup, packing, simhash, token_files
 from shelfmark.llm.common import table
 from shelfmark.llm.tokens import public_path
+from shelfmark.plans.storage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,3 +101,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32("ids").alias("ids_crc32"),
     )
     return digests.join(placed, ["row", "piece"]).drop("row")
+
+
+@query("op8_token_files")
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    tokenizer = public_path("byte_bpe_50k.json")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer, end_id=2)
+    return token_files.read_token_files(spark, folder).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
