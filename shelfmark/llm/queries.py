@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import decontaminate as dc, exact_dedup, packing, simhash, token_files
+from shelfmark.llm import decontaminate as dc, exact_dedup, packing, secrets, simhash, token_files
 from shelfmark.llm.common import table
 from shelfmark.llm.tokens import public_path
 from shelfmark.plans.storage import scratch_path
@@ -111,3 +111,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder).select(
         F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query("op3_secrets")
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(secrets.of_kinds("spans", (kind,))).cast("bigint").alias(f"n_{kind}")
+        for kind in secrets.BASE
+    ]
+    base = secrets.shown(secrets.of_kinds("spans", secrets.BASE))
+    return found.select(
+        F.col("id").alias("doc_id"), *counts,
+        F.sha2(base, 256).alias("base_sha256"), secrets.shown("spans").alias("spans"),
+    )
