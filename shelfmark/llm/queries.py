@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import decontaminate as dc, exact_dedup, packing, secrets, simhash, token_files
+from shelfmark.llm import decontaminate as dc, exact_dedup, language_id, packing, secrets, simhash, token_files
 from shelfmark.llm.common import table
 from shelfmark.llm.tokens import public_path
 from shelfmark.plans.storage import scratch_path
@@ -125,3 +125,31 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), *counts,
         F.sha2(base, 256).alias("base_sha256"), secrets.shown("spans").alias("spans"),
     )
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit_text_model(docs)
+    found = language_id.identify(docs, model, declared=F.col("lang"), host=F.col("source"))
+    return found.select(
+        F.col("id").alias("doc_id"), "declared", "text_language", "language", "posterior", "kept"
+    )
+
+
+@query("llm_page_languages")
+def llm_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: the text between the tags, the language in the markup, the host of the address."""
+    model = language_id.fit_text_model(table(spark, sf_dir, "documents"))
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ").alias("text"),
+        F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1).alias("declared"),
+        F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("host"),
+    )
+    found = language_id.identify(
+        pages, model, "page_id", declared=F.col("declared"), host=F.col("host")
+    )
+    return found.select(
+        F.col("id").alias("page_id"), "declared", "host", "text_language", "language", "posterior", "kept"
+    )
