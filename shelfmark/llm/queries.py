@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import decontaminate as dc, exact_dedup, language_id, packing, secrets, simhash, token_files
+from shelfmark.llm import decontaminate as dc, exact_dedup, language_id, packing, secrets, simhash, suffix_dedup, token_files
 from shelfmark.llm.common import table
 from shelfmark.llm.tokens import public_path
 from shelfmark.plans.storage import scratch_path
@@ -153,3 +153,14 @@ def llm_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("page_id"), "declared", "host", "text_language", "language", "posterior", "kept"
     )
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
