@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import decontaminate as dc, exact_dedup, language_id, packing, secrets, simhash, suffix_dedup, token_files
+from shelfmark.llm import (
+    decontaminate as dc,
+    exact_dedup,
+    language_id,
+    packing,
+    secrets,
+    simhash,
+    suffix_dedup,
+    token_files,
+    window_dedup,
+)
 from shelfmark.llm.common import table
 from shelfmark.llm.tokens import public_path
 from shelfmark.plans.storage import scratch_path
@@ -164,3 +174,13 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op5_window_dedup")
+def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = window_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

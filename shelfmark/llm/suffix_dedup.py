@@ -1,10 +1,9 @@
 """Byte strings of a minimum length that occur more than once, removed wherever they occur.
 
-The starts of a text are dealt out by content: of the 16-byte strings inside the window that begins
-at a start, the one with the smallest hash is its anchor. Equal windows have equal anchors, so no match
-is lost, and neighbouring starts share one: a segment holds their bytes. Only segments whose anchor
-occurs more than once go on. Equal segments become one with a count, which answers copies; segments
-that differ meet in blocks of about ``BLOCK_BYTES``, all with one anchor in one block, where
+The starts of a text are dealt out by content: the window that begins at a start has an anchor
+(``anchors``), and neighbouring starts with the same one make a segment of bytes. Only segments whose
+anchor occurs more than once go on. Equal segments become one with a count, which answers copies;
+segments that differ meet in blocks of about ``BLOCK_BYTES``, all with one anchor in one block, where
 ``bwt.repeated_starts`` compares them.
 
 An anchor with more than ``CROWD`` different segments (a passage in many documents, each with its own
@@ -20,55 +19,49 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.llm.anchors import mixed, runs
 from shelfmark.llm.bwt import repeated_starts
 from shelfmark.llm.common import only_with, step, text_or_empty
 from shelfmark.plans.sizing import broadcast_if_small
 
 #: Bytes of a string that must not occur twice.
 LENGTH = 400
-#: Bytes of the strings among which anchors are chosen.
+#: Fewest bytes of the grams among which anchors are chosen.
 GRAM = 16
 #: Bytes of a block, on average, and different segments of one anchor that a block may hold.
 BLOCK_BYTES, CROWD = 1 << 20, 512
 
-_SLICE = 1 << 20
-_PLACE_BITS = np.uint64(21)
 
+def _gram_bytes(length: int) -> int:
+    """Bytes of a gram: long ones seldom repeat by chance, short ones make longer runs."""
+    size = GRAM
+    while 12 * size <= length:
+        size *= 2
+    return size
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the 16 bytes from each position on."""
+
+def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` bytes from each position on; ``size`` is 16 times a power of two."""
     wide = data.astype(np.uint64)
     for width in (1, 2, 4):
         wide = wide[:-width] | wide[width:] << np.uint64(8 * width)
-    mixed = wide[:-8] * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= (wide[8:] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return mixed ^ mixed >> np.uint64(32)
-
-
-def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    least, done = values, 1
-    while 2 * done <= width:
-        least, done = np.minimum(least[:-done], least[done:]), 2 * done
-    rest = width - done
-    return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+    done = 8
+    while done < size:
+        wide = mixed(wide[:-done] * np.uint64(0x9E3779B97F4A7C15) + mixed(wide[done:]))
+        done *= 2
+    return wide
 
 
-def anchors(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
+def segments_of(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
     """``(hash, first start, starts)`` of the text's segments, in order; every start is in one."""
-    starts = len(text) - length + 1
-    for at in range(0, starts, _SLICE):
-        data = np.frombuffer(text, np.uint8)[at : at + _SLICE + length - 1]
-        hashes = _gram_hashes(data)
-        # The upper bits decide, then the later place: the same choice in every equal window.
-        place = np.arange(len(hashes), dtype=np.uint64)
-        last = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
-        least = _sliding_least(hashes & ~last | last - place, length - GRAM + 1)
-        runs = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        chosen = hashes[(last - (least[runs] & last)).astype(np.int64)].astype(np.int64)
-        sizes = np.diff(np.append(runs, len(least)))
-        yield from zip(chosen.tolist(), (runs + at).tolist(), sizes.tolist())
+    if len(text) < length:
+        return
+    size, step_size = _gram_bytes(length), 1 << 22
+    # Hashes of a very long text are made in slices.
+    for at in range(0, len(text) - length + 1, step_size):
+        data = np.frombuffer(text, np.uint8)[at : at + step_size + length - 1]
+        for hashes, first, sizes in runs(_gram_hashes(data, size), length - size + 1):
+            yield from zip(hashes.tolist(), (first + at).tolist(), sizes.tolist())
 
 
 def text_key(text: str | Column) -> Column:
@@ -94,7 +87,7 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
             place, hashes, lows, sizes, digests = [], [], [], [], []
             for i, value in enumerate(batch["text"]):
                 text = _encoded(value.as_py())
-                for found, lo, n in anchors(text, length):
+                for found, lo, n in segments_of(text, length):
                     place.append(i)
                     hashes.append(found)
                     lows.append(lo)

@@ -2,7 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
-from shelfmark.llm import bwt, suffix_dedup
+from shelfmark.llm import anchors, bwt, suffix_dedup
 from shelfmark.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -65,7 +65,7 @@ def test_shared_passages_in_every_way(docs):
 
 def test_edge_cases(docs, monkeypatch):
     long = "".join(random.Random(1).choice("abcdef") for _ in range(30_000))
-    monkeypatch.setattr(suffix_dedup, "_SLICE", 7000)
+    monkeypatch.setattr(anchors, "SLICE", 7000)
     rows = [(1, None), (2, ""), (3, "short"), (4, long), (5, "x" + long[9000:12_000]), (6, "t" * 900), (6, "t" * 900), (None, "u" * 399)]
     assert rows_of(docs(*rows)) == sorted(brute([t for _, t in rows]))
     assert suffix_dedup.remove_repeats(docs(*rows).limit(0)).count() == 0
