@@ -11,6 +11,7 @@ from shelfmark.llm import (
     exact_dedup,
     language_id,
     packing,
+    quality,
     secrets,
     simhash,
     suffix_dedup,
@@ -184,3 +185,8 @@ def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
