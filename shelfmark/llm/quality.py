@@ -208,8 +208,8 @@ def score_quality(
     """``(id, votes, label, score, kept)``, one row per row of ``docs``.
 
     ``label`` is P(good) given the votes, ``score`` the regression's P(good), ``kept`` says that it is
-    at least ``least``. Null texts equal empty ones, which no labeller calls good. Repeated rows count
-    as often as they occur. Where all votes agree there is nothing to learn, and the score is the
+    at least ``least``. Texts without words, null ones too, have the score 0. Repeated rows count as
+    often as they occur. Where all votes agree there is nothing to learn, and the score is the
     label. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -235,7 +235,8 @@ def score_quality(
         scored = scorer.transform(_features(labelled)).withColumn(
             "score", vector_to_array("probability")[1]
         )
-    score = F.round("score", 6)
+    some = text_or_empty("text").rlike(r"[^\x20\x09-\x0D]")
+    score = F.when(some, F.round("score", 6)).otherwise(0.0)
     return scored.select(
         "id", "votes", F.round("good", 6).alias("label"), score.alias("score"), (score >= least).alias("kept")
     )
