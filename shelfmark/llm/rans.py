@@ -19,7 +19,8 @@ CHECKPOINT_ROWS = 128
 PRECISION = 20
 
 _MAGIC = b"RNSB"
-_HEADER = struct.Struct("<4sHHIIIIII")  # magic, version, lanes, symbols, rows, checkpoints, words, sums
+_HEADER = "<4sHHIIIIII"  # magic, version, lanes, symbols, rows, checkpoints, words, sums
+_HEADER_SIZE = struct.calcsize(_HEADER)
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 _P = np.uint64(PRECISION)
@@ -93,25 +94,25 @@ def encode(symbols: np.ndarray, table: Table) -> bytes:
         for i, s in enumerate(states)
     )
     body = marks + b"".join(w.tobytes() for w in words)
-    head = _HEADER.pack(
-        _MAGIC, 1, LANES, n, rows, len(states), int(before[-1]), table.checksum,
+    head = struct.pack(
+        _HEADER, _MAGIC, 1, LANES, n, rows, len(states), int(before[-1]), table.checksum,
         zlib.crc32(np.asarray(symbols, "<u4").tobytes()),
     )
     return head + body + struct.pack("<I", zlib.crc32(head + body))
 
 
 def _parts(block: bytes, table: Table):
-    if len(block) < _HEADER.size + 4:
+    if len(block) < _HEADER_SIZE + 4:
         raise DamagedBlock("block too short")
-    magic, version, lanes, n, rows, marks, words, table_sum, symbol_sum = _HEADER.unpack_from(block)
+    magic, version, lanes, n, rows, marks, words, table_sum, symbol_sum = struct.unpack_from(_HEADER, block)
     mark = 4 + 8 * lanes
-    if magic != _MAGIC or version != 1 or len(block) != _HEADER.size + marks * mark + 4 * words + 4:
+    if magic != _MAGIC or version != 1 or len(block) != _HEADER_SIZE + marks * mark + 4 * words + 4:
         raise DamagedBlock("not a block, or cut short")
     if zlib.crc32(block[:-4]) != struct.unpack("<I", block[-4:])[0]:
         raise DamagedBlock("checksum of the block")
     if table_sum != table.checksum:
         raise DamagedBlock("block was written with another table")
-    stream = np.frombuffer(block, "<u4", words, _HEADER.size + marks * mark)
+    stream = np.frombuffer(block, "<u4", words, _HEADER_SIZE + marks * mark)
     return lanes, n, rows, marks, mark, stream, symbol_sum
 
 
@@ -125,7 +126,7 @@ def decode(block: bytes, table: Table, first: int = 0, last: int | None = None)
     last = marks if last is None else min(last, marks)
     if first >= last:
         return np.zeros(0, np.uint32)
-    at = _HEADER.size + first * mark
+    at = _HEADER_SIZE + first * mark
     (word,) = struct.unpack_from("<I", block, at)
     state = np.frombuffer(block, "<u8", lanes, at + 4).astype(np.uint64)
     from_row, to_row = first * CHECKPOINT_ROWS, min(last * CHECKPOINT_ROWS, rows)
