@@ -987,7 +987,7 @@ def _changes_stream(spark, sf_dir):
 def _(spark, sf_dir):
     out = scratch_path(spark, "settled")
     settled = d.debounce_stream(
-        change_log.filter_ignored(_changes_stream(spark, sf_dir)), DELAY, LATENESS
+        change_log.filter_ignored(_changes_stream(spark, sf_dir)), LATENESS, DELAY
     )
     _finished(
         settled.writeStream.outputMode("append")
@@ -1000,26 +1000,33 @@ def _(spark, sf_dir):
     return _known_size(_plain_times(spark.read.schema(settled.schema).parquet(out)))
 
 
-DERIVED_SQL["settled_decisive"] = f"""
+def _decisive_sql(source: str) -> str:
+    return f"""
 SELECT *, {_DERIVED_NAMES} FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, seq DESC) AS rn2
-  FROM settled WHERE op NOT IN ('create', 'modify') OR size IS NOT NULL) WHERE rn2 = 1
+  FROM {source} WHERE op NOT IN ('create', 'modify') OR size IS NOT NULL) WHERE rn2 = 1
 """
 
 
-def _maintained(spark, sf_dir, merge_every):
+DERIVED_SQL["settled_decisive"] = _decisive_sql("settled")
+DERIVED_SQL["drained_decisive"] = _decisive_sql("watched_sessions")
+
+
+def _maintained(spark, sf_dir, merge_every, stream=None, lateness=LATENESS, drained=False):
     folder = scratch_path(spark, "catalog")
     snapshot.save_catalog(_home(spark, sf_dir), folder)
     _finished(
         maintain.maintain_catalog(
-            _changes_stream(spark, sf_dir),
+            _changes_stream(spark, sf_dir) if stream is None else stream,
             folder,
             scratch_path(spark, "checkpoint"),
+            lateness,
             DELAY,
-            LATENESS,
             merge_every,
             {"availableNow": True},
         )
     )
+    if drained:
+        maintain.drain(spark, folder)
     return _plain_times(maintain.current_catalog(spark, folder))
 
 
@@ -1027,6 +1034,24 @@ MAINTAINED_SQL = f"""
 SELECT {ROW} FROM home ANTI JOIN settled_decisive USING (path) UNION ALL
 SELECT {ROW} FROM settled_decisive WHERE op IN ('create', 'modify')
 """
+DRAINED_SQL = MAINTAINED_SQL.replace("settled_decisive", "drained_decisive")
+
+
+@query("str6_drain", DRAINED_SQL)
+def _(spark, sf_dir):
+    """After a drain the catalog is what one batch over all changes gives."""
+    return _maintained(spark, sf_dir, 1, drained=True)
+
+
+@query("str6_maintain_catalog_out_of_order", DRAINED_SQL)
+def _(spark, sf_dir):
+    """The changes come in four batches in any order, and no lateness is allowed for: none is lost."""
+    folder = scratch_path(spark, "shuffled-changes")
+    rows = workload.changes(spark, sf_dir)
+    for part in range(4):
+        rows.filter(F.pmod(F.xxhash64("seq"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return _maintained(spark, sf_dir, 1, stream, timedelta(0), drained=True)
 
 
 @query("str6_maintain_catalog", MAINTAINED_SQL)
@@ -1174,7 +1199,7 @@ def _(spark, sf_dir):
         return write
 
     settled = d.debounce_stream(
-        change_log.filter_ignored(_changes_stream(spark, sf_dir)), DELAY, LATENESS
+        change_log.filter_ignored(_changes_stream(spark, sf_dir)), LATENESS, DELAY
     )
     _finished(
         maintain.deliver_changes(

@@ -76,7 +76,7 @@ def _list_trees(
     for number, root in enumerate(roots):
         path = os.path.abspath(root)
         if not os.path.lexists(path):
-            raise FileNotFoundError(f"path does not exist: {path}")
+            raise FileNotFoundError(f"no such root: {path}")
         first.append(_entry(number, path, os.lstat(path), os.path.isdir(path)))
     base = scratch_path(spark, "listing")
     slots = spark.sparkContext.defaultParallelism * 4

@@ -9,8 +9,10 @@ time.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
@@ -20,9 +22,13 @@ from shelfmark.schema import CATALOG_COLUMNS, CATALOG_SCHEMA
 # Fixed value: the only snapshot format version.
 FORMAT_VERSION = "1.0"
 
+#: Watermark of a catalog to which no changes were applied: before any time.
+NEVER = -(1 << 62)
+
 MANIFEST_SCHEMA = (
     "version string, created_at timestamp, file_count long, total_size long, "
-    "compressed boolean, data string, applied_batch long"
+    "compressed boolean, data string, applied_batch long, number long, base string, "
+    "generation long, watermark long, delay long, lateness long"
 )
 
 # Fields of a snapshot document in JSON, in their order, and the compact text between
@@ -45,12 +51,14 @@ def _publish(spark: SparkSession, folder: str, manifest: dict) -> None:
 
 
 def read_manifest(spark: SparkSession, folder: str) -> Row | None:
-    """The newest manifest row, or ``None`` where nothing was saved."""
+    """The manifest row with the highest number, or ``None`` where nothing was saved."""
     try:
         rows = spark.read.schema(MANIFEST_SCHEMA).json(f"{folder}/manifests")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return rows.orderBy(F.col("created_at").desc(), F.col("applied_batch").desc()).first()
+    return rows.orderBy(F.col("number").desc()).first()
 
 
 def save_catalog(
@@ -59,19 +67,27 @@ def save_catalog(
     compress: bool = True,
     partitions: int | None = None,
     applied_batch: int = -1,
+    watermark: int = NEVER,
+    base: str | None = None,
+    generation: int = 0,
+    delay: int | None = None,
+    lateness: int | None = None,
 ) -> Row:
-    """Write a new version and return its manifest.
+    """Write a new version and return its manifest; a repeated path is refused.
 
     Without ``partitions`` Spark sizes the files itself (adaptive coalescing after the shuffle).
-    Counts come from the written files, so the input is not evaluated again for them.
+    Counts come from the written files, so the input is not evaluated again for them. The last
+    arguments are for ``maintain_catalog``: how far its log is applied, to which version, and its times.
     """
     spark = df.sparkSession
+    before = read_manifest(spark, folder)
     name = uuid.uuid4().hex
     numbers = [partitions] if partitions else []
     ranged = df.select(*CATALOG_COLUMNS).repartitionByRange(*numbers, "path")
     codec = "zstd" if compress else "none"
     data = f"{folder}/data/{name}"
     ranged.sortWithinPartitions("path").write.option("compression", codec).parquet(data)
+    _check_paths(spark.read.parquet(data))
     totals = (
         spark.read.parquet(data)
         .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
@@ -85,34 +101,47 @@ def save_catalog(
         "compressed": compress,
         "data": name,
         "applied_batch": applied_batch,
+        "number": 0 if before is None else before.number + 1,
+        "base": base or name,
+        "generation": generation,
+        "watermark": watermark,
+        "delay": delay,
+        "lateness": lateness,
     }
     _publish(spark, folder, manifest)
     return Row(**manifest)
 
 
-def _checked_manifest(spark: SparkSession, folder: str) -> Row:
-    manifest = read_manifest(spark, folder)
+def _checked_manifest(spark: SparkSession, folder: str, manifest: Row | None = None) -> Row:
+    manifest = manifest or read_manifest(spark, folder)
     if manifest is None:
-        raise FileNotFoundError(f"catalog does not exist: {folder}")
-    if manifest.version != FORMAT_VERSION:
-        raise ValueError(
-            f"unsupported catalog version: {manifest.version} (expected {FORMAT_VERSION})"
-        )
+        raise FileNotFoundError(f"no catalog was saved in {folder}")
+    _check_format(manifest.version)
     return manifest
 
 
+def _check_format(version: str) -> None:
+    if version != FORMAT_VERSION:
+        raise ValueError(f"format {version} is not known, only {FORMAT_VERSION}")
+
+
 def _check_count(manifest: Row, found: int) -> None:
     if manifest.file_count != found:
-        raise ValueError(
-            f"file count mismatch: metadata says {manifest.file_count}, but found {found} files"
-        )
+        raise ValueError(f"{manifest.file_count} files were recorded and {found} are there")
 
 
-def load_catalog(spark: SparkSession, folder: str, check_count: bool = True) -> DataFrame:
-    """The newest version. The row count is compared with the manifest, from the file footers
-    alone; ``check_count=False`` saves opening every file where the count was checked before."""
-    manifest = _checked_manifest(spark, folder)
-    df = spark.read.parquet(f"{folder}/data/{manifest.data}")
+def read_version(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/data/{name}")
+
+
+def load_catalog(
+    spark: SparkSession, folder: str, check_count: bool = True, manifest: Row | None = None
+) -> DataFrame:
+    """The newest version, or that of a manifest read before. The row count is compared with the
+    manifest, from the file footers alone; ``check_count=False`` saves opening every file where the
+    count was checked before."""
+    manifest = _checked_manifest(spark, folder, manifest)
+    df = read_version(spark, folder, manifest.data)
     if check_count:
         _check_count(manifest, df.count())
     return df
@@ -120,21 +149,48 @@ def load_catalog(spark: SparkSession, folder: str, check_count: bool = True) ->
 
 def validate_catalog(spark: SparkSession, folder: str) -> None:
     """Raise for a missing, foreign or damaged catalog, or for one with a repeated path."""
-    df = load_catalog(spark, folder)
-    repeated = df.groupBy("path").count().filter("count > 1").limit(1).collect()
+    _check_paths(load_catalog(spark, folder))
+
+
+def _check_paths(saved: DataFrame) -> None:
+    """Raise if a path repeats in a saved version, without a shuffle of its rows.
+
+    Files hold ranges of paths in order, so a repeat is next to its like in one file: every file gives
+    its first and last path, and any path equal to the one before it.
+    """
+
+    def per_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task may read several files, and parts of files, one after the other.
+        for batch in batches:
+            files, found = batch["file"].to_pylist(), batch["path"].to_pylist()
+            last = len(found) - 1
+            edges = [
+                i for i in range(last + 1)
+                if i in (0, last) or found[i] in (found[i - 1], found[i + 1]) or files[i] != files[i - 1]
+            ]
+            yield batch.take(pa.array(edges, pa.int64())).select(["path"])
+
+    named = saved.select("path", F.input_file_name().alias("file"))
+    few = named.mapInArrow(per_part, "path string")
+    repeated = few.groupBy("path").count().filter("count > 1").limit(1).collect()
     if repeated:
         raise ValueError(f"path is repeated: {repeated[0].path}")
 
 
 def backup_catalog(spark: SparkSession, folder: str, now: datetime | None = None) -> str:
-    """Copy the newest version next to the folder; returns the copy's location."""
+    """Copy the newest version next to the folder; returns the copy's location.
+
+    The copy keeps the order of the paths: every file is range-partitioned and sorted like the
+    original, so searches in it skip as much. It is a catalog of its own, without a change log.
+    """
     manifest = _checked_manifest(spark, folder)
     moment = now or datetime.now(timezone.utc)
     target = f"{folder.rstrip('/')}.backup.{moment:%Y%m%d_%H%M%S}"
     codec = "zstd" if manifest.compressed else "none"
-    data = spark.read.parquet(f"{folder}/data/{manifest.data}")
-    data.write.option("compression", codec).parquet(f"{target}/data/{manifest.data}")
-    _publish(spark, target, manifest.asDict())
+    data = read_version(spark, folder, manifest.data)
+    ranged = data.repartitionByRange("path").sortWithinPartitions("path")
+    ranged.write.option("compression", codec).parquet(f"{target}/data/{manifest.data}")
+    _publish(spark, target, manifest.asDict() | {"number": 0, "base": manifest.data})
     return target
 
 
@@ -146,11 +202,8 @@ def clear_catalog(spark: SparkSession, folder: str) -> None:
 
 def _check_head(head: Row | None, found: int, path: str) -> None:
     if head is None or head.version is None:
-        raise ValueError(f"invalid JSON format: {path}")
-    if head.version != FORMAT_VERSION:
-        raise ValueError(
-            f"unsupported catalog version: {head.version} (expected {FORMAT_VERSION})"
-        )
+        raise ValueError(f"not a snapshot document: {path}")
+    _check_format(head.version)
     _check_count(head, found)
 
 

@@ -17,7 +17,7 @@ CELLS_PER_BLOCK = 4_096
 DETAILS = ["seq", "op", "size", "modified_time", "is_dir"]
 
 
-def _micros(delay: timedelta) -> int:
+def micros(delay: timedelta) -> int:
     return delay // timedelta(microseconds=1)
 
 
@@ -47,7 +47,7 @@ def _sessions(df: DataFrame, keys: list[str], delay: int) -> DataFrame:
 def debounce(changes: DataFrame, delay: timedelta = DEFAULT_DELAY) -> DataFrame:
     """Settled changes of a batch: one row per session with its last change, and its end
     (``settled_at``, the last change's time plus ``delay``)."""
-    width = _micros(delay)
+    width = micros(delay)
     details = _details(changes)
     stamped = changes.withColumn("ts", F.col("ts").cast("timestamp"))
     cells = (
@@ -68,19 +68,23 @@ def debounce(changes: DataFrame, delay: timedelta = DEFAULT_DELAY) -> DataFrame:
 
 
 def _plus(ts: Column, delay: timedelta) -> Column:
-    return F.timestamp_micros(F.unix_micros(ts) + _micros(delay))
+    return F.timestamp_micros(F.unix_micros(ts) + micros(delay))
 
 
 def debounce_stream(
-    changes: DataFrame, delay: timedelta = DEFAULT_DELAY, lateness: timedelta = timedelta(0)
+    changes: DataFrame, lateness: timedelta, delay: timedelta = DEFAULT_DELAY
 ) -> DataFrame:
     """The same as a stream, by session windows: a session comes out once the watermark (newest
-    time seen less ``lateness``) has passed its end; changes later than that are dropped."""
+    time seen less ``lateness``) has passed its end.
+
+    What has come out cannot be taken back, so a change that comes later than that is dropped; choose
+    ``lateness`` accordingly, or use ``maintain_catalog``, which keeps every change.
+    """
     details = _details(changes)
     stamped = changes.withColumn("ts", F.col("ts").cast("timestamp"))
-    window = F.session_window("ts", f"{_micros(delay)} microseconds")
+    window = F.session_window("ts", f"{micros(delay)} microseconds")
     sessions = (
-        stamped.withWatermark("ts", f"{_micros(lateness)} microseconds")
+        stamped.withWatermark("ts", f"{micros(lateness)} microseconds")
         .groupBy("path", window.alias("window"))
         .agg(F.max(F.struct("ts", *details)).alias("last"))
     )

@@ -1,82 +1,155 @@
-"""Keeping a saved catalog current from a stream of changes."""
+"""Keeping a saved catalog current from a stream of changes.
+
+The catalog's folder has the changes themselves beside the saved versions, so that no change is ever
+too late: what arrives out of order is put in its place by time. A merge looks again at the paths
+that the new batches name and at those whose sessions were still open, takes all their changes,
+debounces them, and applies the settled ones to the base version, the one the changes start from.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfmark.operators.merge import apply_changes, effective_changes
-from shelfmark.plans.storage import reliable
+from shelfmark.operators.merge import apply_changes, effective_changes, replace_paths
+from shelfmark.plans.sizing import keep_keys_of
+from shelfmark.plans.storage import read_if_there, reliable
 from shelfmark.schema import CATALOG_SCHEMA, catalog_from_manifest
 from shelfmark.sources.change_log import filter_ignored
-from shelfmark.sources.snapshot import load_catalog, read_manifest, save_catalog
-from shelfmark.streaming.debounce import DEFAULT_DELAY, debounce_stream
+from shelfmark.sources.snapshot import load_catalog, read_manifest, read_version, save_catalog
+from shelfmark.streaming.debounce import DEFAULT_DELAY, debounce, micros
 
 
-def _waiting_folder(folder: str, applied: int) -> str:
-    """Changes that wait beside the version which contains everything up to batch ``applied``.
+def _log_folder(folder: str, generation: int) -> str:
+    return f"{folder}/changes/generation={generation}"
 
-    Each saved version has its own folder, so old batches are never listed again.
-    """
-    return f"{folder}/changes/since={applied}"
+
+def _log(spark: SparkSession, folder: str, manifest: Row) -> DataFrame | None:
+    return read_if_there(spark, _log_folder(folder, manifest.generation))
 
 
-def _waiting_changes(spark: SparkSession, folder: str, applied: int) -> DataFrame | None:
-    """Settled changes that the saved version does not contain yet."""
-    try:
-        changes = spark.read.parquet(_waiting_folder(folder, applied))
-    except AnalysisException:
+def _merged(
+    spark: SparkSession, folder: str, manifest: Row, delay: int, lateness: int, drained: bool
+) -> tuple[DataFrame, int, int] | None:
+    """Catalog with what has settled, its watermark and the last batch in it; ``None`` if nothing is new.
+
+    With ``drained`` every session counts as settled.
+    """
+    log = _log(spark, folder, manifest)
+    if log is None:
         return None
-    return changes.filter(F.col("batch_id") > applied).drop("batch_id")
+    log = log.withColumn("ts", F.col("ts").cast("timestamp"))
+    last = log.agg(F.max(F.unix_micros("ts")).alias("ts"), F.max("batch_id").alias("batch")).first()
+    if last.ts is None:
+        return None
+    watermark = last.ts + delay if drained else last.ts - lateness
+    if last.batch <= manifest.applied_batch and watermark <= manifest.watermark:
+        return None
+    watermark = max(watermark, manifest.watermark)
+    new = F.col("batch_id") > manifest.applied_batch
+    open_before = F.unix_micros("ts") > manifest.watermark - delay
+    touched = reliable(log.filter(new | open_before).select("path").distinct())
+    rows = keep_keys_of(log.drop("batch_id"), touched, "path").join(touched, "path", "left_semi")
+    settled = debounce(rows, timedelta(microseconds=delay)).filter(
+        F.unix_micros("settled_at") <= watermark
+    )
+    base = read_version(spark, folder, manifest.base).join(touched, "path", "left_semi")
+    state = apply_changes(base, settled.drop("settled_at"))
+    current = load_catalog(spark, folder, check_count=False, manifest=manifest)
+    return replace_paths(current, touched, state), watermark, last.batch
 
 
 def current_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest saved version with the changes since then applied."""
-    catalog = load_catalog(spark, folder)
-    waiting = _waiting_changes(spark, folder, read_manifest(spark, folder).applied_batch)
-    return catalog if waiting is None else apply_changes(catalog, waiting)
+    """The newest saved version with what has settled since then."""
+    manifest = read_manifest(spark, folder)
+    found = None
+    if manifest is not None and manifest.delay is not None:
+        found = _merged(spark, folder, manifest, manifest.delay, manifest.lateness, False)
+    return load_catalog(spark, folder, manifest=manifest) if found is None else found[0]
+
+
+def _save_merged(spark: SparkSession, folder: str, delay: int, lateness: int, drained: bool) -> None:
+    manifest = read_manifest(spark, folder)
+    found = _merged(spark, folder, manifest, delay, lateness, drained)
+    if found is not None:
+        merged, watermark, batch = found
+        save_catalog(
+            merged, folder, applied_batch=batch, watermark=watermark, base=manifest.base,
+            generation=manifest.generation, delay=delay, lateness=lateness,
+        )
+
+
+def drain(spark: SparkSession, folder: str) -> None:
+    """Settle everything that still waits and save it, as at the end of a stream.
+
+    The catalog is then what one batch over all changes gives. A stream may go on afterwards.
+    """
+    manifest = read_manifest(spark, folder)
+    if manifest is not None and manifest.delay is not None:
+        _save_merged(spark, folder, manifest.delay, manifest.lateness, True)
+
+
+def compact(spark: SparkSession, folder: str) -> None:
+    """Drain, and start a new log on the result; later changes count as newer than all before.
+
+    Merges read the log since the last compaction. The old log stays in its folder.
+    """
+    drain(spark, folder)
+    manifest = read_manifest(spark, folder)
+    catalog = load_catalog(spark, folder, manifest=manifest)
+    save_catalog(
+        catalog, folder, applied_batch=manifest.applied_batch, generation=manifest.generation + 1,
+        delay=manifest.delay, lateness=manifest.lateness,
+    )
 
 
 def maintain_catalog(
     changes: DataFrame,
     folder: str,
     checkpoint: str,
+    lateness: timedelta,
     delay: timedelta = DEFAULT_DELAY,
-    lateness: timedelta = timedelta(0),
     merge_every: int = 1,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Leave out ignored paths, debounce, and apply what has settled to the catalog in ``folder``.
 
-    Every micro-batch is first written under its own number, and every ``merge_every``-th one is
-    merged with those before it into a new catalog version that records the number; a repeated
-    batch overwrites its own part and is not merged twice. A catalog belongs to one checkpoint,
-    whose batch numbers it records. Raise ``merge_every`` where the catalog
-    is large: rewriting it per batch costs far more than reading the waiting changes with it
-    (``current_catalog``).
+    A session settles when changes more than ``lateness`` after its end have been seen; a change that
+    comes later still is not lost, its path is settled anew from all its changes. Every micro-batch is
+    written under its own number, and every ``merge_every``-th is merged with those before it into a new
+    catalog version that records the number; a repeated batch overwrites its own part and is not merged
+    twice. A catalog belongs to one checkpoint. Raise ``merge_every`` where the catalog is large:
+    rewriting it per batch costs far more than settling the waiting changes on reading
+    (``current_catalog``). Call ``drain`` at the end, and ``compact`` from time to time.
     """
+    waits, late = micros(delay), micros(lateness)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        applied = read_manifest(spark, folder).applied_batch
-        batch.drop("settled_at").write.mode("overwrite").parquet(
-            f"{_waiting_folder(folder, applied)}/batch_id={batch_id}"
+        manifest = read_manifest(spark, folder)
+        if batch.isEmpty():
+            return
+        batch.write.mode("overwrite").parquet(
+            f"{_log_folder(folder, manifest.generation)}/batch_id={batch_id}"
         )
-        if batch_id > applied and (batch_id + 1) % merge_every == 0:
-            waiting = _waiting_changes(spark, folder, applied)
-            merged = apply_changes(load_catalog(spark, folder, check_count=False), waiting)
-            save_catalog(merged, folder, applied_batch=batch_id)
+        if batch_id > manifest.applied_batch and (batch_id + 1) % merge_every == 0:
+            _save_merged(spark, folder, waits, late, False)
 
     spark = changes.sparkSession
-    if read_manifest(spark, folder) is None:
-        save_catalog(spark.createDataFrame([], CATALOG_SCHEMA), folder)
-    settled = debounce_stream(filter_ignored(changes), delay, lateness)
+    manifest = read_manifest(spark, folder)
+    if manifest is None:
+        save_catalog(spark.createDataFrame([], CATALOG_SCHEMA), folder, delay=waits, lateness=late)
+    elif (manifest.delay, manifest.lateness) != (waits, late):
+        save_catalog(
+            load_catalog(spark, folder, manifest=manifest), folder, applied_batch=manifest.applied_batch,
+            watermark=manifest.watermark, base=manifest.base, generation=manifest.generation,
+            delay=waits, lateness=late,
+        )
     return (
-        settled.writeStream.outputMode("append")
+        filter_ignored(changes).writeStream.outputMode("append")
         .foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "10 seconds"}))

@@ -208,7 +208,7 @@ def test_damaged_snapshots(catalog, spark, tmp_path):
         snapshot._publish(spark, folder, {**manifest, **change})
         return folder
 
-    with pytest.raises(ValueError, match="unsupported catalog version: 2.0"):
+    with pytest.raises(ValueError, match="format 2.0"):
         snapshot.load_catalog(spark, with_manifest("v", {"version": "2.0"}))
     with pytest.raises(ValueError, match="metadata says 5, but found 2"):
         snapshot.validate_catalog(spark, with_manifest("n", {"file_count": 5}))
@@ -349,7 +349,7 @@ def test_maintain_catalog(spark, catalog, tmp_path, merge_every):
     def run():
         stream = spark.readStream.schema(CHANGE_SCHEMA).parquet(log)
         maintain.maintain_catalog(
-            stream, folder, checkpoint, timedelta(seconds=10), timedelta(0), merge_every, {"availableNow": True}
+            stream, folder, checkpoint, timedelta(0), timedelta(seconds=10), merge_every, {"availableNow": True}
         ).awaitTermination()
         return sizes(maintain.current_catalog(spark, folder))
 
@@ -368,11 +368,46 @@ def test_maintain_catalog_repeats_a_batch_safely(spark, catalog, tmp_path):
     for attempt in range(2):
         stream = spark.readStream.schema(CHANGE_SCHEMA).parquet(log)
         maintain.maintain_catalog(
-            stream, folder, str(tmp_path / f"checkpoint{attempt}"), timedelta(seconds=10), trigger={"availableNow": True}
+            stream, folder, str(tmp_path / f"checkpoint{attempt}"), timedelta(0), timedelta(seconds=10), trigger={"availableNow": True}
         ).awaitTermination()
         assert sizes(maintain.current_catalog(spark, folder)) == {"/a": 5}
 
 
+def test_late_changes_are_not_lost(spark, catalog, tmp_path):
+    folder, log, checkpoint = (str(tmp_path / n) for n in ("catalog", "log", "checkpoint"))
+    snapshot.save_catalog(catalog(("/base", 1), ("/gone", 2)), folder)
+
+    def run():
+        stream = spark.readStream.schema(CHANGE_SCHEMA).parquet(log)
+        maintain.maintain_catalog(
+            stream, folder, checkpoint, timedelta(0), timedelta(seconds=5), trigger={"availableNow": True}
+        ).awaitTermination()
+        return sizes(maintain.current_catalog(spark, folder))
+
+    write_log(spark, log, [(0, "/a", "create", 1), (100, "/b", "create", 2), (110, "/gone", "delete", None)])
+    assert run() == {"/base": 1, "/gone": 2, "/a": 1, "/b": 2}
+    # Late: a new path, a change older than the one applied, and one between two others.
+    write_log(spark, log, [(50, "/late", "create", 3), (40, "/b", "delete", None), (200, "/b", "modify", 5)])
+    assert run() == {"/base": 1, "/late": 3, "/a": 1, "/b": 2}
+    write_log(spark, log, [(150, "/b", "modify", 4), (60, "/gone", "modify", 9)])
+    assert run() == {"/base": 1, "/late": 3, "/a": 1, "/b": 4}
+    number = snapshot.read_manifest(spark, folder).number
+    assert run() == {"/base": 1, "/late": 3, "/a": 1, "/b": 4}
+    assert snapshot.read_manifest(spark, folder).number == number  # nothing new, nothing written
+    maintain.drain(spark, folder)
+    assert sizes(maintain.current_catalog(spark, folder)) == {"/base": 1, "/late": 3, "/a": 1, "/b": 5}
+    maintain.compact(spark, folder)
+    write_log(spark, log, [(300, "/late", "delete", None), (400, "/c", "create", 1)])
+    assert run() == {"/base": 1, "/a": 1, "/b": 5}
+
+
+def test_repeated_paths_are_refused(spark, catalog, tmp_path):
+    twice = catalog(*[f"/{i}" for i in range(30)]).unionByName(catalog("/7"))
+    with pytest.raises(ValueError, match="/7"):
+        snapshot.save_catalog(twice, str(tmp_path / "c"), partitions=3)
+    assert snapshot.read_manifest(spark, str(tmp_path / "c")) is None
+
+
 def test_stream_settles_a_subset_of_the_batch(spark, tmp_path):
     rng = random.Random(5)
     rows = [(rng.uniform(0, 200), f"/p{rng.randint(0, 9)}", "modify", i) for i in range(200)]
@@ -380,7 +415,7 @@ def test_stream_settles_a_subset_of_the_batch(spark, tmp_path):
     write_log(spark, log, rows)
     delay = timedelta(seconds=3)
     stream = spark.readStream.schema(CHANGE_SCHEMA).parquet(log)
-    settled = d.debounce_stream(stream, delay)
+    settled = d.debounce_stream(stream, timedelta(0), delay)
     settled.writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", str(tmp_path / "cp")
     ).trigger(availableNow=True).start().awaitTermination()
@@ -396,7 +431,7 @@ def test_deliver_changes(spark, tmp_path):
     got = {"upsert": [], "delete": []}
     stream = spark.readStream.schema(CHANGE_SCHEMA).parquet(log)
     maintain.deliver_changes(
-        d.debounce_stream(stream, timedelta(seconds=5)),
+        d.debounce_stream(stream, timedelta(0), timedelta(seconds=5)),
         lambda df, _: got["upsert"].extend(paths(df)),
         lambda df, _: got["delete"].extend(paths(df)),
         str(tmp_path / "cp"),
