@@ -23,13 +23,13 @@ from itertools import islice
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.functions import regex
 from shelfmark.functions.scoring import MEDIUM_BYTES, SMALL_BYTES, score_name, score_size
 from shelfmark.functions.text import for_value, like_literal, wildcard_to_like
 from shelfmark.operators.fuzzy_join import close_pairs
 from shelfmark.operators.prefixes import beginnings, with_prefixes
-from shelfmark.operators.query_table import java_regex
 from shelfmark.operators.rank import by_score
-from shelfmark.operators.search import spark_regex
+from shelfmark.operators.search import MAX_FUZZY_DISTANCE, MIN_FUZZY_DISTANCE
 from shelfmark.plans.sizing import (
     BROADCAST_BYTES,
     broadcast_if_small,
@@ -88,8 +88,9 @@ def required_text(pattern: Column, kind: Column) -> Column:
     for _ in range(4):
         plain = F.regexp_replace(plain, r"\([^()]*\)", "\n")
     unsafe = unsafe | plain.rlike(r"[|()\[\]]")
+    # Counts go first, with what they count and the mark that makes them lazy.
+    plain = F.regexp_replace(plain, r"[^\n]?\{[0-9,]*\}[?]?", "\n")
     plain = F.regexp_replace(plain, r"[^\n](?=[*?{])", "\n")
-    plain = F.regexp_replace(plain, r"\{[0-9,]*\}", "\n")
     runs = F.when(
         kind == "regex", F.split(F.when(unsafe, "").otherwise(plain), r"[\n.^$*+?{}]+")
     ).otherwise(F.split(pattern, r"[*?]+"))
@@ -104,11 +105,15 @@ def _prepared(wanted: DataFrame) -> DataFrame:
     folded = F.when(F.col("folds"), F.lower("pattern")).otherwise(F.col("pattern"))
     needle = (
         F.when(F.col("type") == "wildcard", wildcard_to_like(folded))
-        .when(F.col("type") == "regex", java_regex(F.col("pattern")))
+        .when(F.col("type") == "regex", regex.to_java(F.col("pattern")))
         .otherwise(folded)
     )
+    distance = F.greatest(
+        F.lit(MIN_FUZZY_DISTANCE), F.least(F.lit(MAX_FUZZY_DISTANCE), "fuzzy_distance")
+    )
+    clamped = F.when(F.col("type") == "fuzzy", distance).otherwise(F.col("fuzzy_distance"))
     return (
-        wanted.withColumn("folds", folds)
+        wanted.withColumns({"folds": folds, "fuzzy_distance": clamped})
         .withColumns({"needle": needle, "anchor": required_text(folded, F.col("type"))})
         .selectExpr("*", f"IF(anchor IS NULL, NULL, least({GRAM}, char_length(anchor))) AS gram_size")
         .selectExpr(
@@ -195,14 +200,14 @@ def _match_keyed(
 
 def _match_literals(named: DataFrame, wanted: DataFrame) -> DataFrame | None:
     """Patterns without required text, as literal conditions in scans of 64 each."""
-    rows = wanted.select("qkey", "type", "pattern", "case_sensitive").toLocalIterator()
+    rows = wanted.select("qkey", "type", "pattern", "case_sensitive", "needle").toLocalIterator()
     found = None
     while chunk := list(islice(rows, LITERALS_PER_SCAN)):
         hits = []
         for row in chunk:
             name = F.col("name") if row.case_sensitive else F.lower("name")
             if row.type == "regex":
-                hit = F.col("name").rlike(spark_regex(row.pattern))
+                hit = F.col("name").rlike(row.needle)
             else:
                 hit = name.like(like_literal(row.pattern))
             hits.append(F.when(hit, F.lit(row.qkey)))

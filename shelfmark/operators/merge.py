@@ -31,9 +31,9 @@ def replace_paths(catalog: DataFrame, gone: DataFrame, added: DataFrame) -> Data
 
 
 def upsert(catalog: DataFrame, rows: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Add rows or replace those of the same path; the last by ``order`` wins; blank paths drop.
+    """Add rows or replace those of the same path; blank paths drop.
 
-    Without ``order`` the rows must have distinct paths.
+    Of rows with one path the last by ``order`` wins, without ``order`` the one modified last.
     """
     given = _one_per_path(rows.filter(F.col("path") != ""), order)
     return replace_paths(catalog, given, given)
@@ -41,8 +41,7 @@ def upsert(catalog: DataFrame, rows: DataFrame, order: list[str] | None = None)
 
 def _one_per_path(rows: DataFrame, order: list[str] | None) -> DataFrame:
     """The last row of every path, computed once: the merge reads it several times."""
-    if not order:
-        return rows
+    order = order or ["modified_time"]
     extra = [c for c in order if c not in CATALOG_COLUMNS]
     return reliable(latest_per_path(rows, order, CATALOG_COLUMNS + extra))
 
@@ -61,7 +60,7 @@ def union_last_wins(frames: list[DataFrame]) -> DataFrame:
 def update_existing(
     catalog: DataFrame, rows: DataFrame, order: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Replace only paths that are present; without ``order`` the rows must have distinct paths.
+    """Replace only paths that are present; of rows with one path the last counts, as in ``upsert``.
 
     Returns the catalog and a report ``(path, found)`` with one row per given path.
     """

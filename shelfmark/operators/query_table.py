@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.functions import regex
 from shelfmark.functions.text import parse_size
 from shelfmark.operators.search import (
     DEFAULT_FUZZY_DISTANCE,
     MAX_FUZZY_DISTANCE,
     MIN_FUZZY_DISTANCE,
-    UNSUPPORTED_REGEX,
 )
 from shelfmark.schema import QUERY_SCHEMA
 
@@ -21,6 +21,7 @@ from shelfmark.schema import QUERY_SCHEMA
 TYPE_WORDS = ["regex", "fuzzy", "exact"]
 TYPE_WORD = f"^({'|'.join(TYPE_WORDS)}):"
 
+MAX_BYTES = (1 << 63) - 1
 SIZE_OPTION = r"^(>=|<=|>|<)(.*)\z"
 
 # A token that belongs to the pattern: one without a colon, or a first one with a type word.
@@ -28,10 +29,12 @@ _IS_PATTERN = f"(NOT contains(t, ':') OR (i = 0 AND t RLIKE r'{TYPE_WORD}'))"
 
 
 def _read_size(value: Column) -> Column:
-    """Operator, bytes (NULL if unreadable) and text of one size option."""
+    """Operator, bytes (NULL if unreadable, or if nothing can be beyond) and text of one size option."""
+    operator = F.regexp_extract(value, SIZE_OPTION, 1)
+    bytes_ = parse_size(F.regexp_extract(value, SIZE_OPTION, 2))
     return F.struct(
-        F.regexp_extract(value, SIZE_OPTION, 1).alias("operator"),
-        parse_size(F.regexp_extract(value, SIZE_OPTION, 2)).alias("bytes"),
+        operator.alias("operator"),
+        F.when((operator != ">") | (bytes_ < MAX_BYTES), bytes_).alias("bytes"),
         value.alias("text"),
     )
 
@@ -55,16 +58,7 @@ def _bound(inclusive: str, strict: str, step: str) -> str:
 
 def regex_is_valid(pattern: Column) -> Column:
     """False for a regex that does not compile or has unsupported constructs."""
-    compiled = F.try_reflect(
-        F.lit("java.util.regex.Pattern"), F.lit("compile"), java_regex(pattern)
-    )
-    bare = F.regexp_replace(pattern, r"\\\\", "")
-    return compiled.isNotNull() & ~bare.rlike(UNSUPPORTED_REGEX)
-
-
-def java_regex(pattern: Column) -> Column:
-    """Column form of ``search.spark_regex``."""
-    return F.concat(F.lit("(?d)"), F.replace(pattern, F.lit("(?P<"), F.lit("(?<")))
+    return regex.compiles(regex.to_java(pattern)) & ~regex.is_unsupported(pattern)
 
 
 def parse_queries(df: DataFrame, query_id: str = "query_id", raw: str = "raw") -> DataFrame:
@@ -119,10 +113,10 @@ def parse_queries(df: DataFrame, query_id: str = "query_id", raw: str = "raw") -
     checked = settings.withColumn("regex_ok", valid)
     return checked.selectExpr(
         *[f.name for f in QUERY_SCHEMA if f.name != "error"],
-        """CASE WHEN blank THEN 'query cannot be empty'
-                WHEN bad_size IS NOT NULL THEN concat("invalid size filter '", bad_size, "'")
-                WHEN trim(pattern) = '' AND NOT filters_only THEN 'search pattern cannot be empty'
-                WHEN NOT regex_ok THEN 'invalid regex pattern' END AS error""",
+        """CASE WHEN blank THEN 'nothing is asked for'
+                WHEN bad_size IS NOT NULL THEN concat('not a size: ', bad_size)
+                WHEN trim(pattern) = '' AND NOT filters_only THEN 'there is no pattern'
+                WHEN NOT regex_ok THEN 'this regex cannot be used' END AS error""",
     )
 
 
@@ -136,11 +130,11 @@ def validate_queries(queries: DataFrame) -> DataFrame:
         "error",
         F.coalesce(
             F.col("error"),
-            F.when(no_pattern, "query pattern is empty"),
+            F.when(no_pattern, "there is neither a pattern nor a filter"),
             F.when(
                 crossed,
                 F.format_string(
-                    "min size (%d) cannot be greater than max size (%d)",
+                    "least size %d is above largest size %d",
                     F.col("min_size"),
                     F.col("max_size"),
                 ),

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from shelfmark.functions import regex
 from shelfmark.functions.naming import dotted, stem_of
 from shelfmark.functions.predicates import has_any_extension, matches_extension
 from shelfmark.functions.text import like_literal, within_distance
@@ -21,10 +22,6 @@ from shelfmark.plans.sizing import broadcast_if_small
 # Fuzzy distance used when none is given, and its limits.
 DEFAULT_FUZZY_DISTANCE, MIN_FUZZY_DISTANCE, MAX_FUZZY_DISTANCE = 2, 1, 5
 
-# Constructs that linear-time regex dialects do not have: look-around, atomic groups,
-# back-references, possessive quantifiers.
-UNSUPPORTED_REGEX = r"\(\?(=|!|<=|<!|>)|\\[1-9]|[*+?}]\+"
-
 
 def _by_path(df: DataFrame, ordered: bool) -> DataFrame:
     return df.orderBy("path") if ordered else df
@@ -93,28 +90,21 @@ def search_wildcard(
     return _by_path(df.filter(name.like(like) if case_sensitive else name.ilike(like)), ordered)
 
 
-def check_regex(df: DataFrame, pattern: str) -> None:
-    """Raise ``ValueError`` for a regex that cannot be compiled or has unsupported constructs."""
+def spark_regex(df: DataFrame, pattern: str) -> str:
+    """The pattern in Java's dialect; ``ValueError`` if it cannot be compiled or is not supported."""
+    given = F.lit(pattern)
+    java = regex.to_java(given)
     probe = df.sparkSession.range(1).select(
-        F.lit(pattern.replace("\\\\", "")).rlike(UNSUPPORTED_REGEX).alias("unsupported"),
-        F.try_reflect(
-            F.lit("java.util.regex.Pattern"), F.lit("compile"), F.lit(spark_regex(pattern))
-        ).isNull().alias("invalid"),
-    )
-    verdict = probe.first()
-    if verdict.unsupported or verdict.invalid:
-        raise ValueError(f"invalid regex pattern: {pattern}")
-
-
-def spark_regex(pattern: str) -> str:
-    """The pattern in Java's dialect: only ``\\n`` ends a line, group names without ``P``."""
-    return "(?d)" + pattern.replace("(?P<", "(?<")
+        java.alias("java"), (regex.is_unsupported(given) | ~regex.compiles(java)).alias("bad")
+    ).first()
+    if probe.bad:
+        raise ValueError(f"this regex cannot be used: {pattern}")
+    return probe.java
 
 
 def search_regex(df: DataFrame, pattern: str, ordered: bool = True) -> DataFrame:
     """Unanchored, case-sensitive regex on the name (write ``(?i)`` to fold case)."""
-    check_regex(df, pattern)
-    return _by_path(df.filter(F.col("name").rlike(spark_regex(pattern))), ordered)
+    return _by_path(df.filter(F.col("name").rlike(spark_regex(df, pattern))), ordered)
 
 
 def search_fuzzy(

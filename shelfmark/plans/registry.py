@@ -470,10 +470,10 @@ FROM (SELECT *,
 """
 DERIVED_SQL["read_log"] = """
 SELECT query_id, raw, type, pattern, cs, extensions, min_size, max_size, CAST(fuzzy_distance AS INT) AS fuzzy_distance,
-  CASE WHEN n = 0 THEN 'query cannot be empty'
-       WHEN bad_size IS NOT NULL THEN concat('invalid size filter ''', bad_size, '''')
+  CASE WHEN n = 0 THEN 'nothing is asked for'
+       WHEN bad_size IS NOT NULL THEN concat('not a size: ', bad_size)
        WHEN trim(pattern) = '' AND (type <> 'substring' OR (len(extensions) = 0 AND min_size IS NULL AND max_size IS NULL))
-         THEN 'search pattern cannot be empty' END AS error
+         THEN 'there is no pattern' END AS error
 FROM parsed
 """
 _SHOWN = """query_id, raw, type, pattern, cs AS case_sensitive, array_to_string(extensions, ',') AS extensions,
@@ -506,7 +506,7 @@ def _(spark, sf_dir):
     "sea16_validate_queries",
     f"""
 SELECT {_SHOWN}, coalesce(error, CASE WHEN min_size > 0 AND max_size > 0 AND min_size > max_size THEN
-  concat('min size (', min_size, ') cannot be greater than max size (', max_size, ')') END, '') AS error FROM read_log
+  concat('least size ', min_size, ' is above largest size ', max_size) END, '') AS error FROM read_log
 """,
 )
 def _(spark, sf_dir):

@@ -41,7 +41,7 @@ FROM events
 """
 
 _QUERY_LOG = r"""
-SELECT c_custkey AS query_id, CASE c_custkey % 20
+SELECT c_custkey AS query_id, CASE c_custkey % 23
   WHEN 0 THEN 'config'
   WHEN 1 THEN concat('/urg/cust', CAST(c_custkey % 97 AS {string}))
   WHEN 2 THEN 'test*.md'
@@ -61,6 +61,9 @@ SELECT c_custkey AS query_id, CASE c_custkey % 20
   WHEN 16 THEN concat('o', CAST(c_custkey % 10 AS {string}), ' extension:,txt, fuzzy:9 foo:bar size:>=10')
   WHEN 17 THEN 'regex:^[A-Z]+([.]|$)'
   WHEN 18 THEN '?????? case:true'
+  WHEN 20 THEN 'regex:n{{1}}?f'
+  WHEN 21 THEN 'regex:[*~+]'
+  WHEN 22 THEN 'regex:[[:upper:]]{{2}}.*[[:punct:]]'
   ELSE 'case:true' END AS raw
 FROM customer
 """

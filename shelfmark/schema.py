@@ -71,10 +71,12 @@ def catalog_from_manifest(
     """Catalog rows from any listing table (a bucket inventory, an ``fsimage`` dump).
 
     A narrow projection: no shuffle, and only the four named columns are read. Rows without
-    a path are dropped, the other columns get the catalog's null-free defaults; ``keep`` names
-    columns to carry along.
+    a path are dropped, the other columns get the catalog's null-free defaults (no time is the start of
+    1970); ``keep`` names columns to carry along.
     """
     directory = F.col(is_dir) if is_dir else F.lit(False)
+    time_type = df.select(modified_time).schema[0].dataType
+    time = F.coalesce(F.col(modified_time), F.lit("1970-01-01 00:00:00").cast(time_type))
     return df.filter(F.col(path).isNotNull() & (F.col(path) != "")).select(
-        *catalog_row(F.col(path), F.col(size), F.col(modified_time), directory), *(keep or [])
+        *catalog_row(F.col(path), F.col(size), time, directory), *(keep or [])
     )

@@ -173,7 +173,7 @@ def test_query_options(spark):
     assert rows[2].case_sensitive is False
     assert [r.fuzzy_distance for r in rows[3:6]] == [5, 1, 9]
     assert (rows[6].pattern, rows[6].extensions, rows[6].min_size) == ("config", [".yaml"], 1025)
-    assert rows[7].error == "min size (6) cannot be greater than max size (3)"
+    assert rows[7].error == "least size 6 is above largest size 3"
     assert rows[8].extensions == [] and rows[8].error is None
     assert (rows[9].extensions, rows[9].max_size) == ([".go"], 1536)
 
@@ -182,10 +182,10 @@ def test_query_errors(spark):
     texts = [None, "", " \t", "a size:5MB", "a size:>x size:<y", "case:true", "ext:", "regex:[", r"regex:(a)\1", "exact:"]
     rows = parsed(spark, texts).orderBy("query_id").collect()
     assert [r.error for r in rows] == [
-        "query cannot be empty", "query cannot be empty", "query cannot be empty",
-        "invalid size filter '5MB'", "invalid size filter '>x'", "search pattern cannot be empty",
-        "search pattern cannot be empty", "invalid regex pattern", "invalid regex pattern",
-        "search pattern cannot be empty",
+        "nothing is asked for", "nothing is asked for", "nothing is asked for",
+        "not a size: 5MB", "not a size: >x", "there is no pattern",
+        "there is no pattern", "this regex cannot be used", "this regex cannot be used",
+        "there is no pattern",
     ]
 
 
@@ -222,6 +222,7 @@ REGEX_ANCHORS = {
     r"^READ.*\.(txt|md)$": "READ", "test[0-9]+": "test", "colou?r": "colo", "ab*cde": "cde",
     "x{2}yz": "yz", "a|bcd": "", "(?i)readme": "", r"\x41bc": "", r"\pLabc": "", "(ab(cd)?)+ef": "ef",
     r"a\.bcd": "bcd", "[abc]+": "", "[]a]bc": "bc", r"\\xyz": "xyz", "ab+cd": "ab", "[[:alpha:]]abc": "",
+    "a{2}?b": "b", "[0-9]{4}?": "", "ab{1,2}?cd": "cd", "x*?yz": "yz", "x+?yz": "yz", "abc??d": "ab",
 }
 
 
@@ -231,11 +232,26 @@ def test_required_text_of_regex(spark):
     assert found == REGEX_ANCHORS
 
 
+def test_regex_dialect(spark, catalog):
+    df = catalog("/log2024.txt", "/aab", "/x+*y", "/abc.go", "/[:a", "/A B")
+    for pattern, wanted in {
+        "[[:digit:]]": ["log2024.txt"], "[[:^alpha:]]": ["A B", "[:a", "abc.go", "log2024.txt", "x+*y"],
+        "[*+]": ["x+*y"], r"\++\*+": ["x+*y"], "a{2}?b": ["aab"], "[[:space:][:digit:]]": ["A B", "log2024.txt"],
+        "(?U)a+b": ["aab", "abc.go"], "(?Ui)A+B": ["aab", "abc.go"], r"\Q+*\E": ["x+*y"], "[[:word:]]b": ["aab", "abc.go"],
+    }.items():
+        assert sorted(r.name for r in s.search_regex(df, pattern).collect()) == wanted, pattern
+    for pattern in ("a++", "a*+b", "(?=a)", r"(a)\1", "(?>a)", "["):
+        with pytest.raises(ValueError):
+            s.search_regex(df, pattern)
+
+
 MANY_TEXTS = [
     "config", "CONFIG case:true", "/home/u1", "/", "*.txt", "?????", "*", "regex:^[a-z]+$", r"regex:fig\.(go|txt)$",
     "fuzzy:config.go", "fuzzy:konfig fuzzy:1", "fuzzy:README.md case:true fuzzy:5", "exact:readme.md", "exact:README.md case:true",
     "size:>100", "size:<=100 ext:go", "ext:txt,md", "config size:>50 size:<2KB ext:go,txt", "a", "zz", "co", "config",
-    "regex:.", "fuzzy:ab fuzzy:3", "size:>10 size:<5", "", "regex:[", "read?e*",
+    "regex:.", "fuzzy:ab fuzzy:3", "size:>10 size:<5", "", "regex:[", "read?e*", "regex:n{1}?f", "regex:[*+]", "regex:[[:upper:]]",
+    "regex:[^[:lower:][:punct:]]", r"regex:\.+", "regex:(?U)o.*g", "regex:a++", "size:>9223372036854775807",
+    "size:<=9223372036854775807 ext:md", "fuzzy:readme.md fuzzy:9",
 ]
 
 
