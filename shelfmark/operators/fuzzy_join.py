@@ -72,20 +72,21 @@ def close_pairs(
     """Pairs of rows whose ``text`` columns are within the pattern row's ``distance`` (int).
 
     ``distances`` are those that occur, if the caller knows them. Every other column of both sides
-    is kept; both sides must have distinct rows. Candidates are
-    verified where they are found; only true pairs, met once per shared key, are shuffled to drop
-    the repeats.
+    is kept; both sides must have distinct rows. Candidates are verified where they are found. A pair
+    meets once per shared key; it counts where the key is the smallest that both have, so pairs are
+    not shuffled to drop the repeats.
     """
     if distances is None:
         rows = patterns.select("distance").distinct().collect()
         distances = sorted(row.distance for row in rows) or [0]
     as_bytes = "decode(encode(text, 'UTF-8'), 'ISO-8859-1')"
-    pattern_keys = for_value(as_bytes, _PATTERN_KEYS.format(d="distance"))
+    pattern_keys = f"array_distinct({for_value(as_bytes, _PATTERN_KEYS.format(d='distance'))})"
     keyed_patterns = patterns.selectExpr(
         "*", f"{as_bytes} AS pattern_bytes", f"explode({pattern_keys}) AS key"
     ).drop("text")
     name_keys = ", ".join(_NAME_KEYS.format(d=d) for d in distances)
-    keys = keep_known(for_value(as_bytes, f"concat({name_keys})"), keyed_patterns)
+    own_keys = f"array_distinct({for_value(as_bytes, f'concat({name_keys})')})"
+    keys = keep_known(own_keys, keyed_patterns)
     keyed_names = names.selectExpr(
         "*", f"{as_bytes} AS name_bytes", f"explode({keys}) AS key"
     ).drop("text")
@@ -98,8 +99,14 @@ def close_pairs(
     for d in distances:
         hit = F.levenshtein(F.col("name_bytes"), F.col("pattern_bytes"), d) >= 0
         close = F.when(F.col("distance") == d, hit).otherwise(close)
+    # Worked out again for true pairs only: keys would make every candidate row many times as long.
+    shared = F.array_intersect(
+        F.expr(for_value("name_bytes", f"concat({name_keys})")),
+        F.expr(for_value("pattern_bytes", _PATTERN_KEYS.format(d="distance"))),
+    )
+    once = F.when(close, F.array_min(shared) == F.col("key")).otherwise(F.lit(False))
     kept = [c for c in names.columns + patterns.columns if c != "text"]
-    return candidates.filter(close).select(*kept).distinct()
+    return candidates.filter(once).select(*kept)
 
 
 def fuzzy_join(names: DataFrame, patterns: DataFrame, distance: int) -> DataFrame:

@@ -158,6 +158,24 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "prj5_edit_distance_whole",
+    """
+SELECT page_id, CAST(levenshtein(title, url) AS INT) AS a, CAST(levenshtein(title, left(html, 99)) AS INT) AS b
+FROM (SELECT page_id, url, html, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages)
+""",
+)
+def _(spark, sf_dir):
+    """Whole titles, whatever their letters, against whole addresses."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    return pages.select(
+        "page_id",
+        text.edit_distance(title, F.col("url")).alias("a"),
+        text.edit_distance(title, F.left("html", F.lit(99))).alias("b"),
+    )
+
+
 @query(
     "prj6_parse_size",
     """
@@ -586,7 +604,7 @@ def _(spark, sf_dir):
     )
 
 
-DOC_WORDS_SQL = r"SELECT DISTINCT unnest(string_split_regex(lower({c}), '[^a-z0-9]+')) AS word FROM {t}"
+DOC_WORDS_SQL = r"SELECT DISTINCT unnest(string_split_regex(lower({c}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM {t}"
 
 
 @query(
@@ -600,7 +618,7 @@ WHERE abs(strlen(a.word) - strlen(b.word)) <= 1 AND levenshtein(a.word, b.word)
 def _(spark, sf_dir):
     def words(table, column):
         rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        return rows.select(F.explode(F.split(F.lower(column), "[^a-z0-9]+")).alias("word"))
+        return rows.select(F.explode(F.split(F.lower(column), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")).alias("word"))
 
     return fuzzy_join(
         words("pages", "html").withColumnRenamed("word", "name"),
@@ -768,6 +786,21 @@ def _(spark, sf_dir):
     return merge.upsert(workload.files(spark, sf_dir), _incoming_rows(spark, sf_dir), ["seq"])
 
 
+DERIVED_SQL["newest_incoming"] = f"""
+SELECT *, {_DERIVED_NAMES} FROM (SELECT *, row_number() OVER (PARTITION BY path
+  ORDER BY modified_time DESC, size DESC, is_dir DESC) AS rn FROM incoming_raw) WHERE rn = 1
+"""
+
+
+@query(
+    "mrg1_upsert_default",
+    f"SELECT {ROW} FROM files ANTI JOIN newest_incoming USING (path) UNION ALL SELECT {ROW} FROM newest_incoming",
+)
+def _(spark, sf_dir):
+    """Without an order column the row modified last stays, one per path."""
+    return merge.upsert(workload.files(spark, sf_dir), _incoming_rows(spark, sf_dir))
+
+
 @query(
     "mrg2_update_existing",
     f"SELECT {ROW} FROM files ANTI JOIN incoming USING (path) UNION ALL "
@@ -1070,20 +1103,20 @@ def _(spark, sf_dir):
 @query(
     "src2_catalog_from_manifest",
     r"""
-SELECT url AS path, regexp_extract(url, '[^/]*$', 0) AS name, CAST(strlen(html) AS BIGINT) AS size,
-  TIMESTAMP '2024-01-01' AS modified_time, page_id % 10 = 0 AS is_dir,
-  regexp_extract(regexp_extract(url, '[^/]*$', 0), '\.[^.]*$', 0) AS extension FROM pages WHERE NOT ends_with(url, '/')
+SELECT path, name, size, modified_time, is_dir, regexp_extract(name, '\.[^.]*$', 0) AS extension
+FROM (SELECT url AS path, regexp_extract(rtrim(url, '/'), '[^/]*$', 0) AS name, CAST(strlen(html) AS BIGINT) AS size,
+  CASE WHEN page_id % 7 = 0 THEN TIMESTAMP '1970-01-01' ELSE TIMESTAMP '2024-01-01' END AS modified_time,
+  page_id % 10 = 0 AS is_dir FROM pages)
 """.replace("\\\\", "\\"),
 )
 def _(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
         "url",
         F.octet_length("html").alias("bytes"),
-        _ntz("2024-01-01").alias("mtime"),
+        F.when(F.col("page_id") % 7 != 0, _ntz("2024-01-01")).alias("mtime"),
         (F.col("page_id") % 10 == 0).alias("dir"),
     )
-    rows = pages.filter(~F.col("url").endswith("/"))
-    return catalog_from_manifest(rows, "url", "bytes", "mtime", "dir")
+    return catalog_from_manifest(pages, "url", "bytes", "mtime", "dir")
 
 
 def _saved(spark, sf_dir, **options) -> str:
@@ -1104,6 +1137,44 @@ def _(spark, sf_dir):
     return snapshot.load_catalog(spark, _saved(spark, sf_dir))
 
 
+def _document(spark, sf_dir, copies: int) -> str:
+    """The catalog as one JSON document, written by Spark; with ``copies`` every path comes so often,
+    each time with a larger size."""
+    files = workload.files(spark, sf_dir).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    stamp = F.date_format("modified_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified_time")
+    entry = F.struct("path", "name", (F.col("size") + F.col("copy")).alias("size"), stamp, "is_dir", "extension")
+    body = files.agg(
+        F.array_sort(F.collect_list(F.struct("copy", "path", F.to_json(entry).alias("text")))).alias("e"),
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("size") + F.col("copy")).alias("bytes"),
+    )
+    # A document of this kind is one value, so one task writes it.
+    whole = body.select(
+        F.concat(
+            F.lit('{"version":"1.0","created_at":"2024-01-01T00:00:00Z","file_count":'),
+            F.col("n").cast("string"), F.lit(',"files":['), F.array_join("e.text", ","),
+            F.lit('],"total_size":'), F.col("bytes").cast("string"), F.lit(',"compressed":false}'),
+        )
+    )
+    folder = scratch_path(spark, "document")
+    whole.write.text(folder)
+    return folder
+
+
+def _document_sql(copies: int) -> str:
+    return f"SELECT path, name, size + {copies} AS size, modified_time, is_dir, extension FROM files"
+
+
+@query("src5_import_json", _document_sql(1))
+def _(spark, sf_dir):
+    return _plain_times(snapshot.import_json(spark, _document(spark, sf_dir, 1)))
+
+
+@query("src5_import_json_repeated_path", _document_sql(3))
+def _(spark, sf_dir):
+    """The later entry of a path stays."""
+    return _plain_times(snapshot.import_json(spark, _document(spark, sf_dir, 3)))
+
+
 @query("src6_validate_catalog", "SELECT count(*) AS count FROM files")
 def _(spark, sf_dir):
     folder = _saved(spark, sf_dir, compress=False)
@@ -1177,6 +1248,20 @@ def _(files):
     return parts.groupBy("extension").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
 
 
+@query("udf2_scan_with_callback", "SELECT count(*) AS rows, CAST(sum(size) AS BIGINT) AS bytes FROM files")
+def _(spark, sf_dir):
+    """A user function is called with every row; here it adds up what it sees."""
+    context = spark.sparkContext
+    rows, total = context.accumulator(0), context.accumulator(0)
+
+    def seen(row):
+        rows.add(1)
+        total.add(row["size"])
+
+    listing.scan_with_callback(workload.files(spark, sf_dir), seen)
+    return spark.createDataFrame([(rows.value, total.value)], "rows long, bytes long")
+
+
 @on_files("udf1_row_predicate", f"SELECT {ROW} FROM files WHERE size % 7 = 3 AND length(name) > 8")
 def _(files):
     own = (F.col("size") % 7 == 3) & (F.char_length("name") > 8)

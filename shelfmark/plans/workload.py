@@ -61,9 +61,9 @@ SELECT c_custkey AS query_id, CASE c_custkey % 23
   WHEN 16 THEN concat('o', CAST(c_custkey % 10 AS {string}), ' extension:,txt, fuzzy:9 foo:bar size:>=10')
   WHEN 17 THEN 'regex:^[A-Z]+([.]|$)'
   WHEN 18 THEN '?????? case:true'
-  WHEN 20 THEN 'regex:n{{1}}?f'
+  WHEN 20 THEN concat('regex:n', chr(123), '1', chr(125), '?f')
   WHEN 21 THEN 'regex:[*~+]'
-  WHEN 22 THEN 'regex:[[:upper:]]{{2}}.*[[:punct:]]'
+  WHEN 22 THEN 'regex:[[:upper:]][[:upper:]].*[[:punct:]]'
   ELSE 'case:true' END AS raw
 FROM customer
 """

@@ -209,7 +209,8 @@ def _check_head(head: Row | None, found: int, path: str) -> None:
 
 def _split_document(spark: SparkSession, path: str) -> DataFrame:
     """One row per file entry of a compact document, read in parallel: ``head`` (in the first row
-    only) and ``file`` (NULL where the text is not one whole entry)."""
+    only), ``file`` (NULL where the text is not one whole entry), and ``block`` and ``place``, which
+    tell the order of the entries."""
     pieces = spark.read.option("lineSep", BETWEEN_FILES).text(path)
     parts = F.split("value", BEFORE_FILES, 2)
     is_first = F.size(parts) == 2
@@ -219,6 +220,8 @@ def _split_document(spark: SparkSession, path: str) -> DataFrame:
         F.from_json(
             F.concat(F.lit('{"path":'), entry, F.lit("}")), FILE_SCHEMA, {"mode": "PERMISSIVE"}
         ).alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
     )
 
 
@@ -226,8 +229,8 @@ def import_json(spark: SparkSession, path: str) -> DataFrame:
     """Catalog rows of a snapshot kept as one JSON document, plain or ``.gz``.
 
     A document in the compact form it is written in is cut between its entries and read in
-    parallel (a compressed one is still one stream). In any other form, or with a path that
-    repeats, where the later entry stays, it is read as the single value it is.
+    parallel (a compressed one is still one stream). In any other form it is read as the single value
+    it is. Of entries with one path the later stays.
     """
     split = _split_document(spark, path)
     head = split.filter(F.col("head.version").isNotNull()).select("head.*").first()
@@ -239,8 +242,9 @@ def import_json(spark: SparkSession, path: str) -> DataFrame:
     ).first()
     if head is not None and totals.pieces == totals.entries == totals.whole:
         _check_head(head, totals.entries, path)
-        if files.groupBy("path").count().filter("count > 1").isEmpty():
-            return files.select(*CATALOG_COLUMNS)
+        order = ["block", "place"]
+        rows = split.select(*order, "file.*")
+        return latest_per_path(rows, order, CATALOG_COLUMNS + order).drop(*order)
 
     document = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).json(path)
     head = document.select("version", "file_count", F.size("files").alias("found")).first()
