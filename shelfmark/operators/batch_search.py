@@ -179,7 +179,12 @@ def _match_keyed(
         for size, folds in pieces:
             same = (F.col("folds") == folds) & (F.col("gram_size") == size)
             options = F.when(same, F.expr(_grams("anchor", size, folds))).otherwise(options)
-        counts = reliable(keyed_names.groupBy("key").agg(F.count(F.lit(1)).alias("rows")))
+        # Only keys that some search could take are counted.
+        offered = wanted.select(F.explode(options).alias("key")).distinct()
+        counted = keep_keys_of(keyed_names, offered, "key").groupBy("key")
+        counts = reliable(
+            counted.agg(F.count(F.lit(1)).alias("rows")).join(offered, "key", "left_semi")
+        )
         rarest = (
             wanted.select("qkey", F.explode(options).alias("key"))
             .join(counts, "key", "left")
@@ -335,7 +340,12 @@ def search_many(
             found = _union(found, part.select(*out).filter(_passes_filters()))
         for ranges, chunk in _range_chunks(by_path):
             cell = _size_cell("size", ranges)
-            starts = with_prefixes(files.withColumn("cell", cell), chunk, "pattern")
+            asked_starts = chunk.select("pattern").distinct()
+            few = broadcast_if_small(asked_starts, broadcast_bytes)
+            # Beginnings that nobody asks for go before anything is shuffled or ranked.
+            starts = with_prefixes(files.withColumn("cell", cell), chunk, "pattern").join(
+                asked_starts if few is None else few, "pattern", "left_semi"
+            )
             points = {
                 f"points_{case}": score_name(F.col("name"), F.col("pattern"), True, case)
                 for case in (True, False)

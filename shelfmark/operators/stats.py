@@ -67,10 +67,7 @@ def prefix_counts(df: DataFrame, prefixes: DataFrame) -> DataFrame:
     time it is shuffled.
     """
     wanted = prefixes.select("prefix").distinct()
-    beginnings = with_prefixes(df.select("path"), wanted)
-    small = broadcast_if_small(wanted)
-    if small is not None:
-        beginnings = beginnings.join(small, "prefix", "left_semi")
+    beginnings = _asked_beginnings(df, wanted)
     counts = beginnings.groupBy("prefix").agg(F.count(F.lit(1)).alias("count"))
     return wanted.join(counts, "prefix", "left").select(
         "prefix", F.coalesce("count", F.lit(0)).alias("count")
@@ -79,5 +76,12 @@ def prefix_counts(df: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def has_prefixes(df: DataFrame, prefixes: DataFrame) -> DataFrame:
     """The rows of ``prefixes`` that some path starts with."""
-    counted = prefix_counts(df, prefixes).filter(F.col("count") > 0)
-    return prefixes.join(counted.select("prefix"), "prefix", "left_semi")
+    there = _asked_beginnings(df, prefixes.select("prefix").distinct()).select("prefix").distinct()
+    return prefixes.join(there, "prefix", "left_semi")
+
+
+def _asked_beginnings(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Beginnings of paths as ``prefix``, without those that nobody asks for where the list is short."""
+    beginnings = with_prefixes(df.select("path"), wanted)
+    small = broadcast_if_small(wanted)
+    return beginnings if small is None else beginnings.join(small, "prefix", "left_semi")

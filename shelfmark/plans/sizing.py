@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 BROADCAST_BYTES = 32 << 20
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_TASK = 1_000_000
-# Spark's own default limit for cutting groups before the shuffle of a row_number filter.
-GROUP_LIMIT = 1_000
+# So many hot keys fit the driver and a broadcast; a longer list stays a table.
+HOT_KEYS = 10_000
 PATH_SLICES = 256
 # So many keys fit into a plan as a literal set.
 LITERAL_KEYS = 2_000
@@ -39,15 +39,17 @@ def hot_keys(
 ) -> DataFrame | None:
     """``(key, slices)`` for keys with more than ``rows_per_task`` rows, ``None`` if there are none.
 
-    ``counts`` has the ``rows`` per key, if the caller has counted. There are at most
-    rows / rows_per_task such keys, so the list fits the driver and a broadcast.
+    ``counts`` has the ``rows`` per key, if the caller has counted. Up to ``HOT_KEYS`` such keys are
+    broadcast; more are joined like any table.
     """
     if counts is None:
         counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     hot = counts.filter(F.col("rows") > rows_per_task).select(
         key, F.ceil(F.col("rows") / rows_per_task).cast("int").alias("slices")
     )
-    found = hot.collect()
+    found = hot.limit(HOT_KEYS + 1).collect()
+    if len(found) > HOT_KEYS:
+        return hot
     return F.broadcast(df.sparkSession.createDataFrame(found, hot.schema)) if found else None
 
 
@@ -94,16 +96,15 @@ def join_hot_keys(
 def first_k_per(df: DataFrame, keys: list[str], order: list, k: int, rank: str) -> DataFrame:
     """The first ``k`` rows of every group, numbered from 1 in ``rank``.
 
-    Up to 1,000 rows Spark itself cuts every group to ``k`` rows before the shuffle. Beyond that
-    the groups are cut by a hash of the path first, so that a hot group is not sorted in one task.
+    Groups are cut by a hash of the path first, for any ``k``, so that a hot group is never sorted in
+    one task, nor what each of very many tasks has left of it.
     """
     def first(frame: DataFrame, by: list) -> DataFrame:
         numbered = frame.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
         return numbered.filter(F.col(rank) <= k)
 
-    if k > GROUP_LIMIT:
-        df = first(df, [*keys, F.pmod(F.xxhash64("path"), F.lit(PATH_SLICES))]).drop(rank)
-    return first(df, keys)
+    slices = F.pmod(F.xxhash64("path"), F.lit(PATH_SLICES))
+    return first(first(df, [*keys, slices]).drop(rank), keys)
 
 
 def keep_known(keys: str, wanted: DataFrame, key: str = "key") -> str:
