@@ -11,14 +11,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
-from functools import cache
 
 import numpy as np
 
 #: A process remembers so many words, and once more as many that it used before those. Longer words
 #: are not remembered.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 
 # Basic Latin, Latin-1 and Latin Extended-A, without those whose lower case has two characters and
 # without unusual blanks: here all Unicode versions agree on letters, numbers and case.
@@ -90,10 +90,15 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, words))
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    """One per Python process."""
-    return Encoder(path)
+    """One per Python process, for all its tasks.
+
+    A task may bring its own copy of this module, so the process keeps the encoders.
+    """
+    kept = vars(sys).setdefault("_token_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def public_path(name: str) -> str:
