@@ -4,117 +4,104 @@ Labellers look at one property each and vote good, bad or not at all. Documents
 counted together; expectation-maximisation over these counts (at most 3 ** labellers rows, whatever
 the corpus) estimates how often each labeller is right, and with that how likely a document is good
 given its votes. These posteriors, as soft labels of a bounded sample of documents, train a logistic
-regression over hashed words and word shapes, which then scores every document.
+regression over hashed words, word shapes and votes, which then scores every document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.llm.common import doc_key, step, text_or_empty
+from shelfmark.llm.common import doc_key, step
 
 #: Documents in the training sample, on average: the bound of what the regression is fitted on.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Buckets of the hashed features.
 FEATURES = 1 << 16
-ROUNDS = 100
+#: Rounds of the label model and of the regression, and the weight of its penalty.
+ROUNDS, STEPS, PENALTY = 100, 200, 1e-5
 #: Score from which a document is kept.
 LEAST = 0.5
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_SYMBOLS = "*&%$#|~^<>{}[]\\_=+@"
-
-
-def _parts(text: Column) -> dict[str, Column]:
-    return {
-        "words": F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""),
-        "lines": F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0),
-    }
-
-
-def _measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
-    """What the labellers look at; every one is a small number per document."""
-
-    def without(signs: str) -> Column:
-        return F.length(text) - F.length(F.translate(text, signs, ""))
-
-    def like(parts: Column, pattern: str) -> Column:
-        return F.size(F.filter(parts, lambda x: x.rlike(pattern)))
-
-    return {
-        "chars": F.length(text),
-        "symbols": without(_SYMBOLS),
-        "marks": without("!?"),
-        "upper": without(_UPPER),
-        "digits": without("0123456789"),
-        "words": F.size(words),
-        "odd_ends": like(words, r"[^\p{L}\p{N}.,;:?!)\"'’]$|[!?]{2,}$"),
-        "no_words": like(words, r"^[^\p{L}\p{N}]+$"),
-        "kinds": F.size(F.array_distinct(words)),
-        "stutters": F.size(F.filter(words, lambda x, i: x == F.get(words, i - 1))),
-        "lines": F.size(lines),
-        "line_kinds": F.size(F.array_distinct(lines)),
-        "ended": like(lines, r"[.!?][\"')\]]*\s*$"),
-    }
-
-
-def _vote(share: Column, good_up_to: float, bad_above: float) -> Column:
-    return F.when(share > bad_above, -1).when(share <= good_up_to, 1).otherwise(0)
-
-
-def _labellers() -> dict[str, Column]:
-    """Votes from the measures: 1 good, -1 bad, 0 none."""
-
-    def per(part: str, whole: str) -> Column:
-        return F.col(part) / F.greatest(F.col(whole), F.lit(1))
-
-    some, long, several = F.col("words") >= 3, F.col("words") >= 50, F.col("lines") >= 4
-    repeats = 1 - per("kinds", "words")
-    votes = {
-        "symbols": _vote(per("symbols", "chars"), 0.01, 0.03),
-        "odd_ends": _vote(per("odd_ends", "words"), 0.05, 0.2),
-        "no_words": _vote(per("no_words", "words"), 0.03, 0.15),
-        "marks": _vote(per("marks", "words"), 0.15, 0.5),
-        "capitals": _vote(per("upper", "chars"), 0.12, 0.3),
-        "digits": _vote(per("digits", "chars"), 0.08, 0.25),
-        "word_length": F.when(per("chars", "words").between(3.0, 12.0), 1).otherwise(-1),
-    }
-    votes = {name: F.when(some, vote).otherwise(0) for name, vote in votes.items()}
-    votes["vocabulary"] = F.when(long, _vote(repeats, 0.6, 0.8)).otherwise(0)
-    votes["stutter"] = F.when(
-        F.col("words") >= 10, _vote(per("stutters", "words"), 0.05, 0.2)
-    ).otherwise(0)
-    votes["repeated_lines"] = F.when(
-        several, _vote(1 - per("line_kinds", "lines"), 0.1, 0.3)
-    ).otherwise(0)
-    votes["sentences"] = F.when(several, _vote(1 - per("ended", "lines"), 0.3, 0.7)).otherwise(0)
-    votes["length"] = F.when(F.col("words") == 0, -1).when(F.col("words") >= 8, 1).otherwise(0)
-    return votes
-
-
 LABELLERS = (
     "symbols", "odd_ends", "no_words", "marks", "capitals", "digits", "word_length", "vocabulary",
     "stutter", "repeated_lines", "sentences", "length",
 )
 
-
-def with_votes(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows, whole in ``row``, with ``votes``: one of ``+``, ``-``, ``0`` per labeller."""
-    text = F.col("text")
-    rows = rows.select(F.struct("*").alias("row"), text_or_empty(text_col).alias("text"))
-    # Words and lines are made once, as columns: the measures go over them again and again.
-    rows = rows.select("row", "text", F.struct(*(c.alias(n) for n, c in _parts(text).items())).alias("p"))
-    measures = _measures(text, F.col("p.words"), F.col("p.lines"))
-    rows = rows.select("row", F.struct(*(c.alias(n) for n, c in measures.items())).alias("m"))
-    votes = _labellers()
-    shown = [F.when(votes[n] > 0, "+").when(votes[n] < 0, "-").otherwise("0") for n in LABELLERS]
-    return rows.select("row", "m.*").select("row", F.concat(*shown).alias("votes"))
+_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_DIGITS = b"0123456789"
+_SYMBOLS = b"*&%$#|~^<>{}[]\\_=+@"
+_STOPS = b".,;:)\"'"
+
+
+def _shape_table() -> bytes:
+    """Small letters and all beyond ASCII as a, capitals as A, digits as 9, ! and ? as !, stops as a dot,
+    blanks as they are, other signs as a dash."""
+    table = bytearray(b"-" * 128 + b"a" * 128)
+    for signs, sign in (
+        (b"abcdefghijklmnopqrstuvwxyz", b"a"), (_UPPER, b"A"), (_DIGITS, b"9"), (b"!?", b"!"),
+        (_STOPS, b"."), (b" \t\n\r\x0b\x0c", b" "),
+    ):
+        for c in signs:
+            table[c] = sign[0]
+    return bytes(table)
+
+
+_SHAPES = _shape_table()
+
+
+def _share_vote(share: float, good_up_to: float, bad_above: float) -> str:
+    return "-" if share > bad_above else "+" if share <= good_up_to else "0"
+
+
+def votes_and_tokens(text: str | None) -> tuple[str, set[bytes]]:
+    """One of ``+``, ``-``, ``0`` per labeller; the different words, word shapes and votes."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    words, shapes = data.split(), data.translate(_SHAPES).split()
+    lines = [x for x in map(bytes.strip, data.split(b"\n")) if x]
+    n, size = len(words), max(1, len(data))
+
+    def counted(signs: bytes) -> int:
+        return len(data) - len(data.translate(None, signs))
+
+    votes = dict.fromkeys(LABELLERS, "0")
+    if n >= 3:
+        odd = sum(s.endswith((b"-", b"!!")) for s in shapes)
+        empty = sum(not s.strip(b"-.!") for s in shapes)
+        votes["symbols"] = _share_vote(counted(_SYMBOLS) / size, 0.01, 0.03)
+        votes["odd_ends"] = _share_vote(odd / n, 0.05, 0.2)
+        votes["no_words"] = _share_vote(empty / n, 0.03, 0.15)
+        votes["marks"] = _share_vote(counted(b"!?") / n, 0.15, 0.5)
+        votes["capitals"] = _share_vote(counted(_UPPER) / size, 0.12, 0.3)
+        votes["digits"] = _share_vote(counted(_DIGITS) / size, 0.08, 0.25)
+        votes["word_length"] = "+" if 3 <= size / n <= 13 else "-"
+    if n >= 50:
+        votes["vocabulary"] = _share_vote(1 - len(set(words)) / n, 0.6, 0.8)
+    if n >= 10:
+        votes["stutter"] = _share_vote(sum(map(eq, words, words[1:])) / n, 0.05, 0.2)
+    if len(lines) >= 4:
+        ended = sum(x.rstrip(b"\"')]").endswith((b".", b"!", b"?")) for x in lines)
+        votes["repeated_lines"] = _share_vote(1 - len(set(lines)) / len(lines), 0.1, 0.3)
+        votes["sentences"] = _share_vote(1 - ended / len(lines), 0.3, 0.7)
+    votes["length"] = "-" if n == 0 else "+" if n >= 8 else "0"
+    shown = "".join(votes[name] for name in LABELLERS)
+    tokens = set(data.lower().split())
+    # A shape is how a word begins and ends.
+    tokens |= {b"\x00" + s[:1] + s[-2:] for s in set(shapes)}
+    tokens |= {b"\x01%d%b" % (i, v.encode()) for i, v in enumerate(shown)}
+    return shown, tokens
+
+
+def _buckets(tokens: set[bytes]) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
+
+    hashes = np.fromiter(map(xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    return np.unique((hashes % np.uint64(FEATURES)).astype(np.int32))
 
 
 @dataclass(frozen=True)
@@ -163,39 +150,25 @@ def fit_label_model(patterns: list[tuple[str, int]], rounds: int = ROUNDS) -> La
     return LabelModel(prior, emissions)
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    """``features``: which words, word shapes and votes there are."""
-    text = text_or_empty("text")
-    words = F.split(F.lower(text), r"[\x20\x09-\x0D]+")
-    # Runs of small letters become a, of capitals A, of digits 9.
-    shape = text
-    for pattern, sign in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"\p{Nd}+", "9")):
-        shape = F.regexp_replace(shape, pattern, sign)
-    shapes = F.transform(
-        F.array_distinct(F.split(shape, r"[\x20\x09-\x0D]+")), lambda s: F.concat(F.lit("\x00"), s)
-    )
-    votes = F.transform(
-        F.split("votes", ""), lambda v, i: F.concat(F.lit("\x01"), i.cast("string"), v)
-    )
-    tokens = F.array_remove(F.concat(F.array_union(words, shapes), votes), "")
-    hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="tokens", outputCol="features")
-    return hashing.transform(rows.withColumn("tokens", tokens)).drop("tokens")
-
-
-def _fit_scorer(sample: DataFrame) -> LogisticRegressionModel | None:
-    """A regression on soft labels: every document counts as good by its posterior, as bad by the rest."""
-    both = F.explode(
-        F.array(
-            F.struct(F.lit(1.0).alias("label"), F.col("good").alias("weight")),
-            F.struct(F.lit(0.0).alias("label"), (1 - F.col("good")).alias("weight")),
-        )
-    )
-    rows = step(_features(sample).select("features", both.alias("b")).select("features", "b.*"))
-    if rows.filter("weight > 0.001").select("label").distinct().count() < 2:
+def fit_scorer(buckets: list[np.ndarray], good: np.ndarray) -> np.ndarray | None:
+    """Weights of a logistic regression on soft labels, the last one its constant; ``None`` without
+    documents. Every document is a vector of length one, so long texts weigh no more than short ones."""
+    sizes = np.array([len(b) for b in buckets])
+    if not sizes.sum():
         return None
-    return LogisticRegression(
-        weightCol="weight", regParam=0.01, maxIter=40, standardization=False
-    ).fit(rows)
+    columns = np.concatenate(buckets)
+    rows = np.repeat(np.arange(len(buckets)), sizes)
+    values = 1 / np.sqrt(sizes[rows])
+    weights, mean, spread = np.zeros((3, FEATURES + 1))
+    for i in range(1, STEPS + 1):
+        scores = np.bincount(rows, values * weights[columns], len(buckets)) + weights[-1]
+        error = 1 / (1 + np.exp(-scores)) - good
+        slope = np.append(np.bincount(columns, values * error[rows], FEATURES), error.sum()) / len(good)
+        slope[:-1] += PENALTY * weights[:-1]
+        mean = 0.9 * mean + 0.1 * slope
+        spread = 0.99 * spread + 0.01 * slope**2
+        weights = weights - 0.1 * (mean / (1 - 0.9**i)) / (np.sqrt(spread / (1 - 0.99**i)) + 1e-8)
+    return weights
 
 
 def score_quality(
@@ -209,34 +182,51 @@ def score_quality(
 
     ``label`` is P(good) given the votes, ``score`` the regression's P(good), ``kept`` says that it is
     at least ``least``. Texts without words, null ones too, have the score 0. Repeated rows count as
-    often as they occur. Where all votes agree there is nothing to learn, and the score is the
-    label. An empty table gives no rows.
+    often as they occur. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    voted = with_votes(rows).select("row.*", "votes")
-    patterns = [tuple(r) for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()]
-    model = fit_label_model(sorted(patterns))
-    labels = docs.sparkSession.createDataFrame(
-        [(p, model.posterior(p)) for p, _ in patterns], "votes string, good double"
-    )
-    labelled = voted.join(F.broadcast(labels), "votes")
     # A share of the rows by their hash: the same rows in every run.
-    total = sum(n for _, n in patterns)
-    share = F.lit(int(min(1.0, sample / max(1, total)) * (1 << 30)))
+    share = int(min(1.0, sample / max(1, rows.count())) * (1 << 30))
     chosen = F.pmod(F.xxhash64(doc_key()), F.lit(1 << 30)) < share
-    taken = step(rows.filter(chosen))
-    scorer = _fit_scorer(
-        with_votes(taken).select("row.*", "votes").join(F.broadcast(labels), "votes")
-    )
-    if scorer is None:
-        scored = labelled.withColumn("score", F.col("good"))
-    else:
-        scorer.setProbabilityCol("probability")
-        scored = scorer.transform(_features(labelled)).withColumn(
-            "score", vector_to_array("probability")[1]
-        )
-    some = text_or_empty("text").rlike(r"[^\x20\x09-\x0D]")
-    score = F.when(some, F.round("score", 6)).otherwise(0.0)
-    return scored.select(
-        "id", "votes", F.round("good", 6).alias("label"), score.alias("score"), (score >= least).alias("kept")
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shown, buckets = [], []
+            for text, taken in zip(batch["text"], batch["chosen"]):
+                votes, tokens = votes_and_tokens(text.as_py())
+                shown.append(votes)
+                buckets.append(_buckets(tokens) if taken.as_py() else None)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shown, pa.string()), pa.array(buckets, pa.list_(pa.int32()))], ["votes", "buckets"]
+            )
+
+    voted = step(rows.select("text", chosen.alias("chosen")).mapInArrow(vote, "votes string, buckets array<int>"))
+    patterns = sorted(tuple(r) for r in voted.groupBy("votes").agg(F.count(F.lit(1))).collect())
+    model = fit_label_model(patterns)
+    labels = {votes: model.posterior(votes) for votes, _ in patterns}
+    taken = voted.filter(F.col("buckets").isNotNull()).toArrow()
+    weights = fit_scorer(
+        [b.values.to_numpy() for b in taken["buckets"]], np.array([labels[v] for v in taken["votes"].to_pylist()])
     )
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shown, scores = [], []
+            for text in batch["text"]:
+                votes, tokens = votes_and_tokens(text.as_py())
+                buckets = _buckets(tokens)
+                total = weights[buckets].sum() / np.sqrt(len(buckets)) + weights[-1]
+                shown.append(votes)
+                # Votes and their shapes are all that a text without words has.
+                some = any(not t.startswith((b"\x00", b"\x01")) for t in tokens)
+                scores.append(round(float(1 / (1 + np.exp(-total))), 6) if some else 0.0)
+            label = [round(labels[v], 6) for v in shown]
+            kept = [s >= least for s in scores]
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], pa.array(shown, pa.string()), pa.array(label, pa.float64()),
+                 pa.array(scores, pa.float64()), pa.array(kept, pa.bool_())],
+                ["id", "votes", "label", "score", "kept"],
+            )
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(score, f"id {id_type}, votes string, label double, score double, kept boolean")
