@@ -258,7 +258,7 @@ def test_import_json_is_read_in_parallel(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", 300_000)
     try:
         df = snapshot.import_json(spark, str(file))
-        assert df.rdd.getNumPartitions() > 3
+        assert snapshot._split_document(spark, str(file)).rdd.getNumPartitions() > 3
         assert df.count() == 20_000 and df.agg(F.sum("size")).first()[0] == 20_000 * 20_001 // 2
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
