@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+_steps: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,11 +41,30 @@ def read_if_there(spark: SparkSession, path: str, schema: str | None = None) ->
         return None
 
 
+def step_path(spark: SparkSession) -> str:
+    """A path for an intermediate table, which ``delete_steps`` takes away."""
+    path = scratch_path(spark, "step")
+    _steps.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def delete_steps(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application has written so far; returns how many.
+
+    Call it when the results that were built on them have been read or saved.
+    """
+    paths = _steps.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """The frame, written to the shared folder and read back from there.
 
     Later steps do not recompute it, also when the executors that wrote it are lost.
     """
-    path = scratch_path(df.sparkSession, "step")
+    path = step_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -63,6 +63,25 @@ def test_upsert_update_remove(catalog, spark, monkeypatch, small):
     assert {r.path: r.found for r in merge.found_report(df, gone).collect()} == {"/b": True, "/x": False}
 
 
+def test_steps_are_deleted(catalog, spark, tmp_path):
+    import os
+
+    from shelfmark.operators.batch_search import search_many
+    from shelfmark.operators.query_table import parse_queries
+    from shelfmark.plans import storage
+
+    storage.delete_steps(spark)
+    texts = spark.createDataFrame([(1, "a"), (2, "fuzzy:b.go"), (3, "size:>0")], "query_id long, raw string")
+    files = catalog(*[(f"/{c}.go", 1) for c in "abc"])
+    found = search_many(files, parse_queries(texts), 5, broadcast_bytes=0).collect()
+    shared = storage.shared_folder(spark).removeprefix("file:")
+    steps = [n for n in os.listdir(shared) if n.startswith("step-")]
+    assert found and steps
+    assert storage.delete_steps(spark) == len(steps)
+    assert not [n for n in os.listdir(shared) if n.startswith("step-")]
+    assert storage.delete_steps(spark) == 0
+
+
 def test_union_last_wins(catalog):
     merged = merge.union_last_wins([catalog(("/a", 1), ("/b", 1)), catalog(("/b", 2)), catalog(("/c", 3), ("/a", 9))])
     assert sizes(merged) == {"/a": 9, "/b": 2, "/c": 3}
