@@ -1,7 +1,8 @@
 """Catalog-shaped tables derived from the star-schema test tables, for Spark and for DuckDB.
 
 ``files`` comes from ``orders``, ``changes`` from ``events`` and ``query_log`` from ``customer``, so
-each grows with its table.
+each grows with its table; a seventh of the file names carries a customer's number, so the number of
+distinct names grows too.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 _FILES = """
 WITH n AS (
   SELECT o.*, concat(
+    CASE WHEN o.o_orderkey % 7 = 5 THEN concat('Größe_', CAST(o.o_custkey AS {string})) ELSE
     {pick}({list}('config','readme','README','test_utils','Makefile','.env','report','photo','konfig','Config','main','data~'{end},
-           CAST(o.o_orderkey % 12 AS INT) + 1),
+           CAST(o.o_orderkey % 12 AS INT) + 1) END,
+    CASE o.o_orderkey % 97 WHEN 0 THEN '.mp4' WHEN 1 THEN '.mp3' ELSE
     {pick}({list}('.go','.txt','','.md','.jpg','.yaml','.pdf','.zip','.py','.tmp','.tar.gz'{end},
-           CAST(o.o_orderkey % 11 AS INT) + 1)) AS name
+           CAST(o.o_orderkey % 11 AS INT) + 1) END) AS name
   FROM orders o)
 SELECT concat('/', lower(substr(o_orderpriority, 3, 3)), '/cust', CAST(o_custkey % 97 AS {string}),
               '/o', CAST(o_orderkey AS {string}), '/', name) AS path,
