@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfmark.llm.anchors import mixed, runs
 from shelfmark.llm.bwt import repeated_starts
 from shelfmark.llm.common import only_with, step, text_or_empty
-from shelfmark.plans.sizing import broadcast_if_small
 
 #: Bytes of a string that must not occur twice.
 LENGTH = 400
@@ -200,16 +199,19 @@ def repeated_spans(
     several = only_with(rows, copies, "t").groupBy("t").agg(F.first("text").alias("text"))
     texts = once.unionByName(several)
     segments = step(_segments(texts, length))
-    repeated = segments.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash")
+    # Written, so that the join below stands right on its shuffles and a hot anchor can be split.
+    repeated = step(
+        segments.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash")
+    )
     candidates = step(segments.join(repeated, "hash", "left_semi"))
     kinds = step(
         candidates.groupBy("hash", "seg").agg(
             F.count(F.lit(1)).alias("m"), F.min(F.struct("t", "lo", "n")).alias("first")
         )
     )
-    sizes = kinds.groupBy("hash").agg(
-        F.count(F.lit(1)).alias("kinds"), F.sum(F.col("first.n") + length - 1).alias("bytes")
-    ).filter("kinds > 1")
+    sizes = step(
+        kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    )
     mixed = step(
         kinds.join(sizes.withColumn("crowd", F.col("kinds") > crowd), "hash").select(
             "hash", "seg", "m", "first.*", "crowd"
@@ -250,9 +252,8 @@ def remove_repeats(
     that repeat id and text are copies like any others. An empty table gives no rows.
     """
     marks = repeated_spans(docs, text_col, length, crowd)
-    few = broadcast_if_small(marks)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("t", text_key("text")).join(marks if few is None else few, "t", "left")
+    rows = rows.withColumn("t", text_key("text")).join(marks, "t", "left")
     id_type = rows.schema["id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
