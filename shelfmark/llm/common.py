@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfmark.plans.sizing import broadcast_if_small
-from shelfmark.plans.storage import scratch_path
+from shelfmark.plans.storage import step_path
 
 
 def step(df: DataFrame, **options: str) -> DataFrame:
     """The frame, written to the shared folder with the writer's options and read back from there."""
-    path = scratch_path(df.sparkSession, "llm")
+    path = step_path(df.sparkSession)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
