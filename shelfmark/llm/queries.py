@@ -177,7 +177,23 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op5_window_dedup")
+@query(
+    "op5_window_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g
+                FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM d)),
+    later AS (SELECT doc_id, i FROM windows
+              QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+    removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+    placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k
+             FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+    FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+)
 def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = window_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
