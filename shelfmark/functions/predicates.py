@@ -15,15 +15,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfmark.functions.naming import base_name, dotted, extension_of
 
 # Extension lists of the file-type predicates.
-TEXT_EXTENSIONS = ".txt .md .log .csv .json .xml .yaml .yml".split()
-CODE_EXTENSIONS = (
-    ".go .py .js .ts .java .c .cpp .h .hpp .rs .rb .php .swift .kt .scala .sh .bash".split()
-)
-IMAGE_EXTENSIONS = ".jpg .jpeg .png .gif .bmp .svg .webp .ico".split()
-VIDEO_EXTENSIONS = ".mp4 .avi .mkv .mov .wmv .flv .webm .m4v".split()
-AUDIO_EXTENSIONS = ".mp3 .wav .flac .aac .ogg .m4a .wma".split()
-DOCUMENT_EXTENSIONS = ".pdf .doc .docx .xls .xlsx .ppt .pptx .odt .ods".split()
-ARCHIVE_EXTENSIONS = ".zip .tar .gz .bz2 .7z .rar .xz .tgz".split()
+TEXT_EXTENSIONS = [".txt", ".md", ".log", ".csv", ".json", ".xml", ".yaml", ".yml"]
+CODE_EXTENSIONS = [
+    ".go", ".py", ".js", ".ts", ".java", ".c", ".cpp", ".h", ".hpp", ".rs", ".rb", ".php",
+    ".swift", ".kt", ".scala", ".sh", ".bash",
+]
+IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".svg", ".webp", ".ico"]
+VIDEO_EXTENSIONS = [".mp4", ".avi", ".mkv", ".mov", ".wmv", ".flv", ".webm", ".m4v"]
+AUDIO_EXTENSIONS = [".mp3", ".wav", ".flac", ".aac", ".ogg", ".m4a", ".wma"]
+DOCUMENT_EXTENSIONS = [".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".odt", ".ods"]
+ARCHIVE_EXTENSIONS = [".zip", ".tar", ".gz", ".bz2", ".7z", ".rar", ".xz", ".tgz"]
 
 # Directories left out of listings, names and suffixes left out of change logs.
 SKIPPED_DIRECTORIES = [".git", "node_modules", ".svn", ".hg", "__pycache__", ".vscode", ".idea"]
