@@ -169,7 +169,10 @@ def repeated_intervals(
     found = per_text.select(
         "place", F.explode(F.arrays_zip("hash", "lo", "n")).alias("r")
     ).select("place", "r.*")
-    repeated = found.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash")
+    # Written, so that the join below stands right on its shuffles and a hot anchor can be split.
+    repeated = step(
+        found.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash")
+    )
     candidates = found.join(repeated, "hash", "left_semi").groupBy("place").agg(
         F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n")
     )
