@@ -98,7 +98,8 @@ def fit_text_model(
 def text_likelihoods(
     docs: DataFrame, model: np.ndarray, text_col: str = "text", keep: dict[str, Column] | None = None
 ) -> DataFrame:
-    """The columns ``keep``, ``ll`` (per language, last: other) and ``letters``. Written once."""
+    """The columns ``keep``, ``ll`` (log-likelihood per language, last: other), ``t`` (posteriors by the
+    text alone) and ``letters``. Written once."""
     rows = docs.select(*(c.alias(n) for n, c in (keep or {}).items()), F.col(text_col).alias("text"))
     names = rows.columns[:-1]
 
@@ -112,22 +113,31 @@ def text_likelihoods(
         for batch in batches:
             texts = [t.as_py() for t in batch["text"]]
             found = np.array([likelihood(t) for t in texts]).reshape(len(texts), -1)
-            flat = pa.array(found.ravel(), pa.float64())
-            lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1] or 1), flat)
+            found = found.reshape(len(texts), model.shape[1])
+            alone = _softmax(found + np.log(_base(model.shape[1])))
             letters = pa.array([any(map(str.isalpha, t or "")) for t in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [*(batch[n] for n in names), lists, letters], [*names, "ll", "letters"]
+                [*(batch[n] for n in names), _lists(found), _lists(alone), letters],
+                [*names, "ll", "t", "letters"],
             )
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return step(rows.mapInArrow(per_batch, f"{kept}, ll array<double>, letters boolean"))
+    return step(rows.mapInArrow(per_batch, f"{kept}, ll array<double>, t array<double>, letters boolean"))
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    most = F.greatest(*logs)
-    powers = [F.exp(x - most) for x in logs]
-    total = sum(powers[1:], powers[0])
-    return [p / total for p in powers]
+def _base(kinds: int) -> np.ndarray:
+    """The prior before anything is known; the last one is for other languages."""
+    return np.array([(1 - OTHER_PRIOR) / (kinds - 1)] * (kinds - 1) + [OTHER_PRIOR])
+
+
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    powers = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return powers / powers.sum(axis=1, keepdims=True)
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    ends = np.arange(len(values) + 1) * values.shape[1]
+    return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(values.ravel(), pa.float64()))
 
 
 def suffix_of(host: str | Column) -> Column:
@@ -171,68 +181,65 @@ def identify(
     rows = text_likelihoods(named, model, "text", keep)
     every = (*languages, OTHER)
     places = range(len(every))
-    base = [(1 - OTHER_PRIOR) / len(languages)] * len(languages) + [OTHER_PRIOR]
-    logs = [F.col("ll")[i] + float(np.log(base[i])) for i in places]
-    said = rows.withColumns({f"t{i}": p for i, p in enumerate(_softmax(logs))})
-    said = said.withColumn("suffix", F.coalesce(suffix_of("host"), F.lit("")))
+    said = rows.withColumn("suffix", F.coalesce(suffix_of("host"), F.lit("")))
 
     def sums(by: list[str], name: str) -> DataFrame:
-        own = [F.sum(F.col(f"t{i}").cast("decimal(20,12)")).cast("double").alias(f"{name}{i}") for i in places]
-        return said.filter("letters").groupBy(*by).agg(*own)
-
-    total = sums([], "g").first()
-    whole = sum((total[i] or 0.0) for i in places)
-    overall = [((total[i] or 0.0) + SMOOTHING * base[i]) / (whole + SMOOTHING) for i in places]
+        own = [F.sum(F.col("t")[i].cast("decimal(20,12)")).cast("double") for i in places]
+        return said.filter("letters").groupBy(*by).agg(F.array(*own).alias(name))
 
     def added(frame: DataFrame, by: str, name: str) -> DataFrame:
-        zero = {f"{name}{i}": F.lit(0.0) for i in places}
         few = sums([by], name)
-        # Keys whose rows all lack letters have no sums; they get a row of zeros.
-        missing = said.select(by).distinct().join(few.select(by), by, "left_anti").withColumns(zero)
+        # Keys whose rows all lack letters have no sums; they get zeros.
+        zero = F.array_repeat(F.lit(0.0), len(every)).alias(name)
+        missing = said.select(by).distinct().join(few.select(by), by, "left_anti").select(by, zero)
         return join_hot_keys(frame, step(few.unionByName(missing)), by)
 
+    base = _base(len(every))
+    total = np.array([x or 0.0 for x in sums([], "g").first().g])
+    top = (total + SMOOTHING * base) / (total.sum() + SMOOTHING)
+    kinds = said.agg(F.approx_count_distinct("declared")).first()[0]
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def smoothed(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
+            return (counts + SMOOTHING * parent) / (counts.sum(axis=1, keepdims=True) + SMOOTHING)
+
+        for batch in batches:
+            letters = np.array(batch["letters"].to_pylist(), bool)
+            ll, t, d, h, s = (
+                batch[c].flatten().to_numpy().reshape(-1, len(every)) for c in ("ll", "t", "d", "h", "s")
+            )
+            # A row's own text is no evidence about its host.
+            own = np.where(letters[:, None], t, 0.0)
+            d, h, s = (np.maximum(x - own, 0) for x in (d, h, s))
+            none = {c: np.array([not v for v in batch[c].to_pylist()], bool)[:, None] for c in ("declared", "host", "suffix")}
+            of_suffix = np.where(none["suffix"], top, smoothed(s, top))
+            of_host = np.where(none["host"], of_suffix, smoothed(h, of_suffix))
+            said_so = np.log((d + ADDED) / (total + ADDED * kinds))
+            found = _softmax(ll + np.log(of_host) + np.where(none["declared"], 0.0, said_so))
+            best = found.max(axis=1)
+
+            def named(posteriors: np.ndarray) -> list[str]:
+                return [every[i] if some else OTHER for i, some in zip(posteriors.argmax(axis=1), letters)]
+
+            language = named(found)
+            kept = [name != OTHER and p >= least for name, p in zip(language, best)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch[c] for c in ("id", "doc", "declared", "host")), pa.array(named(t), pa.string()),
+                    pa.array(language, pa.string()), pa.array(best.round(6)), pa.array(kept, pa.bool_()),
+                ],
+                ["id", "doc", "declared", "host", "text_language", "language", "posterior", "kept"],
+            )
+
     frame = added(added(added(said, "declared", "d"), "host", "h"), "suffix", "s")
-    kinds = float(said.agg(F.approx_count_distinct("declared")).first()[0])
-    fused = []
-    own = [F.when(F.col("letters"), F.col(f"t{i}")).otherwise(0.0) for i in places]
-
-    def left_out(name: str) -> list[Column]:
-        return [F.greatest(F.col(f"{name}{i}") - own[i], F.lit(0.0)) for i in places]
-
-    def smoothed(counts: list[Column], parent: list[Column]) -> list[Column]:
-        n = sum(counts[1:], counts[0])
-        return [(c + SMOOTHING * p) / (n + SMOOTHING) for c, p in zip(counts, parent)]
-
-    top = [F.lit(p) for p in overall]
-    of_suffix = [
-        F.when(F.col("suffix") == "", p).otherwise(q) for p, q in zip(top, smoothed(left_out("s"), top))
-    ]
-    of_host = [
-        F.when(F.col("host") == "", p).otherwise(q)
-        for p, q in zip(of_suffix, smoothed(left_out("h"), of_suffix))
-    ]
-    declared_counts = left_out("d")
-    for i in places:
-        said_so = F.log((declared_counts[i] + ADDED) / ((total[i] or 0.0) + ADDED * kinds))
-        evidence = F.when(F.col("declared") == "", 0.0).otherwise(said_so)
-        fused.append(F.col("ll")[i] + F.log(of_host[i]) + evidence)
-    posteriors = _softmax([F.col(f"f{i}") for i in places])
-    best = F.greatest(*(F.struct(F.col(f"p{i}").alias("p"), F.lit(-i).alias("i")) for i in places))
-    names = F.array(*map(F.lit, every))
-    text_best = F.greatest(*(F.struct(F.col(f"t{i}").alias("p"), F.lit(-i).alias("i")) for i in places))
-    found = (
-        frame.withColumns({f"f{i}": x for i, x in enumerate(fused)})
-        .withColumns({f"p{i}": p for i, p in enumerate(posteriors)})
-        .withColumns({"best": best, "text_best": text_best})
-    )
-    language = F.when(F.col("letters"), F.element_at(names, 1 - F.col("best.i"))).otherwise(OTHER)
-    text_language = F.when(F.col("letters"), F.element_at(names, 1 - F.col("text_best.i"))).otherwise(OTHER)
-    return found.select(
-        "id", "doc", F.nullif("declared", F.lit("")).alias("declared"),
-        F.nullif("host", F.lit("")).alias("host"), text_language.alias("text_language"),
-        language.alias("language"), F.round("best.p", 6).alias("posterior"),
-        ((language != OTHER) & (F.col("best.p") >= least)).alias("kept"),
+    id_type = rows.schema["id"].dataType.simpleString()
+    found = frame.select("id", "doc", "declared", "host", "suffix", "letters", "ll", "t", "d", "h", "s").mapInArrow(
+        fuse,
+        f"id {id_type}, doc string, declared string, host string, text_language string, language string, "
+        "posterior double, kept boolean",
     )
+    blank = F.lit("")
+    return found.withColumns({c: F.nullif(F.col(c), blank) for c in ("declared", "host")})
 
 
 def keep_identified(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
