@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import sys
 import unicodedata
 
@@ -35,18 +36,31 @@ _BYTE_WORDS = re.compile(
 _LOWER_WORDS = re.compile(rf"{_ENDINGS}|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 
 
+def _byte_signs() -> dict[int, int]:
+    """The character that stands for each byte in the vocabularies: itself where it can be seen, else
+    the next one from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255) or b == 173]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 class _Words(dict):
     """Word to its ids, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.model = tokenizer.model
         self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.before.get(word)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            # The words are split already, so the model alone is asked, about their bytes as signs.
+            signs = word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            found = [token.id for token in self.model.tokenize(signs)]
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.before = dict(self)
