@@ -19,7 +19,7 @@ import numpy as np
 
 #: A process remembers so many words, and once more as many that it used before those. Longer words
 #: are not remembered.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 
 # Basic Latin, Latin-1 and Latin Extended-A, without those whose lower case has two characters and
 # without unusual blanks: here all Unicode versions agree on letters, numbers and case.
