@@ -176,6 +176,24 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "prj5_edit_distance_html",
+    """
+SELECT page_id, CAST(levenshtein(title, url) AS INT) AS a, CAST(levenshtein(title, coalesce(html, '')) AS INT) AS b
+FROM (SELECT page_id, url, html, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages)
+""",
+)
+def _(spark, sf_dir):
+    """Whole titles against whole addresses and whole pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    return pages.select(
+        "page_id",
+        text.edit_distance(title, F.col("url")).alias("a"),
+        text.edit_distance(title, F.coalesce("html", F.lit(""))).alias("b"),
+    )
+
+
 @query(
     "prj6_parse_size",
     """
