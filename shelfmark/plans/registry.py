@@ -1250,6 +1250,30 @@ def _indexed_roots(spark, sf_dir):
     return _below(catalog.filter("is_dir"), folder)
 
 
+def _files_per_directory(df: DataFrame, folder: str) -> DataFrame:
+    """Number, bytes and newest time of the files of every directory, by extension."""
+    directory = F.regexp_extract(F.substring("path", len(folder) + 1, 1 << 20), "^(.*)/[^/]*$", 1)
+    return df.filter("NOT is_dir").groupBy(directory.alias("path"), "extension").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.max("modified_time").alias("newest")
+    )
+
+
+# Sizes, times and the number of part files are not in the tables, so SQL cannot ask for them; tests
+# compare with Spark's file-metadata columns.
+
+@query("src1_list_files_per_directory")
+def _listed_files(spark, sf_dir, folder=None):
+    folder = folder or _tree(spark, sf_dir)
+    return _files_per_directory(listing.list_files(spark, [folder]), folder)
+
+
+@query("src9_index_roots_per_directory")
+def _indexed_files(spark, sf_dir, folder=None):
+    folder = folder or _tree(spark, sf_dir)
+    catalog, _failed = listing.index_roots(spark, [folder, "", f"{folder}/missing", f"{folder}/block=0"])
+    return _files_per_directory(catalog, folder)
+
+
 def _sizes_by_extension(batches):
     """A user function over batches of catalog rows."""
     for batch in batches:
