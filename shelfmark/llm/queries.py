@@ -13,6 +13,7 @@ from shelfmark.llm import (
     packing,
     quality,
     secrets,
+    sentence_pieces,
     simhash,
     suffix_dedup,
     token_files,
@@ -206,3 +207,15 @@ def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_quality")
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_sentence_pieces")
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_path("piece_bpe_32k.model")
+    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents"), model)
+    return sentence_pieces.decode(encoded, model).select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
