@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfmark.llm import (
     decontaminate as dc,
     exact_dedup,
     language_id,
     packing,
+    periodic_runs,
     quality,
     secrets,
     sentence_pieces,
@@ -19,7 +20,7 @@ from shelfmark.llm import (
     token_files,
     window_dedup,
 )
-from shelfmark.llm.common import table
+from shelfmark.llm.common import table, text_or_empty
 from shelfmark.llm.tokens import public_path
 from shelfmark.plans.storage import scratch_path
 
@@ -219,3 +220,41 @@ def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth text or so, by its id, goes on with a period from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def edited(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        number = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        changed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, number(i).cast("int")))
+        return F.when(n > 0, F.concat_ws(" ", changed)).otherwise("")
+
+    # The only element of an array of word lists, so that the text is split once.
+    words = F.regexp_extract_all(text_or_empty("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(h % 10 == 0, F.transform(F.array(words), edited)[0]).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_with_periods(table(spark, sf_dir, "documents")))
+    shown = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    first = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    ).alias("first")
+    return found.select("*", first).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("first.col2")).alias("start"),
+        F.col("first.length").alias("length"),
+        (-F.col("first.col3")).alias("period"),
+        F.floor(1000 * F.col("first.length") / -F.col("first.col3")).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", shown), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
