@@ -10,6 +10,7 @@ from shelfmark.llm import (
     decontaminate as dc,
     exact_dedup,
     language_id,
+    merkle,
     packing,
     periodic_runs,
     quality,
@@ -258,3 +259,25 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws("", shown), 256).alias("runs_sha256"),
         F.sha2("kept", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_merkle")
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(
+        F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))
+    ).otherwise(F.col("text"))
+
+    def leaf(text: Column) -> Column:
+        return merkle.leaf_digest(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), text)
+
+    leaves = docs.select(
+        F.col("doc_id").alias("id"), "source", leaf(F.col("text")).alias("digest"), leaf(tampered).alias("changed")
+    )
+    manifest = merkle.build(leaves)
+    as_text = lambda c: F.lower(F.hex(c))
+    return merkle.fold(manifest, "changed").select(
+        F.col("id").alias("doc_id"), as_text("digest").alias("leaf"), as_text("subroot").alias("subroot"),
+        F.lit(manifest.root).alias("root"), F.sha2(as_text("siblings"), 256).alias("proof_sha256"),
+        as_text("folded").alias("folded_root"), (as_text("folded") == F.lit(manifest.root)).alias("verified"),
+    )
