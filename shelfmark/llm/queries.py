@@ -214,8 +214,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_sentence_pieces")
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_path("piece_bpe_32k.model")
-    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents"), model)
-    return sentence_pieces.decode(encoded, model).select(
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), model).select(
         F.col("id").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: A process remembers so many words, and once more as many that it used before those; longer ones not.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: A process remembers so many answers about neighbours.
-NEIGHBOURS = 1_000_000
+NEIGHBOURS = 400_000
+#: So many texts are worked on at a time.
+ROWS = 500
 
 BLANK, LINE = "▁", "\n"
 
@@ -225,33 +227,54 @@ def codec(path: str) -> Codec:
     return kept[path]
 
 
+def _recoded(rows: DataFrame, path: str, given: list[str], recode) -> DataFrame:
+    """``(id, ids)`` and, where it is wanted, ``text``, from ``recode`` of a codec and of each row's value."""
+    column, names = given[0], ["id", *given[1:]]
+    types = {"ids": pa.binary(), "text": pa.string()}
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = codec(path)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                found = list(zip(*(recode(known, value.as_py()) for value in part[column])))
+                made = [pa.array(values, types[name]) for values, name in zip(found, given[1:])]
+                yield pa.RecordBatch.from_arrays([part["id"], *made], names)
+
+    shown = {"ids": "ids binary", "text": "text string"}
+    columns = ", ".join(["id " + rows.schema["id"].dataType.simpleString(), *(shown[n] for n in given[1:])])
+    return rows.mapInArrow(per_batch, columns)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids)``: one row per row of ``docs``; ids are little-endian unsigned 32-bit integers.
 
     Null and empty texts have the begin and the end id alone; null ids are kept, repeated rows have
     equal answers, an empty table gives no rows. Other columns are not read.
     """
-
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = codec(path)
-        for batch in batches:
-            ids = [known.encode(text.as_py()) for text in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(ids, pa.binary())], ["id", "ids"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(per_batch, f"id {rows.schema['id'].dataType.simpleString()}, ids binary")
+    rows = _texts(docs, id_col, text_col)
+    return _recoded(rows, path, ["text", "ids"], lambda known, text: (known.encode(text),))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``(id, ids, text)`` of the rows of ``encode``: the text as the library gives it back. Rows whose
     ids are null have a null text."""
 
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = codec(path)
-        for batch in batches:
-            texts = [None if (ids := b.as_py()) is None else known.decode(ids) for b in batch["ids"]]
-            columns = [batch["id"], batch["ids"], pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "text"])
+    def recode(known: Codec, ids: bytes | None) -> tuple:
+        return ids, None if ids is None else known.decode(ids)
+
+    return _recoded(encoded.select("id", "ids"), path, ["ids", "ids", "text"], recode)
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode``, in one pass of one Python process per task."""
+
+    def recode(known: Codec, text: str | None) -> tuple:
+        ids = known.encode(text)
+        return ids, known.decode(ids)
 
-    rows = encoded.select("id", "ids")
-    return rows.mapInArrow(per_batch, f"id {rows.schema['id'].dataType.simpleString()}, ids binary, text string")
+    return _recoded(_texts(docs, id_col, text_col), path, ["text", "ids", "text"], recode)

@@ -99,6 +99,8 @@ def test_edge_cases(spark, docs):
     for key, text in ((1, None), (2, ""), (None, " no id"), (4, "same"), (5, long), (6, "\n \n")):
         assert ids_of(by_id[key].ids) == brute(text)
         assert by_id[key].text == (text or "")
+    key = lambda r: str(tuple(r))
+    assert sorted(rows, key=key) == sorted(sentence_pieces.round_trip(frame, PATH).collect(), key=key)
     assert sentence_pieces.decode(encoded.limit(0), PATH).count() == 0
     nothing = spark.createDataFrame([(1, None)], "id long, ids binary")
     assert [tuple(r) for r in sentence_pieces.decode(nothing, PATH).collect()] == [(1, None, None)]
