@@ -12,45 +12,84 @@ POSIX_CLASSES = {
     "word": r"\w", "xdigit": r"\p{XDigit}",
 }
 
-# Constructs that linear-time dialects do not have: look-around, atomic groups, back-references,
-# possessive quantifiers.
-_UNSUPPORTED = r"\(\?(=|!|<=|<!|>)|\\[1-9]|[*+?}]\+"
+# Constructs that linear-time dialects do not have: look-around, atomic groups, possessive
+# quantifiers, other flags, back-references and unknown escapes (the only ones left where they are).
+_UNSUPPORTED = r"\(\?(=|!|<=|<!|>)|[*+?}]\+|\(\?[a-zA-Z-]*[^imsU:)<P-][a-zA-Z-]*[:)]|\\[1-9A-Za-z]"
 
-_QUOTED = r"(?s)\\Q.*?(\\E|\z)"
-_ESCAPED = r"(?s)\\[^1-9]"
-_CLASS = r"\[\^?\]?(\[:\^?[a-z]+:\]|[^\]])*\]"
-_NAMED = rf"\[:(\^?)({'|'.join(POSIX_CLASSES)}):\]"
-# A class is open here: there is a bracket before, and no end of it.
-_IN_CLASS = r"(?<=(?<!\\)\[[^\]]{0,80})"
+# Letters that have a meaning behind a backslash.
+_ESCAPES = "abfnrtvxzABdDsSwWpPQE"
 
+# Quoted text, an escaped sign, a named class, the head of a named group, flags, any other sign.
+_TOKENS = r"(?s)\\Q.*?(?:\\E|\z)|\\.|\[:\^?[a-z]+:\]|\(\?P<|\(\?[a-zA-Z-]*[:)]|."
+_NAMED = r"^\[:(\^?)([a-z]+):\]$"
 
-def without_literals(pattern: Column) -> Column:
-    """The pattern with escaped characters and classes as plain letters; back-references stay."""
-    bare = F.regexp_replace(pattern, _QUOTED, "x")
-    bare = F.regexp_replace(bare, _ESCAPED, "x")
-    return F.regexp_replace(bare, _CLASS, "x")
+# Where the reader is: outside a class, just behind its bracket, behind that and ``^``, further inside.
+_OUTSIDE, _OPENED, _NEGATED, _INSIDE = 0, 1, 2, 3
 
 
-def is_unsupported(pattern: Column) -> Column:
-    return without_literals(pattern).rlike(_UNSUPPORTED)
+def _named_class(token: Column) -> Column:
+    """Java's class for ``[:name:]`` or ``[:^name:]``; names it does not have stay as they are."""
+    java = F.lit(None).cast("string")
+    for name, positive in POSIX_CLASSES.items():
+        negative = positive.replace(r"\p", r"\P").replace(r"\w", r"\W")
+        java = F.when(token == f"[:{name}:]", positive).when(token == f"[:^{name}:]", negative).otherwise(java)
+    return F.coalesce(java, token)
 
 
-def to_java(pattern: Column) -> Column:
-    """Only ``\\n`` ends a line, group names are without ``P``, named classes and flags are Java's.
+def _read(state: Column, token: Column) -> Column:
+    """The state after one token."""
+    at, inside = state["at"], state["at"] != _OUTSIDE
+    known = token.rlike(rf"(?s)^\\[^1-9A-Za-z{_ESCAPES}]|^\\[{_ESCAPES}]")
+    java = (
+        F.when(token == r"\v", r"\x0B")
+        .when(inside & token.isin("[", "&"), F.concat(F.lit("\\"), token))
+        .when((token == "]") & at.isin(_OPENED, _NEGATED), r"\]")
+        .when(inside & token.rlike(_NAMED), _named_class(token))
+        .when(~inside & (token == "(?P<"), "(?<")
+        .when(~inside & token.startswith("(?"), F.replace(token, F.lit("U"), F.lit("")))
+        .otherwise(token)
+    )
+    bare = (
+        F.when(inside, "")
+        .when((token == "[") | known, "x")
+        .otherwise(token)
+    )
+    then = (
+        F.when(~inside, F.when(token == "[", _OPENED).otherwise(_OUTSIDE))
+        .when((token == "]") & (at == _INSIDE), _OUTSIDE)
+        .when((token == "^") & (at == _OPENED), _NEGATED)
+        .otherwise(_INSIDE)
+    )
+    return F.struct(
+        F.concat(state["java"], java).alias("java"),
+        F.concat(state["bare"], bare).alias("bare"),
+        then.alias("at"),
+    )
+
+
+def translated(pattern: Column) -> Column:
+    """``java``: the pattern in Java's dialect. ``bare``: with classes and known escapes as plain letters.
 
-    The flag that makes quantifiers lazy is left out: it does not change whether a text matches.
+    Only ``\\n`` ends a line, group names are without ``P``, named classes and flags are Java's, and in a
+    class ``[`` and ``&`` are plain signs. The flag that makes quantifiers lazy is left out: it does not
+    change whether a text matches. The pattern is read sign by sign, so classes may have any length.
     """
-    made = F.replace(pattern, F.lit("(?P<"), F.lit("(?<"))
-    made = F.regexp_replace(made, r"(?<!\\)\(\?([ims]*)U([imsU]*(?:-[imsU]*)?[:)])", "(?$1$2")
-    # Named classes stand between two control characters meanwhile, without brackets of their own.
-    made = F.regexp_replace(made, _NAMED, "\x01$1$2\x02")
-    for name, java in POSIX_CLASSES.items():
-        negated = java.replace(r"\p", r"\P").replace(r"\w", r"\W")
-        for sign, to in (("", java), (r"\^", negated)):
-            named = f"{_IN_CLASS}\x01{sign}{name}\x02"
-            made = F.regexp_replace(made, named, to.replace("\\", "\\\\"))
-    made = F.regexp_replace(made, "\x01(\\^?)([a-z]+)\x02", "[:$1$2:]")
-    return F.concat(F.lit("(?d)"), made)
+    start = F.struct(F.lit("(?d)").alias("java"), F.lit("").alias("bare"), F.lit(_OUTSIDE).alias("at"))
+    return F.aggregate(F.regexp_extract_all(pattern, F.lit(_TOKENS), F.lit(0)), start, _read)
+
+
+def is_unsupported(bare: Column) -> Column:
+    return bare.rlike(_UNSUPPORTED)
+
+
+def to_java(pattern: Column) -> Column:
+    return translated(pattern)["java"]
+
+
+def is_valid(pattern: Column) -> Column:
+    """False for a regex that does not compile or has unsupported constructs."""
+    read = F.array(translated(pattern))
+    return F.transform(read, lambda t: compiles(t["java"]) & ~is_unsupported(t["bare"]))[0]
 
 
 def compiles(java: Column) -> Column:

@@ -5,27 +5,30 @@ verified on the rows that meet there:
 
 * exact: the folded name;
 * prefix: the beginning of the path, for every pattern length that occurs;
-* substring, wildcard, regex: one three-character piece of text that every match must contain;
+* substring, wildcard, regex: three-character pieces of text. What every match must contain is a
+  formula (of each part one of some texts, see ``functions.required``); of the part whose pieces the fewest
+  names have, a match has one;
 * fuzzy: pieces of the name (see ``fuzzy_join``);
-* patterns without any required text (``*``, ``[0-9]+``): literal conditions in a scan, 64 of
-  them at a time;
+* patterns without any required text (``*``, ``[0-9]+``): up to 64 are literal conditions of one scan;
+  more stay a table, and blocks of them meet blocks of distinct names;
 * filters only: the best paths per extension and size cell.
 
 Equal searches run once. A small table of searches is broadcast and the catalog is scanned without
 a shuffle; only each partition's best k rows per search travel. A large one meets distinct names,
-and the catalog is cut to the k best paths per name, extension and size cell before it is joined;
-cells are the size ranges between the bounds that occur, so this loses nothing.
+and the catalog is cut to the k best paths per name, extension and size cell before it is joined. Size
+cells are dyadic: a file lies in one cell on each of 64 levels, a range of sizes is made of at most two
+cells a level, so one scan answers any number of ranges and loses nothing.
 """
 
 from __future__ import annotations
 
-from itertools import islice
-
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shelfmark.functions import regex
-from shelfmark.functions.scoring import MEDIUM_BYTES, SMALL_BYTES, score_name, score_size
-from shelfmark.functions.text import for_value, like_literal, wildcard_to_like
+from shelfmark.functions.required import required_parts
+from shelfmark.functions.scoring import score_name, score_size
+from shelfmark.functions.text import for_value, like_literal, wildcard_to_like, wildcard_to_regex
 from shelfmark.operators.fuzzy_join import close_pairs
 from shelfmark.operators.prefixes import beginnings, with_prefixes
 from shelfmark.operators.rank import by_score
@@ -51,8 +54,12 @@ SETTINGS = [
     "fuzzy_distance",
 ]
 GRAM = 3
-LITERALS_PER_SCAN = 64
-RANGES_PER_SCAN = 128
+#: So many patterns without required text are conditions in a plan; more are matched as a table.
+LITERALS = 64
+#: Names and patterns of one block.
+NAMES_PER_BLOCK, PATTERNS_PER_BLOCK = 1_000, 1_000
+#: Level of the cell that all files are in, whatever their size.
+WHOLE = 64
 ANY_EXTENSION = "*"
 
 
@@ -72,35 +79,25 @@ def _distinct_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def required_text(pattern: Column, kind: Column) -> Column:
-    """A text that every match contains, ``''`` if none is known.
+def _regex_parts(patterns: pd.Series) -> pd.Series:
+    return patterns.map(required_parts)
 
-    For a regex it is the longest run of plain characters outside groups, classes and escapes,
-    without characters that a quantifier may drop. Flags, unusual escapes and alternatives at the
-    top level give none.
-    """
-    bare = F.regexp_replace(pattern, r"\\\\", "\n")
-    unsafe = F.contains(pattern, F.lit("(?")) | bare.rlike(
-        r"\[\[|\\[a-zA-Z0-9&&[^dDsSwWbBAztnrfv]]"
+
+def _text_parts(pattern: Column, kind: Column) -> Column:
+    """The parts of substrings and wildcards: each has a single text."""
+    runs = F.when(kind == "substring", F.array(pattern)).when(
+        kind == "wildcard", F.filter(F.split(pattern, r"[*?]+"), lambda t: t != "")
     )
-    plain = F.regexp_replace(bare, r"\\.", "\n")
-    plain = F.regexp_replace(plain, r"\[\^?\]?[^\]]*\]", "\n")
-    for _ in range(4):
-        plain = F.regexp_replace(plain, r"\([^()]*\)", "\n")
-    unsafe = unsafe | plain.rlike(r"[|()\[\]]")
-    # Counts go first, with what they count and the mark that makes them lazy.
-    plain = F.regexp_replace(plain, r"[^\n]?\{[0-9,]*\}[?]?", "\n")
-    plain = F.regexp_replace(plain, r"[^\n](?=[*?{])", "\n")
-    runs = F.when(
-        kind == "regex", F.split(F.when(unsafe, "").otherwise(plain), r"[\n.^$*+?{}]+")
-    ).otherwise(F.split(pattern, r"[*?]+"))
-    longest = F.array_sort(runs, lambda a, b: F.char_length(b) - F.char_length(a))[0]
-    return F.when(kind == "substring", pattern).when(kind.isin("wildcard", "regex"), longest)
+    return F.transform(runs, lambda t: F.array(t))
+
+
+def _gram_size(text: Column) -> Column:
+    return F.least(F.lit(GRAM), F.char_length(text))
 
 
 def _prepared(wanted: DataFrame) -> DataFrame:
-    """Add what matching needs: whether to fold, the text to verify with, the required text, the
-    size of its first piece, and the key of searches that are one equality."""
+    """Add what matching needs: whether to fold, the text to verify with, the required ``parts`` and
+    whether they are folded, and the ``keys`` of searches that are equalities; a match has one of them."""
     folds = ~F.col("case_sensitive") & (F.col("type") != "regex")
     folded = F.when(F.col("folds"), F.lower("pattern")).otherwise(F.col("pattern"))
     needle = (
@@ -112,18 +109,38 @@ def _prepared(wanted: DataFrame) -> DataFrame:
         F.lit(MIN_FUZZY_DISTANCE), F.least(F.lit(MAX_FUZZY_DISTANCE), "fuzzy_distance")
     )
     clamped = F.when(F.col("type") == "fuzzy", distance).otherwise(F.col("fuzzy_distance"))
-    return (
-        wanted.withColumns({"folds": folds, "fuzzy_distance": clamped})
-        .withColumns({"needle": needle, "anchor": required_text(folded, F.col("type"))})
-        .selectExpr("*", f"IF(anchor IS NULL, NULL, least({GRAM}, char_length(anchor))) AS gram_size")
-        .selectExpr(
-            "*",
-            """CASE WHEN type = 'exact' THEN xxhash64('exact', lower(pattern))
-                    WHEN type = 'prefix' THEN xxhash64('path', pattern)
-                    WHEN gram_size > 0 THEN xxhash64(
-                      IF(folds, 'folded', 'plain'), substring(anchor, 1, gram_size)) END AS key""",
-        )
+    is_regex = F.col("type") == "regex"
+    settled = wanted.withColumns({"folds": folds, "fuzzy_distance": clamped})
+    settled = settled.withColumns(
+        {
+            "needle": needle,
+            "folded_parts": F.col("folds") | (is_regex & F.col("pattern").rlike(r"^\(\?[msU]*i[imsU]*\)")),
+        }
+    )
+    # Only regexes go through Python, which reads each of them once.
+    regex_parts = F.pandas_udf(_regex_parts, T.ArrayType(T.ArrayType(T.StringType())))
+    read = settled.filter(is_regex).withColumn("parts", regex_parts("pattern")).unionByName(
+        settled.filter(~is_regex).withColumn("parts", _text_parts(folded, F.col("type")))
+    )
+    # Without counts, the part whose shortest text is longest.
+    rated = F.transform(
+        "parts",
+        lambda p: F.struct(
+            F.array_min(F.transform(p, _gram_size)), -F.size(p), F.array_min(F.transform(p, F.char_length)), p.alias("texts")
+        ),
     )
+    best = F.array_max(rated)["texts"]
+    pieces = F.transform(best, lambda t: _gram_key(F.substring(t, F.lit(1), _gram_size(t)), F.col("folded_parts")))
+    keys = (
+        F.when(F.col("type") == "exact", F.array(F.xxhash64(F.lit("exact"), F.lower("pattern"))))
+        .when(F.col("type") == "prefix", F.array(F.xxhash64(F.lit("path"), "pattern")))
+        .otherwise(F.array_distinct(pieces))
+    )
+    return read.withColumn("keys", keys)
+
+
+def _gram_key(piece: Column, folded: Column) -> Column:
+    return F.xxhash64(F.when(folded, "folded").otherwise("plain"), piece)
 
 
 def _verified(with_paths: bool) -> Column:
@@ -153,13 +170,48 @@ def _grams(text: str, size: int, folds: bool) -> str:
     )
 
 
+def _with_rarest_keys(
+    keyed_names: DataFrame, wanted: DataFrame, pieces: list
+) -> tuple[DataFrame, DataFrame]:
+    """The searches with the keys of the part that the fewest names have, and the counts of keys.
+
+    Of each text of a part its rarest piece counts; a part counts as much as its texts together.
+    """
+    texts = wanted.select("qkey", "folded_parts", F.posexplode("parts").alias("part", "texts")).select(
+        "qkey", "folded_parts", "part", F.posexplode("texts").alias("number", "text")
+    )
+    options = F.lit(None).cast("array<bigint>")
+    for size, folds in pieces:
+        same = (F.col("folded_parts") == folds) & (_gram_size(F.col("text")) == size)
+        options = F.when(same, F.expr(_grams("text", size, folds))).otherwise(options)
+    offered = reliable(texts.select("qkey", "part", "number", F.explode(options).alias("key")))
+    # Only keys that some search could take are counted.
+    distinct = offered.select("key").distinct()
+    counted = keep_keys_of(keyed_names, distinct, "key").groupBy("key")
+    counts = reliable(counted.agg(F.count(F.lit(1)).alias("rows")).join(distinct, "key", "left_semi"))
+    known = offered.join(counts, "key", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    rarest = (
+        known.groupBy("qkey", "part", "number")
+        .agg(F.min(F.struct("rows", "key")).alias("best"))
+        .groupBy("qkey", "part")
+        .agg(F.sum("best.rows").alias("rows"), F.array_sort(F.collect_set("best.key")).alias("keys"))
+        .groupBy("qkey")
+        .agg(F.min(F.struct("rows", F.size("keys").alias("size"), "keys")).alias("best"))
+        .select("qkey", F.col("best.keys").alias("rarest"))
+    )
+    found = wanted.join(rarest, "qkey", "left")
+    chosen = F.coalesce("rarest", "keys").alias("keys")
+    return reliable(found.select(*[c for c in wanted.columns if c != "keys"], chosen)), counts
+
+
 def _match_keyed(
     named: DataFrame, wanted: DataFrame, shapes: list, pick_rarest: bool
 ) -> DataFrame:
-    """Searches that become one equality: exact, prefix and those with required text.
+    """Searches that become equalities: exact, prefix and those with required text.
 
-    A name brings all its keys, a search exactly one, so every match is met once. ``pick_rarest``
-    chooses the piece of text that the fewest names have.
+    A name brings all its keys, a search those of which a match has one at least. A match counts where
+    the key is the smallest that both have, so it is found once. ``pick_rarest`` chooses the part of the
+    required text whose pieces the fewest names have.
     """
     keys = []
     if any(s.type == "exact" for s in shapes):
@@ -167,7 +219,7 @@ def _match_keyed(
     if any(s.type == "prefix" for s in shapes):
         lengths = sorted({s.length for s in shapes if s.length is not None})
         keys.append(f"transform({beginnings('path', lengths)}, p -> xxhash64('path', p))")
-    pieces = sorted({(s.gram_size, s.folds) for s in shapes if s.gram_size})
+    pieces = sorted({(size, s.folded_parts) for s in shapes for size in s.gram_sizes or ()})
     for size, folds in pieces:
         keys.append(_grams("lower(name)" if folds else "name", size, folds))
     all_keys = f"concat({', '.join(keys)})"
@@ -175,51 +227,77 @@ def _match_keyed(
     counts = None
     if pick_rarest and pieces:
         keyed_names = named.selectExpr("*", f"explode({all_keys}) AS key")
-        options = F.array(F.col("key"))
-        for size, folds in pieces:
-            same = (F.col("folds") == folds) & (F.col("gram_size") == size)
-            options = F.when(same, F.expr(_grams("anchor", size, folds))).otherwise(options)
-        # Only keys that some search could take are counted.
-        offered = wanted.select(F.explode(options).alias("key")).distinct()
-        counted = keep_keys_of(keyed_names, offered, "key").groupBy("key")
-        counts = reliable(
-            counted.agg(F.count(F.lit(1)).alias("rows")).join(offered, "key", "left_semi")
-        )
-        rarest = (
-            wanted.select("qkey", F.explode(options).alias("key"))
-            .join(counts, "key", "left")
-            .groupBy("qkey")
-            .agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "key")).alias("best"))
-            .select("qkey", "best.key")
-        )
-        wanted = reliable(wanted.drop("key").join(rarest, "qkey"))
-    known_keys = keep_known(all_keys, wanted)
+        wanted, counts = _with_rarest_keys(keyed_names, wanted, pieces)
+    keyed = wanted.withColumn("key", F.explode("keys"))
+    known_keys = keep_known(all_keys, keyed)
     keyed_names = named.selectExpr("*", f"explode({known_keys}) AS key")
     if pick_rarest:
-        keyed_names = keep_keys_of(keyed_names, wanted, "key")
+        keyed_names = keep_keys_of(keyed_names, keyed, "key")
     met = join_hot_keys(
-        keyed_names, wanted, "key", known_small=not pick_rarest, counts=counts
+        keyed_names, keyed, "key", known_small=not pick_rarest, counts=counts
     )
-    return met.filter(_verified("path" in named.columns))
+    # Worked out again for true matches only: keys would make every candidate row many times as long.
+    shared = F.array_min(F.array_intersect(F.expr(all_keys), F.col("keys")))
+    matches = _verified("path" in named.columns)
+    first = F.when(F.size("keys") == 1, True).otherwise(F.col("key") == shared)
+    return met.filter(F.when(matches, first).otherwise(F.lit(False)))
+
+
+def _match_unkeyed(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Patterns without required text: every name is compared with them."""
+    asked = ["qkey", "type", "pattern", "case_sensitive", "needle"]
+    rows = wanted.select(*asked).limit(LITERALS + 1).collect()
+    if len(rows) > LITERALS:
+        return _match_blocks(named, wanted)
+    hits = []
+    for row in rows:
+        name = F.col("name") if row.case_sensitive else F.lower("name")
+        if row.type == "regex":
+            hit = F.col("name").rlike(row.needle)
+        else:
+            hit = name.like(like_literal(row.pattern))
+        hits.append(F.when(hit, F.lit(row.qkey)))
+    scan = named.withColumn("qkey", F.explode(F.array_compact(F.array(*hits))))
+    return scan.join(F.broadcast(wanted), "qkey")
+
+
+def _match_blocks(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Blocks of patterns against blocks of distinct names; no pattern gets into the driver or the plan.
+
+    A block of names is one array, and a pattern goes through the whole of it, so it is compiled once
+    per block. The hits are written, and met by their names again.
+    """
+    def blocks(rows: DataFrame, key: str, size: int, number: str, values: Column) -> tuple[DataFrame, int]:
+        kept = reliable(rows)
+        count = max(1, -(-kept.count() // size))
+        block = F.pmod(F.xxhash64(key), F.lit(count)).alias(number)
+        return kept.groupBy(block).agg(F.collect_list(values).alias(f"{number}s")), count
 
+    folded = F.when(F.col("folds"), F.lower("pattern")).otherwise(F.col("pattern"))
+    whole_name = F.concat(F.lit("(?s)"), wildcard_to_regex(folded))
+    matcher = F.when(F.col("type") == "regex", F.col("needle")).otherwise(whole_name).alias("matcher")
+    asked, count = blocks(
+        wanted.select("qkey", "folds", matcher), "qkey", PATTERNS_PER_BLOCK, "pattern", F.struct("qkey", "folds", "matcher")
+    )
+    names, _ = blocks(
+        named.select("name").distinct(), "name", NAMES_PER_BLOCK, "name", F.struct("name", F.lower("name").alias("lower"))
+    )
+    few = broadcast_if_small(asked)
+    pairs = names.withColumn("pattern", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(
+        asked if few is None else few, "pattern"
+    )
 
-def _match_literals(named: DataFrame, wanted: DataFrame) -> DataFrame | None:
-    """Patterns without required text, as literal conditions in scans of 64 each."""
-    rows = wanted.select("qkey", "type", "pattern", "case_sensitive", "needle").toLocalIterator()
-    found = None
-    while chunk := list(islice(rows, LITERALS_PER_SCAN)):
-        hits = []
-        for row in chunk:
-            name = F.col("name") if row.case_sensitive else F.lower("name")
-            if row.type == "regex":
-                hit = F.col("name").rlike(row.needle)
-            else:
-                hit = name.like(like_literal(row.pattern))
-            hits.append(F.when(hit, F.lit(row.qkey)))
-        scan = named.withColumn("qkey", F.explode(F.array_compact(F.array(*hits))))
-        part = wanted.filter(F.col("qkey").isin([row.qkey for row in chunk]))
-        found = _union(found, scan.join(F.broadcast(part), "qkey"))
-    return found
+    def hits_of(p: Column) -> Column:
+        # Unlike ``rlike``, this function compiles a pattern again only when it changes.
+        def hit(n: Column) -> Column:
+            return F.regexp_instr(F.when(p["folds"], n["lower"]).otherwise(n["name"]), p["matcher"]) > 0
+
+        return F.struct(p["qkey"], F.transform(F.filter("names", hit), lambda n: n["name"]).alias("names"))
+
+    hits = pairs.select(F.explode(F.transform("patterns", hits_of)).alias("hit"))
+    hits = reliable(hits.select("hit.qkey", F.explode("hit.names").alias("name")))
+    met = join_hot_keys(hits, wanted, "qkey")
+    return join_hot_keys(met, named, "name", known_small=False) if named.columns != ["name"] else met
 
 
 def match_patterns(
@@ -233,15 +311,21 @@ def match_patterns(
     out = named.columns + ["qkey"] + SETTINGS
     length = F.when(F.col("type") == "prefix", F.char_length("pattern")).alias("length")
     distance = F.when(F.col("type") == "fuzzy", F.col("fuzzy_distance")).alias("distance")
-    shapes = wanted.select("type", "folds", "gram_size", length, distance).distinct().collect()
-    keyed_shapes = [s for s in shapes if s.type in ("exact", "prefix") or s.gram_size]
+    sizes = F.array_sort(F.array_distinct(F.transform(F.flatten("parts"), _gram_size))).alias("gram_sizes")
+    shapes = (
+        wanted.select("type", "folds", "folded_parts", sizes, length, distance)
+        .withColumn("keyed", F.col("type").isin("exact", "prefix") | (F.size("gram_sizes") > 0))
+        .distinct()
+        .collect()
+    )
+    keyed_shapes = [s for s in shapes if s.keyed]
     found = None
     if keyed_shapes:
-        met = _match_keyed(named, wanted.filter("key IS NOT NULL"), keyed_shapes, not small)
+        met = _match_keyed(named, wanted.filter("keys IS NOT NULL"), keyed_shapes, not small)
         found = met.select(*out)
-    if any(s.gram_size == 0 for s in shapes):
-        scanned = _match_literals(named, wanted.filter("gram_size = 0"))
-        found = _union(found, scanned.select(*out))
+    if any(not s.keyed and s.type != "fuzzy" for s in shapes):
+        unkeyed = wanted.filter("keys IS NULL AND type <> 'fuzzy'")
+        found = _union(found, _match_unkeyed(named, unkeyed).select(*out))
     for folds in sorted({s.folds for s in shapes if s.type == "fuzzy"}):
         fuzzy = wanted.filter((F.col("type") == "fuzzy") & (F.col("folds") == folds))
         pairs = close_pairs(
@@ -271,39 +355,79 @@ def _scored(df: DataFrame) -> DataFrame:
     return df.withColumn("score", score.cast("int"))
 
 
-def _size_cell(size: str, ranges: list) -> Column:
-    """Number of the range between two neighbouring bounds that a size lies in."""
-    cuts = {SMALL_BYTES, MEDIUM_BYTES}
-    cuts |= {r.min_size for r in ranges if r.min_size is not None}
-    cuts |= {r.max_size + 1 for r in ranges if r.max_size is not None}
-    return F.expr(" + ".join(f"CAST({size} >= {cut} AS INT)" for cut in sorted(cuts)))
+def size_cells(low: str = "min_size", high: str = "max_size") -> str:
+    """SQL array of the dyadic cells ``(level, cell)`` that a range of sizes is made of, both ends
+    included; cell ``c`` of level ``l`` has the sizes from ``c * 2^l`` on. Without bounds it is the whole."""
+    # On each level the range begins at the first whole cell and ends behind the last one; a cell at either
+    # end that is not half of a larger one inside the range is taken.
+    below = "IF(l = 0, 0L, shiftrightunsigned(-1L, 64 - l))"
+    first = f"(shiftright(lo, l) + IF(lo & {below} <> 0, 1, 0))"
+    last = f"(shiftright(hi, l) - IF((hi & {below}) = {below}, 0, 1))"
+    cells = f"""flatten(transform(sequence(0, 63), l -> IF({first} <= {last}, filter(array(
+        IF({first} & 1 = 1, struct(l AS level, {first} AS cell), NULL),
+        IF({last} & 1 = 0, struct(l AS level, {last} AS cell), NULL)), c -> c IS NOT NULL),
+        CAST(array() AS ARRAY<STRUCT<level: INT, cell: BIGINT>>))))"""
+    bound = f"""flatten(transform(array(coalesce({low}, {-(1 << 63) + 1}L - 1L)), lo ->
+        flatten(transform(array(coalesce({high}, {(1 << 63) - 1}L)), hi -> {cells}))))"""
+    return f"IF({low} IS NULL AND {high} IS NULL, array(struct({WHOLE} AS level, 0L AS cell)), {bound})"
+
+
+def _with_asked_cells(files: DataFrame, places: DataFrame) -> DataFrame:
+    """Files with each ``place`` (level, cell) that some search asks for."""
+    cells = places.distinct()
+    levels = [r.level for r in cells.select("place.level").distinct().orderBy("level").collect()]
+    in_cells = [
+        F.struct(
+            F.lit(level).alias("level"),
+            (F.lit(0).cast("bigint") if level == WHOLE else F.shiftright("size", level)).alias("cell"),
+        )
+        for level in levels
+    ]
+    if not in_cells:
+        in_cells = [F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("cell"))]
+    placed = files.withColumn("place", F.explode(F.array(*in_cells)))
+    few = broadcast_if_small(cells)
+    return placed.join(cells if few is None else few, "place", "left_semi")
 
 
-def _filters_only(files: DataFrame, wanted: DataFrame, ranges: list, k: int) -> DataFrame:
+def _filters_only(files: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Searches without a pattern: path order, so the first k paths per cell are enough."""
-    celled = files.filter(~F.col("is_dir")).withColumn("cell", _size_cell("size", ranges))
-    per_extension = first_k_per(celled, ["extension", "cell"], ["path"], k, "n").drop("n")
-    per_cell = first_k_per(per_extension, ["cell"], ["path"], k, "n").drop("n")
-    best = per_extension.withColumn("group", F.col("extension")).unionByName(
-        per_cell.withColumn("group", F.lit(ANY_EXTENSION))
-    )
-    top = len(ranges) * 2 + 2
-    low = F.when(F.col("min_size").isNull(), 0).otherwise(_size_cell("min_size", ranges))
-    high = F.when(F.col("max_size").isNull(), top).otherwise(_size_cell("max_size", ranges))
     groups = F.when(F.size("extensions") == 0, F.array(F.lit(ANY_EXTENSION))).otherwise(
         F.col("extensions")
     )
-    asked = (
-        wanted.withColumn("group", F.explode(groups))
-        .withColumn("low", low)
-        .withColumn("high", high)
-        .filter(F.col("low") <= F.col("high"))
-        .withColumn("cell", F.explode(F.sequence("low", "high")))
-        .withColumn("place", F.struct("group", "cell"))
-        .drop("group", "cell", "low", "high")
+    asked = wanted.withColumn("group", F.explode(groups)).withColumn("place", F.explode(F.expr(size_cells())))
+    celled = _with_asked_cells(files.filter(~F.col("is_dir")), asked.select("place"))
+    per_extension = first_k_per(celled, ["extension", "place"], ["path"], k, "n").drop("n")
+    per_cell = first_k_per(per_extension, ["place"], ["path"], k, "n").drop("n")
+    best = per_extension.withColumn("group", F.col("extension")).unionByName(
+        per_cell.withColumn("group", F.lit(ANY_EXTENSION))
     )
-    placed = best.withColumn("place", F.struct("group", "cell")).drop("group", "cell")
-    return join_hot_keys(asked, placed, "place", known_small=False).drop("place")
+    met = F.struct("group", "place")
+    return join_hot_keys(
+        asked.withColumn("met", met).drop("group", "place"),
+        best.withColumn("met", met).drop("group", "place"),
+        "met",
+        known_small=False,
+    ).drop("met")
+
+
+def _best_per_cell(files: DataFrame, wanted: DataFrame, key: str, keys: list[str], k: int) -> DataFrame:
+    """Searches, which have a ``key`` already, with the files of it that can be among their best k.
+
+    ``keys`` are what scores and filters depend on besides sizes, so in a group and cell the order is
+    by the size's points, then path.
+    """
+    asked = wanted.withColumn("place", F.explode(F.expr(size_cells())))
+    celled = _with_asked_cells(files, asked.select("place"))
+    order = [score_size(F.col("size")).desc(), "path"]
+    best = first_k_per(celled, [*keys, "place"], order, k, "n").drop("n")
+    met = F.struct(key, "place")
+    return join_hot_keys(
+        asked.withColumn("met", met).drop("place"),
+        best.select(met.alias("met"), *[c for c in CATALOG_COLUMNS if c != key]),
+        "met",
+        known_small=False,
+    ).drop("met")
 
 
 def search_many(
@@ -332,30 +456,26 @@ def search_many(
         names = reliable(files.select("name").distinct())
         pairs = match_patterns(names, by_name, False, broadcast_bytes)
         pairs = None if pairs is None else reliable(pairs)
-        for ranges, chunk in _range_chunks(pairs):
-            cell = _size_cell("size", ranges)
-            group = ["name", "extension", "is_dir", "cell"]
-            best = first_k_per(files.withColumn("cell", cell), group, ["path"], k, "n")
-            part = join_hot_keys(chunk, best.drop("n", "cell"), "name", known_small=False)
-            found = _union(found, part.select(*out).filter(_passes_filters()))
-        for ranges, chunk in _range_chunks(by_path):
-            cell = _size_cell("size", ranges)
-            asked_starts = chunk.select("pattern").distinct()
+        if pairs is not None:
+            group = ["name", "extension", "is_dir"]
+            part = _best_per_cell(files, pairs, "name", group, k)
+            found = part.select(*out).filter(_passes_filters())
+        if not by_path.isEmpty():
+            asked_starts = by_path.select("pattern").distinct()
             few = broadcast_if_small(asked_starts, broadcast_bytes)
             # Beginnings that nobody asks for go before anything is shuffled or ranked.
-            starts = with_prefixes(files.withColumn("cell", cell), chunk, "pattern").join(
+            starts = with_prefixes(files, by_path, "pattern").join(
                 asked_starts if few is None else few, "pattern", "left_semi"
             )
             points = {
                 f"points_{case}": score_name(F.col("name"), F.col("pattern"), True, case)
                 for case in (True, False)
             }
-            group = ["pattern", "extension", "is_dir", "cell", *points]
-            best = first_k_per(starts.withColumns(points), group, ["path"], k, "n")
-            part = join_hot_keys(chunk, best.select("pattern", *CATALOG_COLUMNS), "pattern", known_small=False)
+            group = ["pattern", "extension", "is_dir", *points]
+            part = _best_per_cell(starts.withColumns(points), by_path, "pattern", group, k)
             found = _union(found, part.select(*out).filter(_passes_filters()))
-    for ranges, chunk in _range_chunks(without_text):
-        found = _union(found, _filters_only(files, chunk, ranges, k).select(*out))
+    if not without_text.isEmpty():
+        found = _union(found, _filters_only(files, without_text, k).select(*out))
 
     if found is None:
         found = files.withColumn("qkey", F.lit("")).join(wanted.limit(0), "qkey").select(*out)
@@ -368,21 +488,3 @@ def search_many(
 
 def _union(left: DataFrame | None, right: DataFrame) -> DataFrame:
     return right if left is None else left.unionByName(right)
-
-
-def _range_chunks(wanted: DataFrame | None):
-    """The searches in groups with at most 128 distinct size ranges each."""
-    if wanted is None:
-        return
-    rows = wanted.select("min_size", "max_size").distinct().toLocalIterator()
-    first = True
-    while chunk := list(islice(rows, RANGES_PER_SCAN)):
-        if first and len(chunk) < RANGES_PER_SCAN:
-            yield chunk, wanted
-            return
-        first = False
-        known = wanted.sparkSession.createDataFrame(
-            [(r.min_size, r.max_size) for r in chunk], "lo long, hi long"
-        )
-        same = F.col("min_size").eqNullSafe(F.col("lo")) & F.col("max_size").eqNullSafe(F.col("hi"))
-        yield chunk, wanted.join(F.broadcast(known), same, "left_semi")

@@ -56,11 +56,6 @@ def _bound(inclusive: str, strict: str, step: str) -> str:
     return f"{last}.bytes + IF({last}.operator = '{strict}', {step}, 0)"
 
 
-def regex_is_valid(pattern: Column) -> Column:
-    """False for a regex that does not compile or has unsupported constructs."""
-    return regex.compiles(regex.to_java(pattern)) & ~regex.is_unsupported(pattern)
-
-
 def parse_queries(df: DataFrame, query_id: str = "query_id", raw: str = "raw") -> DataFrame:
     """Read ``raw`` into the columns of ``QUERY_SCHEMA``.
 
@@ -108,7 +103,7 @@ def parse_queries(df: DataFrame, query_id: str = "query_id", raw: str = "raw") -
         "OR max_size IS NOT NULL) AS filters_only",
     )
     valid = F.when((F.col("type") != "regex") | (F.col("pattern") == ""), True).otherwise(
-        regex_is_valid(F.col("pattern"))
+        regex.is_valid(F.col("pattern"))
     )
     checked = settings.withColumn("regex_ok", valid)
     return checked.selectExpr(

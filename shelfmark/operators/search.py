@@ -93,11 +93,10 @@ def search_wildcard(
 def spark_regex(df: DataFrame, pattern: str) -> str:
     """The pattern in Java's dialect; ``ValueError`` if it cannot be compiled or is not supported."""
     given = F.lit(pattern)
-    java = regex.to_java(given)
     probe = df.sparkSession.range(1).select(
-        java.alias("java"), (regex.is_unsupported(given) | ~regex.compiles(java)).alias("bad")
+        regex.to_java(given).alias("java"), regex.is_valid(given).alias("valid")
     ).first()
-    if probe.bad:
+    if not probe.valid:
         raise ValueError(f"this regex cannot be used: {pattern}")
     return probe.java
 

@@ -5,8 +5,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import rank, search as s, stats
-from shelfmark.operators.batch_search import required_text, search_many
+from shelfmark.functions import regex
+from shelfmark.functions.required import required_parts
+from shelfmark.operators import batch_search, rank, search as s, stats
+from shelfmark.operators.batch_search import search_many, size_cells
 from shelfmark.operators.fuzzy_join import fuzzy_join
 from shelfmark.operators.query_table import parse_queries, validate_queries
 from shelfmark.operators.search import SearchSpec
@@ -218,18 +220,73 @@ def test_fuzzy_join_equals_brute_force(spark, distance):
     assert set(rows) == wanted
 
 
-REGEX_ANCHORS = {
-    r"^READ.*\.(txt|md)$": "READ", "test[0-9]+": "test", "colou?r": "colo", "ab*cde": "cde",
-    "x{2}yz": "yz", "a|bcd": "", "(?i)readme": "", r"\x41bc": "", r"\pLabc": "", "(ab(cd)?)+ef": "ef",
-    r"a\.bcd": "bcd", "[abc]+": "", "[]a]bc": "bc", r"\\xyz": "xyz", "ab+cd": "ab", "[[:alpha:]]abc": "",
-    "a{2}?b": "b", "[0-9]{4}?": "", "ab{1,2}?cd": "cd", "x*?yz": "yz", "x+?yz": "yz", "abc??d": "ab",
+REGEX_PARTS = {
+    r"^CHAP.*\.(tex|bib)$": [(".bib", ".tex"), ("CHAP",)], "(north|south)[0-9]": [("north", "south")], "pages[0-9]+": [("pages",)],
+    "gr[ae]y": [("gray", "grey")], "ab*cde": [("a",), ("cde",)], "x{2}yz": [("xxyz",)], "a|bcd": [("a", "bcd")],
+    "(?i)Atlas": [("atlas",)], "(?i)é+a": [("a",)], r"\x41bc": [], r"\pLabc": [], "(ab(cd)?)+ef": [("ab", "abcd"), ("ef",)],
+    r"a\.bcd": [("a.bcd",)], "[a-z]+": [], "[]a]bc": [("]bc", "abc")], r"\\xyz": [("\\xyz",)], "[[:alpha:]]abc": [("abc",)],
+    "[0-9]{4}?": [], "ab{1,2}?cd": [("a",), ("b",), ("cd",)], "x*?yz": [("yz",)], "abc??d": [("abcd", "abd")], r"\Qa+\E+": [],
+    "(a|)": [], "(abc)*": [], "(?:m(?P<x>n|o)p|qrs)t": [("mnpt", "mopt", "qrst")], "f(?i)oo": [], "(" * 2000 + "a" + ")" * 2000: [],
 }
 
 
-def test_required_text_of_regex(spark):
-    df = spark.createDataFrame([(r,) for r in REGEX_ANCHORS], "r string")
-    found = {r[0]: r[1] for r in df.select("r", required_text(F.col("r"), F.lit("regex"))).collect()}
-    assert found == REGEX_ANCHORS
+def test_required_parts_of_regex():
+    assert {r: required_parts(r) for r in REGEX_PARTS} == REGEX_PARTS
+    assert required_parts(None) == required_parts("") == []
+
+
+def random_regex(rng, depth=0):
+    def item():
+        kind = rng.randrange(9)
+        if kind < 4 or depth > 2:
+            return rng.choice("abAB") + rng.choice(["", "", "b", "ab"])
+        if kind < 6:
+            return f"({random_regex(rng, depth + 1)})"
+        return rng.choice([".", "[ab]", "[^a]", r"\w", r"\.", r"\Qa.\E", "[[:upper:]]", "^", "$"])
+
+    branches = [
+        "".join(item() + rng.choice(["", "", "", "?", "*", "+", "{2}", "{1,2}", "+?"]) for _ in range(rng.randrange(1, 4)))
+        for _ in range(rng.choice([1, 1, 2, 3]))
+    ]
+    return "|".join(branches)
+
+
+def test_matches_have_a_text_of_each_part(spark):
+    rng = random.Random(21)
+    regexes = [rng.choice(["", "", "(?i)"]) + random_regex(rng) for _ in range(700)]
+    names = ["".join(rng.choice("abAB.") for _ in range(rng.randrange(7))) for _ in range(80)]
+    df = spark.createDataFrame([(r,) for r in regexes], "r string").filter(regex.is_valid(F.col("r")))
+    held = F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.rlike(n, F.col("java")))
+    found = df.withColumn("java", regex.to_java(F.col("r"))).select("r", held.alias("held")).collect()
+    assert len(found) > 400 and sum(len(r.held) for r in found) > 5000
+    with_parts = 0
+    for row in found:
+        parts = required_parts(row.r)
+        with_parts += len(parts) > 0
+        for name in row.held:
+            text = name.lower() if row.r.startswith("(?i)") else name
+            assert all(any(t in text for t in part) for part in parts), (row.r, name, parts)
+    assert with_parts > 200
+
+
+def test_size_cells(spark):
+    edge, rng = (1 << 63) - 1, random.Random(4)
+    ranges = [(None, None), (0, edge), (-edge - 1, edge), (edge, edge), (5, 4), (None, 7), (7, None), (0, 0), (-3, -1)]
+    ranges += [tuple(sorted(rng.choices(range(-40, 200), k=2))) for _ in range(60)]
+    ranges += [tuple(sorted(rng.choices(range(-edge, edge, 99991), k=2))) for _ in range(40)]
+    df = spark.createDataFrame(ranges, "min_size long, max_size long").selectExpr("*", f"{size_cells()} AS cells")
+    for lo, hi, cells in df.collect():
+        if lo is None and hi is None:
+            assert [tuple(c) for c in cells] == [(batch_search.WHOLE, 0)]
+            continue
+        lo, hi = -edge - 1 if lo is None else lo, edge if hi is None else hi
+        spans = sorted((c << level, ((c + 1) << level) - 1) for level, c in cells)
+        assert len(spans) <= 126
+        if lo > hi:
+            assert spans == []
+            continue
+        assert spans[0][0] == lo and spans[-1][1] == hi
+        assert all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:]))
 
 
 def test_regex_dialect(spark, catalog):
@@ -237,10 +294,11 @@ def test_regex_dialect(spark, catalog):
     for pattern, wanted in {
         "[[:digit:]]": ["log2024.txt"], "[[:^alpha:]]": ["A B", "[:a", "abc.go", "log2024.txt", "x+*y"],
         "[*+]": ["x+*y"], r"\++\*+": ["x+*y"], "a{2}?b": ["aab"], "[[:space:][:digit:]]": ["A B", "log2024.txt"],
+        "[" + "q" * 200 + "[:digit:]]": ["log2024.txt"], "[" + "q" * 20000 + "&&[:digit:]]": ["log2024.txt"], "[[]:a": ["[:a"], "[^]a-z0-9.]": ["A B", "[:a", "x+*y"],
         "(?U)a+b": ["aab", "abc.go"], "(?Ui)A+B": ["aab", "abc.go"], r"\Q+*\E": ["x+*y"], "[[:word:]]b": ["aab", "abc.go"],
     }.items():
         assert sorted(r.name for r in s.search_regex(df, pattern).collect()) == wanted, pattern
-    for pattern in ("a++", "a*+b", "(?=a)", r"(a)\1", "(?>a)", "["):
+    for pattern in ("a++", "a*+b", "(?=a)", r"(a)\1", "(?>a)", "[", r"\h", "(?x)a", "[[:digit:]", r"\R"):
         with pytest.raises(ValueError):
             s.search_regex(df, pattern)
 
@@ -305,14 +363,51 @@ def test_search_many_with_nothing_to_do(spark, many_files):
     assert search_many(many_files.limit(0), parsed(spark, MANY_TEXTS), 5).count() == 0
 
 
-def test_search_many_splits_size_ranges(spark, many_files, monkeypatch):
-    from shelfmark.operators import batch_search
-
+def test_search_many_with_many_size_ranges(spark, many_files):
     texts = [f"size:>={n} size:<={n * 3}" for n in range(1, 40)] + [f"config size:>{n}" for n in range(9)]
-    whole = sorted(map(tuple, search_many(many_files, parsed(spark, texts), 5, 1).collect()))
-    monkeypatch.setattr(batch_search, "RANGES_PER_SCAN", 10)
-    split = sorted(map(tuple, search_many(many_files, parsed(spark, texts), 5, 1).collect()))
-    assert split == whole and len(whole) > 100
+    texts += [f"/home/u{n} size:<{n * 300}" for n in range(7)] + ["config size:<2KB", "config size:>=1KB", "config size:>1KB"]
+    by_query = {}
+    for row in search_many(many_files, parsed(spark, texts), 5, 1).collect():
+        by_query.setdefault(row.query_id, []).append((row["rank"], row.path, row.score))
+    for number in range(0, len(texts), 5):
+        wanted = [(r.path, r.score) for r in s.search_text(many_files, texts[number], 5).collect()]
+        assert [(path, score) for _, path, score in sorted(by_query.get(number, []))] == wanted, texts[number]
+    few = plan_of(search_many(many_files, parsed(spark, texts), 5, 1))
+    many = plan_of(search_many(many_files, parsed(spark, [*texts, *(f"size:>{n * 77}" for n in range(400))]), 5, 1))
+    assert many.count("Window") == few.count("Window")
+
+
+UNKEYED = ["*", "?????", "????.*", "regex:^[0-9a-c]+", "regex:.", "regex:^.{3,4}$", "*?* ext:go", "??????* case:true", "regex:[[:upper:]]", "regex:$"]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 1])
+def test_patterns_without_text_meet_names_in_blocks(spark, many_files, monkeypatch, broadcast_bytes):
+    texts = [*UNKEYED, *(f"regex:^.{{{n}}}$" for n in range(70))]
+    direct = {}
+    for number in range(0, len(texts), 4):
+        direct[number] = [(r.path, r.score) for r in s.search_text(many_files, texts[number], 8).collect()]
+    monkeypatch.setattr(batch_search, "NAMES_PER_BLOCK", 7)
+    monkeypatch.setattr(batch_search, "PATTERNS_PER_BLOCK", 9)
+    by_query = {}
+    many = search_many(many_files, parsed(spark, texts), 8, broadcast_bytes)
+    assert "{13}" not in plan_of(many)
+    for row in many.collect():
+        by_query.setdefault(row.query_id, []).append((row["rank"], row.path, row.score))
+    for number, wanted in direct.items():
+        assert [(path, score) for _, path, score in sorted(by_query.get(number, []))] == wanted, texts[number]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 1])
+def test_alternatives_are_keyed(spark, many_files, monkeypatch, broadcast_bytes):
+    """Regexes with groups and alternatives meet names by pieces, and each match once."""
+    monkeypatch.setattr(batch_search, "_match_unkeyed", None)
+    texts = [r"regex:(config|readme)[.](go|md)", "regex:(a|ab|main)$", "regex:(?i)(CONFIG|konf)ig?", "regex:co(nf)?", "*fig*.g?", "*a*n*"]
+    by_query = {}
+    for row in search_many(many_files, parsed(spark, texts), 500, broadcast_bytes).collect():
+        by_query.setdefault(row.query_id, []).append((row["rank"], row.path, row.score))
+    for number, text in enumerate(texts):
+        wanted = [(r.path, r.score) for r in s.search_text(many_files, text, 500).collect()]
+        assert wanted and [(path, score) for _, path, score in sorted(by_query[number])] == wanted, text
 
 
 def test_hot_keys_are_sliced(spark):
