@@ -9,11 +9,11 @@ verified on the rows that meet there:
   formula (of each part one of some texts, see ``functions.required``); of the part whose pieces the fewest
   names have, a match has one;
 * fuzzy: pieces of the name (see ``fuzzy_join``);
-* patterns without any required text (``*``, ``[0-9]+``): up to 64 are literal conditions of one scan;
-  more stay a table, and blocks of them meet blocks of distinct names;
+* patterns without any required text (``*``, ``[0-9]+``): blocks of them meet blocks of distinct names;
 * filters only: the best paths per extension and size cell.
 
-Equal searches run once. A small table of searches is broadcast and the catalog is scanned without
+Equal searches run once. Up to 64 searches, or patterns without required text, are conditions of a
+single scan instead. A small table of searches is broadcast and the catalog is scanned without
 a shuffle; only each partition's best k rows per search travel. A large one meets distinct names,
 and the catalog is cut to the k best paths per name, extension and size cell before it is joined. Size
 cells are dyadic: a file lies in one cell on each of 64 levels, a range of sizes is made of at most two
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from shelfmark.functions import regex
 from shelfmark.functions.required import required_parts
 from shelfmark.functions.scoring import score_name, score_size
-from shelfmark.functions.text import for_value, like_literal, wildcard_to_like, wildcard_to_regex
+from shelfmark.functions.text import for_value, wildcard_to_like, wildcard_to_regex
 from shelfmark.operators.fuzzy_join import close_pairs
 from shelfmark.operators.prefixes import beginnings, with_prefixes
 from shelfmark.operators.rank import by_score
@@ -54,7 +54,7 @@ SETTINGS = [
     "fuzzy_distance",
 ]
 GRAM = 3
-#: So many patterns without required text are conditions in a plan; more are matched as a table.
+#: So many patterns are conditions in a plan; more are matched as a table.
 LITERALS = 64
 #: Names and patterns of one block.
 NAMES_PER_BLOCK, PATTERNS_PER_BLOCK = 1_000, 1_000
@@ -243,19 +243,27 @@ def _match_keyed(
     return met.filter(F.when(matches, first).otherwise(F.lit(False)))
 
 
-def _match_unkeyed(named: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Patterns without required text: every name is compared with them."""
-    asked = ["qkey", "type", "pattern", "case_sensitive", "needle"]
-    rows = wanted.select(*asked).limit(LITERALS + 1).collect()
-    if len(rows) > LITERALS:
-        return _match_blocks(named, wanted)
+def _few(wanted: DataFrame) -> list | None:
+    """The searches, if they are few enough to be conditions in a plan."""
+    rows = wanted.select("qkey", "type", "pattern", "folds", "needle").limit(LITERALS + 1).collect()
+    return rows if len(rows) <= LITERALS else None
+
+
+def _match_literals(named: DataFrame, wanted: DataFrame, rows: list) -> DataFrame:
+    """Few searches as conditions of one scan; their patterns are compiled once."""
     hits = []
     for row in rows:
-        name = F.col("name") if row.case_sensitive else F.lower("name")
+        name = F.lower("name") if row.folds else F.col("name")
         if row.type == "regex":
-            hit = F.col("name").rlike(row.needle)
+            hit = name.rlike(row.needle)
+        elif row.type == "prefix":
+            hit = F.col("path").startswith(row.pattern)
+        elif row.type == "exact":
+            hit = name == row.needle
+        elif row.type == "substring":
+            hit = name.contains(row.needle)
         else:
-            hit = name.like(like_literal(row.pattern))
+            hit = name.like(row.needle)
         hits.append(F.when(hit, F.lit(row.qkey)))
     scan = named.withColumn("qkey", F.explode(F.array_compact(F.array(*hits))))
     return scan.join(F.broadcast(wanted), "qkey")
@@ -318,14 +326,21 @@ def match_patterns(
         .distinct()
         .collect()
     )
-    keyed_shapes = [s for s in shapes if s.keyed]
     found = None
-    if keyed_shapes:
-        met = _match_keyed(named, wanted.filter("keys IS NOT NULL"), keyed_shapes, not small)
-        found = met.select(*out)
-    if any(not s.keyed and s.type != "fuzzy" for s in shapes):
-        unkeyed = wanted.filter("keys IS NULL AND type <> 'fuzzy'")
-        found = _union(found, _match_unkeyed(named, unkeyed).select(*out))
+    others = wanted.filter("type <> 'fuzzy'")
+    few = _few(others) if small and any(s.type != "fuzzy" for s in shapes) else None
+    keyed_shapes = [s for s in shapes if s.keyed]
+    if few is not None:
+        found = _match_literals(named, others, few).select(*out)
+    else:
+        if keyed_shapes:
+            met = _match_keyed(named, wanted.filter("keys IS NOT NULL"), keyed_shapes, not small)
+            found = met.select(*out)
+        if any(not s.keyed and s.type != "fuzzy" for s in shapes):
+            unkeyed = others.filter("keys IS NULL")
+            rows = _few(unkeyed)
+            met = _match_blocks(named, unkeyed) if rows is None else _match_literals(named, unkeyed, rows)
+            found = _union(found, met.select(*out))
     for folds in sorted({s.folds for s in shapes if s.type == "fuzzy"}):
         fuzzy = wanted.filter((F.col("type") == "fuzzy") & (F.col("folds") == folds))
         pairs = close_pairs(

@@ -339,8 +339,11 @@ def single_results(many_files):
     return found
 
 
-@pytest.mark.parametrize("broadcast_bytes, k", [(32 << 20, 10), (1, 10), (32 << 20, 2000), (1, 2000)])
-def test_search_many_equals_single_searches(spark, many_files, single_results, broadcast_bytes, k):
+@pytest.mark.parametrize(
+    "broadcast_bytes, k, literals", [(32 << 20, 10, 64), (32 << 20, 10, 6), (1, 10, 64), (32 << 20, 2000, 6), (1, 2000, 6)]
+)
+def test_search_many_equals_single_searches(spark, many_files, single_results, monkeypatch, broadcast_bytes, k, literals):
+    monkeypatch.setattr(batch_search, "LITERALS", literals)
     by_query = {}
     for row in search_many(many_files, parsed(spark, MANY_TEXTS), k, broadcast_bytes).collect():
         by_query.setdefault(row.query_id, []).append((row["rank"], row.path, row.score))
@@ -400,7 +403,8 @@ def test_patterns_without_text_meet_names_in_blocks(spark, many_files, monkeypat
 @pytest.mark.parametrize("broadcast_bytes", [32 << 20, 1])
 def test_alternatives_are_keyed(spark, many_files, monkeypatch, broadcast_bytes):
     """Regexes with groups and alternatives meet names by pieces, and each match once."""
-    monkeypatch.setattr(batch_search, "_match_unkeyed", None)
+    monkeypatch.setattr(batch_search, "LITERALS", 0)
+    monkeypatch.setattr(batch_search, "_match_blocks", None)
     texts = [r"regex:(config|readme)[.](go|md)", "regex:(a|ab|main)$", "regex:(?i)(CONFIG|konf)ig?", "regex:co(nf)?", "*fig*.g?", "*a*n*"]
     by_query = {}
     for row in search_many(many_files, parsed(spark, texts), 500, broadcast_bytes).collect():
