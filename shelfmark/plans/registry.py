@@ -139,43 +139,6 @@ def _(files):
     return files.select("path", naming.normalize_extension(bare).alias("ext"))
 
 
-@query(
-    "prj5_edit_distance",
-    """
-SELECT page_id, CAST(levenshtein(split_part(html, '<', 2), split_part(url, '/', 4)) AS INT) AS a,
-  CAST(levenshtein(coalesce(text, ''), split_part(url, '/', 5)) AS INT) AS b
-FROM (SELECT page_id, url, html, regexp_extract(html, '<title>([^<% ]*)', 1) AS text FROM pages)
-""",
-)
-def _(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    part = lambda column, mark, n: F.split_part(column, F.lit(mark), F.lit(n))
-    title = F.regexp_extract("html", "<title>([^<% ]*)", 1)
-    return pages.select(
-        "page_id",
-        text.edit_distance(part("html", "<", 2), part("url", "/", 4)).alias("a"),
-        text.edit_distance(title, part("url", "/", 5)).alias("b"),
-    )
-
-
-@query(
-    "prj5_edit_distance_whole",
-    """
-SELECT page_id, CAST(levenshtein(title, url) AS INT) AS a, CAST(levenshtein(title, left(html, 99)) AS INT) AS b
-FROM (SELECT page_id, url, html, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages)
-""",
-)
-def _(spark, sf_dir):
-    """Whole titles, whatever their letters, against whole addresses."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    title = F.regexp_extract("html", "<title>([^<]*)", 1)
-    return pages.select(
-        "page_id",
-        text.edit_distance(title, F.col("url")).alias("a"),
-        text.edit_distance(title, F.left("html", F.lit(99))).alias("b"),
-    )
-
-
 @query(
     "prj5_edit_distance_html",
     """
