@@ -260,7 +260,61 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op12_merkle")
+# CRC-32 bit by bit, as DuckDB has no function for it; a value is its length in bytes, a colon and itself.
+_CRC32 = """xor(list_reduce(flatten(list_transform(string_split({v}, ''), lambda x: [ascii(x), 0, 0, 0, 0, 0, 0, 0])),
+    lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+_COUNTED = "coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')"
+_HEAD = " || ".join(_COUNTED.format(v=c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+# Nodes level by level, their families, and the siblings on every document's way to the root.
+MERKLE_SQL = f"""
+    WITH RECURSIVE tampered AS (
+      SELECT *, CASE WHEN {_CRC32.format(v="CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '')
+                     ELSE text END AS changed FROM documents),
+    leaves AS (
+      SELECT doc_id, coalesce('1' || source, '0') AS key, sha256({_HEAD} || {_COUNTED.format(v="text")}) AS leaf,
+             sha256({_HEAD} || {_COUNTED.format(v="changed")}) AS changed FROM tampered),
+    numbered AS (
+      SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY key) AS n
+      FROM leaves),
+    node(key, level, i, n, d) AS (
+      SELECT key, 0, i, n, leaf FROM numbered
+      UNION ALL
+      SELECT key, level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY i))
+      FROM node WHERE n > 1 GROUP BY key, level, i // 3),
+    subroots AS (
+      SELECT key, level AS height, d AS subroot, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n
+      FROM node WHERE n = 1),
+    upper_node(level, i, n, d) AS (
+      SELECT 0, i, n, subroot FROM subroots
+      UNION ALL
+      SELECT level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY i))
+      FROM upper_node WHERE n > 1 GROUP BY level, i // 3),
+    family AS (
+      SELECT key, level, i // 3 AS p, list(d ORDER BY i) AS ds FROM node WHERE n > 1 GROUP BY ALL),
+    upper_family AS (
+      SELECT level, i // 3 AS p, list(d ORDER BY i) AS ds FROM upper_node WHERE n > 1 GROUP BY ALL),
+    way AS (
+      SELECT doc_id, level AS step, ds, i // CAST(pow(3, level) AS BIGINT) % 3 AS slot
+      FROM numbered JOIN family f USING (key) WHERE p = i // CAST(pow(3, level + 1) AS BIGINT)
+      UNION ALL
+      SELECT doc_id, height + level, ds, s.i // CAST(pow(3, level) AS BIGINT) % 3
+      FROM numbered JOIN subroots s USING (key) JOIN upper_family ON p = s.i // CAST(pow(3, level + 1) AS BIGINT)),
+    beside AS (
+      SELECT doc_id, step, array_to_string(ds[:slot], '') AS l, array_to_string(ds[slot + 2:], '') AS r FROM way),
+    folded(doc_id, step, d) AS (
+      SELECT doc_id, 0, changed FROM leaves
+      UNION ALL
+      SELECT f.doc_id, f.step + 1, sha256(l || d || r) FROM folded f JOIN beside b ON b.doc_id = f.doc_id AND b.step = f.step),
+    proofs AS (SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY step)) AS proof FROM beside GROUP BY doc_id),
+    ends AS (SELECT doc_id, arg_max(d, step) AS folded_root FROM folded GROUP BY doc_id)
+    SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM numbered JOIN subroots USING (key) JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id),
+         (SELECT d AS root FROM upper_node WHERE n = 1)
+    """
+
+
+@query("op12_merkle", MERKLE_SQL)
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = F.when(
