@@ -21,8 +21,10 @@ from shelfmark.llm.common import doc_key, step
 from shelfmark.llm.tokens import encoder
 from shelfmark.plans.sizing import broadcast_if_small
 
-#: Tokens of a block; a longer document is a block of its own.
+#: Tokens of a block, which ends with the document that reaches them.
 BLOCK = 1 << 18
+#: Words that a process keeps here, where most of its time goes into new ones.
+REMEMBERED = 400_000
 
 
 def _kind(tokenizer: str, end_id: int) -> type:
@@ -32,56 +34,42 @@ def _kind(tokenizer: str, end_id: int) -> type:
 
 def tokenised(
     docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str
-) -> DataFrame:
-    """``(part, place, id, ids)`` with ranges of ids as parts, in order. Written once.
+) -> tuple[DataFrame, DataFrame]:
+    """``(id, doc, ids)`` of every row, and ``(symbol, count)`` over all ids.
 
-    Only here texts are shuffled.
+    Texts are read once and never shuffled. The last row of every task adds up its symbols. Written once.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.select("id", doc_key().alias("doc"), "text")
-    ordered = rows.repartitionByRange("id", "doc").sortWithinPartitions("id", "doc")
-    id_type = rows.schema["id"].dataType.simpleString()
-    kind = _kind(tokenizer, end_id)
+    id_type, kind = rows.schema["id"].dataType.simpleString(), _kind(tokenizer, end_id)
+    numbers = pa.list_(pa.int64())
 
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, place = encoder(tokenizer), TaskContext.get().partitionId(), 0
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, total = encoder(tokenizer, REMEMBERED), np.zeros(0, np.int64)
         end = np.array([end_id], "<u4").tobytes()
+        names, key_type = ["id", "doc", "ids", "symbols", "counts"], None
         for batch in batches:
-            ids = [
-                np.frombuffer(encode(text.as_py()) + end, "<u4").astype(kind).tobytes()
-                for text in batch["text"]
-            ]
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)),
-                    batch["id"], pa.array(ids, pa.binary()),
-                ],
-                ["part", "place", "id", "ids"],
-            )
-            place += n
-
-    schema = f"part int, place long, id {id_type}, ids binary"
-    return step(ordered.mapInArrow(per_batch, schema), compression="zstd")
-
-
-def frequencies(tokens: DataFrame, kind: type) -> DataFrame:
-    """``(symbol, count)`` over all ids, added up per task first."""
-
-    def per_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            ids = np.frombuffer(b"".join(batch["ids"].to_pylist()), kind)
-            seen = np.bincount(ids, minlength=len(total))
+            key_type, ids = batch["id"].type, []
+            for text in batch["text"]:
+                found = np.frombuffer(encode(text.as_py()) + end, "<u4").astype(kind)
+                ids.append(found.tobytes())
+            seen = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
             seen[: len(total)] += total
             total = seen
-        symbols = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(symbols), pa.array(total[symbols])], ["symbol", "count"]
-        )
-
-    counted = tokens.select("ids").mapInArrow(per_part, "symbol long, count long")
-    return counted.groupBy("symbol").agg(F.sum("count").alias("count"))
+            none = pa.nulls(len(ids), numbers)
+            own = [batch["id"], batch["doc"], pa.array(ids, pa.binary()), none, none]
+            yield pa.RecordBatch.from_arrays(own, names)
+        if key_type is not None:
+            symbols = np.flatnonzero(total)
+            sums = [pa.array([x.tolist()], numbers) for x in (symbols, total[symbols])]
+            empty = [pa.nulls(1, key_type), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*empty, *sums], names)
+
+    schema = f"id {id_type}, doc string, ids binary, symbols array<long>, counts array<long>"
+    made = step(rows.mapInArrow(per_task, schema), compression="zstd")
+    counted = made.filter("symbols IS NOT NULL").selectExpr("inline(arrays_zip(symbols, counts))")
+    counted = counted.groupBy(F.col("symbols").alias("symbol")).agg(F.sum("counts").alias("count"))
+    return made.filter("ids IS NOT NULL").select("id", "doc", "ids"), counted
 
 
 def _table(found: DataFrame) -> rans.Table | None:
@@ -111,41 +99,44 @@ def write_token_files(
     other. An empty table makes files without rows.
     """
     spark, kind = docs.sparkSession, _kind(tokenizer, end_id)
-    tokens = tokenised(docs, tokenizer, end_id, id_col, text_col)
-    _write(frequencies(tokens, kind).coalesce(1), f"{folder}/frequencies")
+    tokens, counted = tokenised(docs, tokenizer, end_id, id_col, text_col)
+    _write(counted.coalesce(1), f"{folder}/frequencies")
     table = _table(spark.read.parquet(f"{folder}/frequencies"))
     id_type = tokens.schema["id"].dataType.simpleString()
 
-    def made(part: int, first: int, ids: pa.Array, texts: list[np.ndarray]) -> pa.RecordBatch:
+    def made(part: int, first: int, ids: list[pa.Array], texts: list[np.ndarray]) -> pa.RecordBatch:
+        own = pa.concat_arrays(ids)
         lengths = pa.array([len(t) for t in texts], pa.int64())
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([part], pa.int32()), pa.array([first], pa.int64()),
-                pa.ListArray.from_arrays([0, len(ids)], ids),
-                pa.ListArray.from_arrays([0, len(ids)], lengths),
+                pa.ListArray.from_arrays([0, len(own)], own),
+                pa.ListArray.from_arrays([0, len(own)], lengths),
                 pa.array([rans.encode(np.concatenate(texts), table)], pa.binary()),
             ],
             ["part", "first", "ids", "lengths", "payload"],
         )
 
     def per_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A block is a run of one part; the places say where a reader's split has broken it off.
+        # A part is a range of ids, in order; its blocks are runs of documents.
+        part, first, held, ids, texts = TaskContext.get().partitionId(), 0, 0, [], []
         for batch in batches:
-            texts = [np.frombuffer(t, kind) for t in batch["ids"].to_pylist()]
-            parts, places = batch["part"].to_numpy(), batch["place"].to_numpy()
-            start, held = 0, 0
-            for i, text in enumerate(texts):
-                breaks = i > start and (parts[i] != parts[i - 1] or places[i] != places[i - 1] + 1)
-                if breaks or held >= block:
-                    own = batch["id"].slice(start, i - start)
-                    yield made(int(parts[start]), int(places[start]), own, texts[start:i])
-                    start, held = i, 0
-                held += len(text)
-            if texts:
-                yield made(int(parts[start]), int(places[start]), batch["id"].slice(start), texts[start:])
-
+            start = 0
+            for i, found in enumerate(batch["ids"]):
+                texts.append(np.frombuffer(found.as_py(), kind))
+                held += len(texts[-1])
+                if held >= block:
+                    ids.append(batch["id"].slice(start, i + 1 - start))
+                    yield made(part, first, ids, texts)
+                    first, held, ids, texts, start = first + len(texts), 0, [], [], i + 1
+            if start < batch.num_rows:
+                ids.append(batch["id"].slice(start))
+        if texts:
+            yield made(part, first, ids, texts)
+
+    ordered = tokens.repartitionByRange("id", "doc").sortWithinPartitions("id", "doc").select("id", "ids")
     schema = f"part int, first long, ids array<{id_type}>, lengths array<bigint>, payload binary"
-    _write(tokens.mapInArrow(per_part, schema), f"{folder}/blocks")
+    _write(ordered.mapInArrow(per_part, schema), f"{folder}/blocks")
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:

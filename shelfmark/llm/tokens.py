@@ -17,8 +17,8 @@ import unicodedata
 
 import numpy as np
 
-#: A process remembers so many words, and once more as many that it used before those. Longer words
-#: are not remembered.
+#: A process remembers so many words, unless told otherwise, and once more as many that it used before
+#: those. Longer words are not remembered.
 REMEMBERED, LONGEST = 200_000, 64
 
 # Basic Latin, Latin-1 and Latin Extended-A, without those whose lower case has two characters and
@@ -30,10 +30,11 @@ _ALL_COMMON = re.compile(f"[\t\n\r{re.escape(''.join(_COMMON))}]*")
 
 # The splitting patterns of the two public tokenizers, over the characters above.
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+# Words of letters are tried first: no ending begins like one.
 _BYTE_WORDS = re.compile(
-    rf"{_ENDINGS}| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
+    rf" ?[{_LETTERS}]+| ?[{_NUMBERS}]+|{_ENDINGS}| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
 )
-_LOWER_WORDS = re.compile(rf"{_ENDINGS}|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+_LOWER_WORDS = re.compile(rf"[{_LETTERS}]+|[{_NUMBERS}]|{_ENDINGS}|[^\s{_LETTERS}{_NUMBERS}]+")
 
 
 def _byte_signs() -> dict[int, int]:
@@ -44,25 +45,29 @@ def _byte_signs() -> dict[int, int]:
 
 
 _BYTE_SIGNS = _byte_signs()
+_SPACE = chr(_BYTE_SIGNS[ord(" ")])
 
 
 class _Words(dict):
     """Word to its ids, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, remembered: int):
         super().__init__()
-        self.model = tokenizer.model
+        self.model, self.remembered = tokenizer.model, remembered
         self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.before.get(word)
         if ids is None:
             # The words are split already, so the model alone is asked, about their bytes as signs.
-            signs = word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            if word.isascii() and word.lstrip(" ").isprintable():
+                signs = word.replace(" ", _SPACE)
+            else:
+                signs = word.encode().decode("latin-1").translate(_BYTE_SIGNS)
             found = [token.id for token in self.model.tokenize(signs)]
             ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.before = dict(self)
                 self.clear()
             self[word] = ids
@@ -72,13 +77,13 @@ class _Words(dict):
 class Encoder:
     """Ids of whole texts, equal to the library's ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.words = _Words(self.tokenizer)
+        self.words = _Words(self.tokenizer, remembered)
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
         self.special = [t["content"] for t in described["added_tokens"]]
@@ -104,15 +109,15 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, words))
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One per Python process, for all its tasks.
 
     A task may bring its own copy of this module, so the process keeps the encoders.
     """
     kept = vars(sys).setdefault("_token_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if (path, remembered) not in kept:
+        kept[path, remembered] = Encoder(path, remembered)
+    return kept[path, remembered]
 
 
 def public_path(name: str) -> str:
