@@ -48,3 +48,10 @@ def runs(hashes: np.ndarray, grams: int) -> Iterator[tuple[np.ndarray, np.ndarra
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         chosen = part[(last - (least[first] & last)).astype(np.int64)]
         yield chosen.astype(np.int64), first + at, np.diff(np.append(first, len(least)))
+
+
+def anchor_places(hashes: np.ndarray) -> np.ndarray:
+    """Place of the anchor among the grams of each window; a row of ``hashes`` is one window's."""
+    last = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
+    place = np.arange(hashes.shape[-1], dtype=np.uint64)
+    return np.argmin(hashes & ~last | last - place, axis=-1)

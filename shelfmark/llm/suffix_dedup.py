@@ -2,24 +2,28 @@
 
 The starts of a text are dealt out by content: the window that begins at a start has an anchor
 (``anchors``), and neighbouring starts with the same one make a segment of bytes. Only segments whose
-anchor occurs more than once go on. Equal segments become one with a count, which answers copies;
-segments that differ meet in blocks of about ``BLOCK_BYTES``, all with one anchor in one block, where
+anchor occurs more than once go on. Equal segments become one with a count, which answers copies.
+
+Segments that differ are halved by how far their windows begin before the anchor. All windows of a half
+contain the same stretch around the anchor, and the half's key is a hash of it: equal windows meet under
+one key, and keys that occur once drop out. Where a key still has more than ``CROWD`` different pieces
+its pieces are halved again, around a longer stretch, down to single windows. A passage in many documents
+splits only at its two ends, so a segment makes at most a few pieces a round, and there are as many rounds
+as a window's starts can be halved. The pieces of a key meet in blocks of about ``BLOCK_BYTES``, where
 ``bwt.repeated_starts`` compares them.
-
-An anchor with more than ``CROWD`` different segments (a passage in many documents, each with its own
-surroundings) would not fit a block. Its windows are counted one by one, by hash, with partial sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.llm.anchors import mixed, runs
+from shelfmark.llm.anchors import anchor_places, mixed, runs
 from shelfmark.llm.bwt import repeated_starts
 from shelfmark.llm.common import only_with, step, text_or_empty
 
@@ -27,7 +31,7 @@ from shelfmark.llm.common import only_with, step, text_or_empty
 LENGTH = 400
 #: Fewest bytes of the grams among which anchors are chosen.
 GRAM = 16
-#: Bytes of a block, on average, and different segments of one anchor that a block may hold.
+#: Bytes of a block, on average, and different pieces of one key that a block may hold.
 BLOCK_BYTES, CROWD = 1 << 20, 512
 
 
@@ -40,17 +44,30 @@ def _gram_bytes(length: int) -> int:
 
 
 def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the ``size`` bytes from each position on; ``size`` is 16 times a power of two."""
+    """A hash of the ``size`` bytes from each position on; ``size`` is 16 times a power of two.
+
+    Rows of a table of bytes are hashed each on its own.
+    """
     wide = data.astype(np.uint64)
     for width in (1, 2, 4):
-        wide = wide[:-width] | wide[width:] << np.uint64(8 * width)
+        wide = wide[..., :-width] | wide[..., width:] << np.uint64(8 * width)
     done = 8
     while done < size:
-        wide = mixed(wide[:-done] * np.uint64(0x9E3779B97F4A7C15) + mixed(wide[done:]))
+        wide = mixed(wide[..., :-done] * np.uint64(0x9E3779B97F4A7C15) + mixed(wide[..., done:]))
         done *= 2
     return wide
 
 
+def _anchors_of(segments: list[bytes], length: int) -> np.ndarray:
+    """Where in each segment its anchor begins."""
+    size, places = _gram_bytes(length), [np.zeros(0, np.int64)]
+    for at in range(0, len(segments), 1000):
+        part = segments[at : at + 1000]
+        windows = np.frombuffer(b"".join(s[:length] for s in part), np.uint8).reshape(len(part), length)
+        places.append(anchor_places(_gram_hashes(windows, size)))
+    return np.concatenate(places)
+
+
 def segments_of(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
     """``(hash, first start, starts)`` of the text's segments, in order; every start is in one."""
     if len(text) < length:
@@ -105,10 +122,11 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``(hash, seg, m, crowd, bytes)``: the bytes of the wanted segments. Written once."""
-    per_text = wanted.groupBy("t").agg(
-        F.collect_list(F.struct("lo", "n", "hash", "seg", "m", "crowd")).alias("cuts")
-    )
+    """``(hash, seg, m, p, bytes)``: the bytes of the wanted segments, ``p`` where the anchor begins.
+
+    Written once.
+    """
+    per_text = wanted.groupBy("t").agg(F.collect_list(F.struct("lo", "n", "hash", "seg", "m")).alias("cuts"))
     few = only_with(texts, wanted.select("t").distinct(), "t")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,65 +136,117 @@ def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 text = _encoded(value.as_py())
                 for c in cuts.as_py():
                     body = text[c["lo"] : c["lo"] + c["n"] + length - 1]
-                    rows.append((c["hash"], c["seg"], c["m"], c["crowd"], body))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            columns = zip(*rows) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(columns, kinds)],
-                ["hash", "seg", "m", "crowd", "bytes"],
-            )
+                    rows.append((c["hash"], c["seg"], c["m"], body))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            columns = [list(c) for c in zip(*rows)] if rows else [[]] * 4
+            *known, bodies = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            places = pa.array(_anchors_of(columns[3], length), pa.int32())
+            yield pa.RecordBatch.from_arrays([*known, places, bodies], ["hash", "seg", "m", "p", "bytes"])
 
     met = few.join(per_text, "t").select("text", "cuts")
-    schema = "hash long, seg long, m long, crowd boolean, bytes binary"
+    schema = "hash long, seg long, m long, p int, bytes binary"
     return step(met.mapInArrow(per_batch, schema), compression="zstd")
 
 
-def _by_transform(cut: DataFrame, blocks: int, length: int) -> DataFrame:
-    """``(hash, seg, a, b)``: runs of repeated starts in segments that occur once."""
-
-    def per_block(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["hash", "seg"])
-        found = repeated_starts(frame["bytes"].tolist(), length)
-        rows = []
-        for row_hash, seg, m, again in zip(frame["hash"], frame["seg"], frame["m"], found):
-            if m == 1:
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]])))
-                rows += [(row_hash, seg, a, b) for a, b in edges.reshape(-1, 2)]
-        return pd.DataFrame(rows, columns=["hash", "seg", "a", "b"])
+def _halves(pieces: DataFrame, length: int, width: int) -> DataFrame:
+    """``(hash, seg, m, p, a, n, c, key, piece)``: every piece cut into cells of ``width`` starts.
 
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(per_block, "hash long, seg long, a int, b int")
-
-
-def _by_window(cut: DataFrame, length: int) -> DataFrame:
-    """The same for the segments of crowded anchors, window by window."""
+    ``a`` is the first of ``n`` starts and ``p`` the anchor, in the segment; the cell's starts are ``c`` and
+    more bytes before the anchor. ``key`` is a hash of what all windows of the cell contain, ``piece``
+    one of the piece's bytes. Written once.
+    """
+    farthest = length - _gram_bytes(length)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            place, starts, digests = [], [], []
-            for i, value in enumerate(batch["bytes"]):
+            place, columns = [], [[] for _ in range(5)]
+            numbers = (batch[c].to_numpy().tolist() for c in ("p", "a", "n", "c"))
+            for i, (p, a, n, c, value) in enumerate(zip(*numbers, batch["bytes"])):
                 body = value.as_py()
-                for a in range(len(body) - length + 1):
+                least, most = p - a - n + 1, p - a
+                for cell in range(c + (least - c) // width * width, most + 1, width):
+                    last = min(cell + width - 1, farthest)
+                    low, high = max(least, cell), min(most, last)
+                    start, size = most - high, high - low + 1
+                    shared = body[most - cell : most - last + length]
+                    piece = body[start : start + size + length - 1]
                     place.append(i)
-                    starts.append(a)
-                    digests.append(xxh3_64_intdigest(body[a : a + length]))
+                    row = a + start, size, cell, xxh3_64_intdigest(shared, cell << 32 | width), xxh3_64_intdigest(piece)
+                    for column, found in zip(columns, row):
+                        column.append(found)
             own = pa.array(place, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch[c].take(own) for c in ("hash", "seg", "m")), pa.array(starts, pa.int32()),
-                    pa.array(np.array(digests, np.uint64).astype(np.int64)),
+                    *(batch[c].take(own) for c in ("hash", "seg", "m", "p")),
+                    *(pa.array(c, pa.int32()) for c in columns[:3]),
+                    *(pa.array(np.array(c, np.uint64).astype(np.int64)) for c in columns[3:]),
                 ],
-                ["hash", "seg", "m", "a", "window"],
+                ["hash", "seg", "m", "p", "a", "n", "c", "key", "piece"],
             )
 
-    rows = cut.select("hash", "seg", "m", "bytes").dropDuplicates(["hash", "seg"])
-    schema = "hash long, seg long, m long, a int, window long"
-    windows = step(rows.mapInArrow(per_batch, schema))
-    often = windows.groupBy("hash", "window").agg(F.sum("m").alias("times")).filter("times > 1")
-    met = windows.filter("m = 1").join(often.select("hash", "window"), ["hash", "window"], "left_semi")
-    return met.select("hash", "seg", "a", (F.col("a") + 1).alias("b"))
+    schema = "hash long, seg long, m long, p int, a int, n int, c int, key long, piece long"
+    return step(pieces.mapInArrow(per_batch, schema))
+
+
+def _by_transform(pieces: DataFrame, blocks: int, length: int) -> DataFrame:
+    """``(hash, seg, a, b)``: runs of repeated starts in pieces that occur once."""
+
+    def per_block(frame: pd.DataFrame) -> pd.DataFrame:
+        found = repeated_starts(frame["bytes"].tolist(), length)
+        rows = []
+        for row_hash, seg, m, at, again in zip(frame["hash"], frame["seg"], frame["m"], frame["a"], found):
+            if m == 1:
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]])))
+                rows += [(row_hash, seg, at + a, at + b) for a, b in edges.reshape(-1, 2)]
+        return pd.DataFrame(rows, columns=["hash", "seg", "a", "b"])
+
+    dealt = pieces.select("hash", "seg", "m", "a", "bytes", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"))
+    return dealt.groupBy("block").applyInPandas(per_block, "hash long, seg long, a int, b int")
+
+
+def _repeated_runs(cut: DataFrame, length: int, crowd: int) -> DataFrame:
+    """``(hash, seg, a, b)``: runs of repeated starts in the segments that occur once."""
+    settled, dealt = [], []
+    pieces = cut.withColumns({
+        "a": F.lit(0), "n": (F.octet_length("bytes") - (length - 1)).cast("int"), "c": F.lit(0)
+    })
+    width = length - _gram_bytes(length) + 1
+    while True:
+        width = (width + 1) // 2
+        halves = _halves(pieces, length, width)
+        kinds = step(
+            halves.groupBy("key", "piece").agg(
+                F.sum("m").alias("times"), F.min(F.struct("hash", "seg", "p", "a", "n", "c")).alias("first")
+            )
+        )
+        # Equal pieces answer each other.
+        equal = kinds.filter("times > 1").select("key", "piece")
+        settled.append(
+            halves.filter("m = 1").join(equal, ["key", "piece"], "left_semi").select(
+                "hash", "seg", "a", (F.col("a") + F.col("n")).alias("b")
+            )
+        )
+        # Written, so that the join stands right on its shuffles and a hot key can be split.
+        several = step(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+        differing = step(
+            kinds.join(several, "key").select("key", "kinds", F.col("times").alias("m"), "first.*")
+        )
+        body = F.expr(f"substring(bytes, a + 1, n + {length - 1})").alias("bytes")
+        bodies = cut.select("hash", "seg", "bytes")
+        met = differing.join(bodies, ["hash", "seg"]).select(*differing.columns, body)
+        # A single window cannot be halved; those under one key are equal but for collisions.
+        limit = crowd if width > 1 else 1 << 62
+        dealt.append(met.filter(F.col("kinds") <= limit))
+        crowded = differing.filter(F.col("kinds") > limit)
+        if crowded.isEmpty():
+            break
+        pieces = met.filter(F.col("kinds") > limit)
+    pieces = step(reduce(DataFrame.unionByName, dealt), compression="zstd")
+    total = pieces.agg(F.sum(F.col("n") + length - 1)).first()[0] or 0
+    compared = _by_transform(pieces, max(1, round(total / BLOCK_BYTES)), length)
+    return reduce(DataFrame.unionByName, settled, compared)
 
 
 def repeated_spans(
@@ -210,18 +280,10 @@ def repeated_spans(
         )
     )
     sizes = step(
-        kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    )
-    mixed = step(
-        kinds.join(sizes.withColumn("crowd", F.col("kinds") > crowd), "hash").select(
-            "hash", "seg", "m", "first.*", "crowd"
-        )
-    )
-    total = mixed.filter("NOT crowd").agg(F.sum(F.col("n") + length - 1)).first()[0] or 0
-    cut = _cut(texts, mixed, length)
-    single = _by_transform(cut.filter("NOT crowd"), max(1, round(total / BLOCK_BYTES)), length).unionByName(
-        _by_window(cut.filter("crowd"), length)
+        kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("hash")
     )
+    mixed = step(kinds.join(sizes, "hash").select("hash", "seg", "m", "first.*"))
+    single = _repeated_runs(_cut(texts, mixed, length), length, crowd)
     # A segment that occurs once lies where its kind was first seen.
     single = single.join(mixed.filter("m = 1").select("hash", "seg", "t", "lo"), ["hash", "seg"]).select(
         "t", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") + length - 1).alias("end")

@@ -59,10 +59,52 @@ def test_shared_passages_in_every_way(docs):
         texts.append("".join(copy))
     frame = docs(*texts)
     wanted = sorted(brute(texts, 30))
-    for crowd in (512, 2):  # in blocks, and window by window
+    for crowd in (512, 2):  # halved once, and down to single windows
         assert rows_of(frame, length=30, crowd=crowd) == wanted
 
 
+def test_one_passage_in_very_many_documents(docs, monkeypatch):
+    rng = random.Random(8)
+
+    def prose(n):
+        return "".join(rng.choice("abcdeé ") for _ in range(n))
+
+    made = []
+    halves = suffix_dedup._halves
+
+    def counted(*args):
+        made.append(halves(*args))
+        return made[-1]
+
+    monkeypatch.setattr(suffix_dedup, "_halves", counted)
+    below, above = prose(29)[:29], prose(45)
+    texts = [prose(20) + below + prose(20) for _ in range(300)] + [prose(20) + above + prose(20) for _ in range(300)]
+    assert rows_of(docs(*texts), length=30, crowd=8) == sorted(brute(texts, 30))
+    assert len(made) > 2
+    assert all(m.count() <= 5 * len(texts) for m in made)
+
+
+def test_planted_passages_of_400_bytes_and_more(spark):
+    """Every planted passage of 400 bytes goes, from 399 bytes down none does, other documents stay."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    plain = {i: n[1] for (i, _), n in zip(rows, brute([t for _, t in rows]))}
+    rng = random.Random(5)
+    texts = {i: t or "" for i, t in rows}
+    clean = [i for i, gone in plain.items() if not gone]
+    long, short = set(), set()
+    for size, into in ((400, long), (450, long), (900, long), (399, short), (345, short)):
+        passage = "".join(rng.choice("abcdefgh ") for _ in range(size))
+        for i in rng.sample([i for i in clean if i not in long | short], 25):
+            at = rng.randrange(len(texts[i]) + 1)
+            # A sign of its own at each end, so that the passage is not longer by chance.
+            texts[i] = texts[i][:at] + f"<{i}" + passage + f"{i}>" + texts[i][at:]
+            into.add(i)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.id: r.n_bytes - len(r.kept) for r in suffix_dedup.remove_repeats(frame, crowd=8).collect()}
+    assert {i for i in clean if found[i]} == long
+    assert all(found[i] == plain[i] for i in plain if i not in clean)
+
+
 def test_edge_cases(docs, monkeypatch):
     long = "".join(random.Random(1).choice("abcdef") for _ in range(30_000))
     monkeypatch.setattr(anchors, "SLICE", 7000)
