@@ -1,5 +1,6 @@
 import hashlib
 import random
+import string
 from collections import Counter
 
 from shelfmark.llm import anchors, bwt, suffix_dedup
@@ -94,10 +95,10 @@ def test_planted_passages_of_400_bytes_and_more(spark):
     long, short = set(), set()
     for size, into in ((400, long), (450, long), (900, long), (399, short), (345, short)):
         passage = "".join(rng.choice("abcdefgh ") for _ in range(size))
-        for i in rng.sample([i for i in clean if i not in long | short], 25):
+        for i, own in zip(rng.sample([i for i in clean if i not in long | short], 25), string.ascii_uppercase):
             at = rng.randrange(len(texts[i]) + 1)
             # A sign of its own at each end, so that the passage is not longer by chance.
-            texts[i] = texts[i][:at] + f"<{i}" + passage + f"{i}>" + texts[i][at:]
+            texts[i] = texts[i][:at] + own + passage + own + texts[i][at:]
             into.add(i)
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = {r.id: r.n_bytes - len(r.kept) for r in suffix_dedup.remove_repeats(frame, crowd=8).collect()}
