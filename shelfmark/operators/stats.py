@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfmark.operators.prefixes import with_prefixes
 from shelfmark.operators.search import search_prefix
-from shelfmark.plans.sizing import broadcast_if_small
+from shelfmark.plans.sizing import BROADCAST_BYTES, broadcast_if_small
+from shelfmark.plans.storage import reliable
 
 
 def _total(size) -> Column:
@@ -58,30 +63,91 @@ def has_prefix(df: DataFrame, prefix: str) -> DataFrame:
     return found.agg((F.count(F.lit(1)) > 0).alias("found"))
 
 
-def prefix_counts(df: DataFrame, prefixes: DataFrame) -> DataFrame:
+def prefix_counts(
+    df: DataFrame, prefixes: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """``prefix_count`` for every row of a table of prefixes, zero counts included.
 
-    Paths meet prefixes by equality of their first n characters, n running over the lengths that
-    occur. A small prefix table filters the scan by broadcast; otherwise paths are counted per
-    beginning first, so a prefix that covers much of the catalog is a few partial counts by the
-    time it is shuffled.
+    A small prefix table is broadcast and meets the paths' beginnings of the lengths that occur. A larger
+    one is answered by ranks (``_ranks``). A NULL prefix counts nothing.
     """
     wanted = prefixes.select("prefix").distinct()
-    beginnings = _asked_beginnings(df, wanted)
-    counts = beginnings.groupBy("prefix").agg(F.count(F.lit(1)).alias("count"))
+    counts = _counts(df, wanted, broadcast_bytes)
     return wanted.join(counts, "prefix", "left").select(
         "prefix", F.coalesce("count", F.lit(0)).alias("count")
     )
 
 
-def has_prefixes(df: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The rows of ``prefixes`` that some path starts with."""
-    there = _asked_beginnings(df, prefixes.select("prefix").distinct()).select("prefix").distinct()
-    return prefixes.join(there, "prefix", "left_semi")
-
-
-def _asked_beginnings(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Beginnings of paths as ``prefix``, without those that nobody asks for where the list is short."""
-    beginnings = with_prefixes(df.select("path"), wanted)
-    small = broadcast_if_small(wanted)
-    return beginnings if small is None else beginnings.join(small, "prefix", "left_semi")
+def has_prefixes(
+    df: DataFrame, prefixes: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """The rows of ``prefixes`` that some path starts with, answered like ``prefix_counts``."""
+    there = _counts(df, prefixes.select("prefix").distinct(), broadcast_bytes).filter(F.col("count") > 0)
+    return prefixes.join(there.select("prefix"), "prefix", "left_semi")
+
+
+def _counts(df: DataFrame, wanted: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """``(prefix, count)`` of distinct prefixes; those without a path may be missing."""
+    wanted = wanted.filter(F.col("prefix").isNotNull())
+    small = broadcast_if_small(wanted, broadcast_bytes)
+    if small is not None:
+        asked = with_prefixes(df.select("path"), wanted).join(small, "prefix", "left_semi")
+        return asked.groupBy("prefix").agg(F.count(F.lit(1)).alias("count"))
+    ranks = reliable(_ranks(df, wanted))
+    totals = ranks.filter(F.col("prefix").isNull())
+    before = F.sum("rank").over(W.orderBy("part")) - F.col("rank")
+    # One row per shuffle partition.
+    offsets = F.broadcast(totals.select("part", before.alias("offset")))
+    ends = ranks.filter(F.col("prefix").isNotNull()).join(offsets, "part")
+    count = F.sum(F.col("sign") * (F.col("rank") + F.col("offset")))
+    return ends.groupBy("prefix").agg(count.alias("count"))
+
+
+def _ranks(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """How many paths lie before each end of each prefix's range, per partition.
+
+    In the order of their bytes the paths that start with ``p`` are those from ``p`` to ``p`` and the
+    byte 255, which no text contains. Paths and ends are put in that order by one range shuffle, and every
+    partition numbers its ends: ``sign`` is -1 for a lower and 1 for an upper one. A row without a prefix
+    has the paths of its partition. Repeats of one path are told apart by their row, so that they need
+    not all go to one partition.
+    """
+    key = F.col("prefix").cast("binary")
+    edges = wanted.select(
+        "prefix",
+        F.explode(
+            F.array(
+                F.struct(key.alias("key"), F.lit(-1).alias("sign")),
+                F.struct(F.concat(key, F.lit(b"\xff")).alias("key"), F.lit(1).alias("sign")),
+            )
+        ).alias("edge"),
+    ).select("edge.key", F.lit(-1).cast("bigint").alias("row"), "edge.sign", "prefix")
+    points = df.filter(F.col("path").isNotNull()).select(
+        F.col("path").cast("binary").alias("key"),
+        F.monotonically_increasing_id().alias("row"),
+        F.lit(0).alias("sign"),
+        F.lit(None).cast("string").alias("prefix"),
+    )
+    order = ["key", "row"]
+    ranged = points.unionByName(edges).repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = ranged.select(F.spark_partition_id().alias("part"), "sign", "prefix")
+    return numbered.mapInArrow(_number_ends, "part int, sign int, prefix string, rank long")
+
+
+def _number_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["part", "sign", "prefix", "rank"]
+    paths, part = 0, None
+    for batch in batches:
+        sign = batch["sign"].to_numpy(zero_copy_only=False)
+        rank = paths + np.cumsum(sign == 0)
+        if batch.num_rows:
+            paths, part = int(rank[-1]), batch["part"][0].as_py()
+        ends = pa.array(np.flatnonzero(sign))
+        kept = batch.take(ends)
+        yield pa.RecordBatch.from_arrays(
+            [kept["part"], kept["sign"], kept["prefix"], pa.array(rank[sign != 0], pa.int64())], names
+        )
+    if part is not None:
+        total = [[part], [0], [None], [paths]]
+        types = [pa.int32(), pa.int32(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(total, types)], names)

@@ -731,6 +731,37 @@ def _(spark, sf_dir):
     return stats.has_prefixes(workload.files(spark, sf_dir), _prefixes(spark, sf_dir))
 
 
+DERIVED_SQL["all_beginnings"] = """
+SELECT substr(path, 1, CAST(n AS BIGINT)) AS prefix, count(*) AS paths
+FROM (SELECT path, unnest(range(0, length(path) + 1)) AS n FROM files) GROUP BY 1
+"""
+DERIVED_SQL["all_folders"] = (
+    "SELECT DISTINCT prefix FROM (SELECT concat(path, '/') AS prefix FROM files "
+    "UNION ALL SELECT path FROM files UNION ALL SELECT substr(path, 1, length(path) - length(name)) FROM files)"
+)
+
+
+def _all_folders(spark, sf_dir):
+    """A table of prefixes that grows with the catalog: each path, with a slash, and its folder."""
+    folder = F.expr("substring(path, 1, char_length(path) - char_length(name))")
+    each = F.explode(F.array(F.concat("path", F.lit("/")), "path", folder))
+    return workload.files(spark, sf_dir).select(each.alias("prefix")).distinct()
+
+
+@query(
+    "agg4_prefix_counts_large_table",
+    "SELECT prefix, coalesce(paths, 0) AS count FROM all_folders LEFT JOIN all_beginnings USING (prefix)",
+)
+def _(spark, sf_dir):
+    """The way of a table too large to broadcast."""
+    return stats.prefix_counts(workload.files(spark, sf_dir), _all_folders(spark, sf_dir), 0)
+
+
+@query("agg5_has_prefixes_large_table", "SELECT prefix FROM all_folders SEMI JOIN all_beginnings USING (prefix)")
+def _(spark, sf_dir):
+    return stats.has_prefixes(workload.files(spark, sf_dir), _all_folders(spark, sf_dir), 0)
+
+
 # Merges: incoming rows come from line items, two thirds of them for paths of the catalog
 
 _INCOMING = """

@@ -137,13 +137,41 @@ def test_statistics(catalog, spark):
 
 
 def test_prefix_counts_without_broadcast(catalog, spark, monkeypatch):
-    monkeypatch.setattr(stats, "broadcast_if_small", lambda df: None)
+    monkeypatch.setattr(stats, "broadcast_if_small", lambda df, limit: None)
     tree = catalog(*[f"/hot/{i}" for i in range(300)], "/cold/1")
     asked = spark.createDataFrame([("/hot/",), ("/hot/1",), ("/",)], "prefix string")
     counts = {r.prefix: r["count"] for r in stats.prefix_counts(tree, asked).collect()}
     assert counts == {"/hot/": 300, "/hot/1": 111, "/": 301}
 
 
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 1])
+def test_prefix_counts_equal_brute_force(spark, broadcast_bytes):
+    rng = random.Random(8)
+    signs = ["a", "b", "/", "é", "\uffff", "\U0001f600", "\U0010ffff"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 5))) for _ in range(400)]
+    texts += ["hot"] * 300 + [None]
+    asked = [*["".join(rng.choices(signs, k=rng.randint(0, 3))) for _ in range(150)], "hot", "hott", "", "a", "a"]
+    files = spark.createDataFrame([(t, 1) for t in texts], "path string, sign int").repartition(5)
+    table = spark.createDataFrame([(p, i) for i, p in enumerate(asked)], "prefix string, key int")
+    counts = {p: sum(t is not None and t.startswith(p) for t in texts) for p in asked}
+    for rows in (files, files.limit(0)):
+        found = stats.prefix_counts(rows, table, broadcast_bytes).collect()
+        assert {r.prefix: r["count"] for r in found} == (counts if rows is files else dict.fromkeys(counts, 0))
+        assert len(found) == len(counts)
+    there = stats.has_prefixes(files, table, broadcast_bytes).collect()
+    assert sorted(r.key for r in there) == [i for i, p in enumerate(asked) if counts[p]]
+    assert stats.prefix_counts(files, table.limit(0), broadcast_bytes).count() == 0
+    unknown = spark.createDataFrame([(None,), ("hot",)], "prefix string")
+    assert {r.prefix: r["count"] for r in stats.prefix_counts(files, unknown, broadcast_bytes).collect()} == {None: 0, "hot": 300}
+
+
+def test_large_prefix_tables_shuffle_each_path_once(catalog, spark):
+    asked = spark.createDataFrame([("/a",), ("/b",)], "prefix string")
+    plan = stats._ranks(catalog("/a/1", "/b/2"), asked)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == plan.count("Exchange") == 1
+    assert plan.count("Generate") == 1  # the two ends of a prefix; paths are not taken apart
+
+
 def parsed(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "query_id long, raw string")
     return validate_queries(parse_queries(df))
