@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,12 +18,28 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfmark.operators.merge import apply_changes, effective_changes, replace_paths
 from shelfmark.plans.sizing import keep_keys_of
 from shelfmark.plans.storage import read_if_there, reliable
-from shelfmark.schema import CATALOG_SCHEMA, catalog_from_manifest
+from shelfmark.schema import CATALOG_COLUMNS, CATALOG_SCHEMA, catalog_from_manifest
 from shelfmark.sources.change_log import filter_ignored
 from shelfmark.sources.snapshot import load_catalog, read_manifest, read_version, save_catalog
 from shelfmark.streaming.debounce import DEFAULT_DELAY, debounce, micros
 
 
+Sink = Callable[[DataFrame, int], None]
+
+
+class _Merge(NamedTuple):
+    """``before``: the catalog as it is; ``state``: its new rows for the ``touched`` paths."""
+
+    before: DataFrame
+    touched: DataFrame
+    state: DataFrame
+    watermark: int
+    batch: int
+
+    def catalog(self) -> DataFrame:
+        return replace_paths(self.before, self.touched, self.state)
+
+
 def _log_folder(folder: str, generation: int) -> str:
     return f"{folder}/changes/generation={generation}"
 
@@ -33,8 +50,8 @@ def _log(spark: SparkSession, folder: str, manifest: Row) -> DataFrame | None:
 
 def _merged(
     spark: SparkSession, folder: str, manifest: Row, delay: int, lateness: int, drained: bool
-) -> tuple[DataFrame, int, int] | None:
-    """Catalog with what has settled, its watermark and the last batch in it; ``None`` if nothing is new.
+) -> _Merge | None:
+    """What has settled since the newest version, or ``None`` if nothing is new.
 
     With ``drained`` every session counts as settled.
     """
@@ -59,7 +76,7 @@ def _merged(
     base = read_version(spark, folder, manifest.base).join(touched, "path", "left_semi")
     state = apply_changes(base, settled.drop("settled_at"))
     current = load_catalog(spark, folder, check_count=False, manifest=manifest)
-    return replace_paths(current, touched, state), watermark, last.batch
+    return _Merge(current, touched, state, watermark, last.batch)
 
 
 def current_catalog(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,28 +85,50 @@ def current_catalog(spark: SparkSession, folder: str) -> DataFrame:
     found = None
     if manifest is not None and manifest.delay is not None:
         found = _merged(spark, folder, manifest, manifest.delay, manifest.lateness, False)
-    return load_catalog(spark, folder, manifest=manifest) if found is None else found[0]
+    return load_catalog(spark, folder, manifest=manifest) if found is None else found.catalog()
 
 
-def _save_merged(spark: SparkSession, folder: str, delay: int, lateness: int, drained: bool) -> None:
+def _save_merged(
+    spark: SparkSession, folder: str, delay: int, lateness: int, drained: bool,
+    on_upsert: Sink | None = None, on_delete: Sink | None = None,
+) -> None:
     manifest = read_manifest(spark, folder)
     found = _merged(spark, folder, manifest, delay, lateness, drained)
-    if found is not None:
-        merged, watermark, batch = found
-        save_catalog(
-            merged, folder, applied_batch=batch, watermark=watermark, base=manifest.base,
-            generation=manifest.generation, delay=delay, lateness=lateness,
-        )
+    if found is None:
+        return
+    if on_upsert or on_delete:
+        found = found._replace(state=reliable(found.state))
+        _deliver(found, manifest.number + 1, on_upsert, on_delete)
+    save_catalog(
+        found.catalog(), folder, applied_batch=found.batch, watermark=found.watermark, base=manifest.base,
+        generation=manifest.generation, delay=delay, lateness=lateness,
+    )
 
 
-def drain(spark: SparkSession, folder: str) -> None:
+def _deliver(found: _Merge, number: int, on_upsert: Sink | None, on_delete: Sink | None) -> None:
+    """What a merge changes, as rows to put in and paths to take out."""
+    rows = keep_keys_of(found.before, found.touched, "path").join(found.touched, "path", "left_semi")
+    old = reliable(rows)
+    if on_upsert:
+        others = F.struct(*[c for c in CATALOG_COLUMNS if c != "path"])
+        known = old.select("path", others.alias("known"))
+        same = F.col("known").isNotNull() & others.eqNullSafe(F.col("known"))
+        on_upsert(found.state.join(known, "path", "left").filter(~same).select(*CATALOG_COLUMNS), number)
+    if on_delete:
+        on_delete(old.join(found.state, "path", "left_anti").select("path"), number)
+
+
+def drain(
+    spark: SparkSession, folder: str, on_upsert: Sink | None = None, on_delete: Sink | None = None
+) -> None:
     """Settle everything that still waits and save it, as at the end of a stream.
 
-    The catalog is then what one batch over all changes gives. A stream may go on afterwards.
+    The catalog is then what one batch over all changes gives. A stream may go on afterwards. The
+    functions are those of ``maintain_catalog``.
     """
     manifest = read_manifest(spark, folder)
     if manifest is not None and manifest.delay is not None:
-        _save_merged(spark, folder, manifest.delay, manifest.lateness, True)
+        _save_merged(spark, folder, manifest.delay, manifest.lateness, True, on_upsert, on_delete)
 
 
 def compact(spark: SparkSession, folder: str) -> None:
@@ -114,6 +153,8 @@ def maintain_catalog(
     delay: timedelta = DEFAULT_DELAY,
     merge_every: int = 1,
     trigger: dict | None = None,
+    on_upsert: Sink | None = None,
+    on_delete: Sink | None = None,
 ) -> StreamingQuery:
     """Leave out ignored paths, debounce, and apply what has settled to the catalog in ``folder``.
 
@@ -124,6 +165,11 @@ def maintain_catalog(
     twice. A catalog belongs to one checkpoint. Raise ``merge_every`` where the catalog is large:
     rewriting it per batch costs far more than settling the waiting changes on reading
     (``current_catalog``). Call ``drain`` at the end, and ``compact`` from time to time.
+
+    ``on_upsert`` and ``on_delete`` get what each merge changes, rows to put in and paths to take out,
+    with the number of the version it makes. A late change that alters what was handed out before
+    goes out as a difference, so whoever applies the numbers in order has the catalog itself. They are called
+    before the version is saved and must be repeatable: after a failure a number is delivered again.
     """
     waits, late = micros(delay), micros(lateness)
 
@@ -136,7 +182,7 @@ def maintain_catalog(
             f"{_log_folder(folder, manifest.generation)}/batch_id={batch_id}"
         )
         if batch_id > manifest.applied_batch and (batch_id + 1) % merge_every == 0:
-            _save_merged(spark, folder, waits, late, False)
+            _save_merged(spark, folder, waits, late, False, on_upsert, on_delete)
 
     spark = changes.sparkSession
     manifest = read_manifest(spark, folder)
@@ -159,15 +205,16 @@ def maintain_catalog(
 
 def deliver_changes(
     settled: DataFrame,
-    on_upsert: Callable[[DataFrame, int], None],
-    on_delete: Callable[[DataFrame, int], None],
+    on_upsert: Sink,
+    on_delete: Sink,
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Hand each micro-batch to user functions: rows to put in, and paths to take out.
 
     Both get the batch number and must be repeatable, because a batch may be delivered again. The
-    batch is computed once and kept in the shared folder for the two.
+    batch is computed once and kept in the shared folder for the two. What ``debounce_stream`` drops as
+    too late is not delivered; hand the functions to ``maintain_catalog`` where no change may be lost.
     """
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
