@@ -1088,15 +1088,19 @@ def _(spark, sf_dir):
     return _maintained(spark, sf_dir, 1, drained=True)
 
 
-@query("str6_maintain_catalog_out_of_order", DRAINED_SQL)
-def _(spark, sf_dir):
-    """The changes come in four batches in any order, and no lateness is allowed for: none is lost."""
+def _out_of_order(spark, sf_dir):
+    """All changes as a stream of four batches, each with changes of any time."""
     folder = scratch_path(spark, "shuffled-changes")
     rows = workload.changes(spark, sf_dir)
     for part in range(4):
         rows.filter(F.pmod(F.xxhash64("seq"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return _maintained(spark, sf_dir, 1, stream, timedelta(0), drained=True)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("str6_maintain_catalog_out_of_order", DRAINED_SQL)
+def _(spark, sf_dir):
+    """The changes come in four batches in any order, and no lateness is allowed for: none is lost."""
+    return _maintained(spark, sf_dir, 1, _out_of_order(spark, sf_dir), timedelta(0), drained=True)
 
 
 @query("str6_maintain_catalog", MAINTAINED_SQL)
@@ -1149,26 +1153,26 @@ def _(spark, sf_dir):
     return snapshot.load_catalog(spark, _saved(spark, sf_dir))
 
 
-def _document(spark, sf_dir, copies: int) -> str:
-    """The catalog as one JSON document, written by Spark; with ``copies`` every path comes so often,
-    each time with a larger size."""
+def _document(spark, sf_dir, copies: int, pretty: bool = False) -> str:
+    """The catalog as one JSON document in parts, written by Spark; with ``copies`` every path comes so
+    often, each time with a larger size."""
     files = workload.files(spark, sf_dir).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    files = files.withColumn("size", F.col("size") + F.col("copy"))
+    totals = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("path").alias("least")).first()
     stamp = F.date_format("modified_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified_time")
-    entry = F.struct("path", "name", (F.col("size") + F.col("copy")).alias("size"), stamp, "is_dir", "extension")
-    body = files.agg(
-        F.array_sort(F.collect_list(F.struct("copy", "path", F.to_json(entry).alias("text")))).alias("e"),
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("size") + F.col("copy")).alias("bytes"),
-    )
-    # A document of this kind is one value, so one task writes it.
-    whole = body.select(
-        F.concat(
-            F.lit('{"version":"1.0","created_at":"2024-01-01T00:00:00Z","file_count":'),
-            F.col("n").cast("string"), F.lit(',"files":['), F.array_join("e.text", ","),
-            F.lit('],"total_size":'), F.col("bytes").cast("string"), F.lit(',"compressed":false}'),
-        )
+    entry = F.struct("path", "name", "size", stamp, "is_dir", "extension")
+    is_first = (F.col("copy") == 1) & (F.col("path") == totals.least)
+    comma = F.when(is_first, F.lit("")).otherwise(F.lit(","))
+    body = files.select(
+        "copy", "path", F.concat(comma, F.to_json(entry, {"pretty": str(pretty).lower()})).alias("value")
     )
+    head = f'{{"version":"1.0","created_at":"2024-01-01T00:00:00Z","file_count":{totals.n},"files":['
+    tail = f'],"total_size":{totals.bytes},"compressed":false}}'
+    ends = spark.createDataFrame([(0, "", head), (copies + 1, "", tail)], "copy int, path string, value string")
     folder = scratch_path(spark, "document")
-    whole.write.text(folder)
+    order = ["copy", "path"]
+    whole = body.unionByName(ends).repartitionByRange(*order).sortWithinPartitions(*order)
+    whole.select("value").write.text(folder)
     return folder
 
 
@@ -1181,6 +1185,12 @@ def _(spark, sf_dir):
     return _plain_times(snapshot.import_json(spark, _document(spark, sf_dir, 1)))
 
 
+@query("src5_import_json_pretty", _document_sql(1))
+def _(spark, sf_dir):
+    """Entries over many lines."""
+    return _plain_times(snapshot.import_json(spark, _document(spark, sf_dir, 1, pretty=True)))
+
+
 @query("src5_import_json_repeated_path", _document_sql(3))
 def _(spark, sf_dir):
     """The later entry of a path stays."""
@@ -1328,3 +1338,30 @@ def _(spark, sf_dir):
         )
     )
     return spark.read.parquet(out).select("path", "kind")
+
+
+@query("udf3_deliver_changes_out_of_order", DRAINED_SQL)
+def _(spark, sf_dir):
+    """A copy of the catalog, kept by nothing but what user functions are handed, with changes in any order."""
+    folder, out = scratch_path(spark, "catalog"), scratch_path(spark, "delivered")
+    snapshot.save_catalog(_home(spark, sf_dir), folder)
+
+    def sink(kind):
+        def write(frame, number):
+            frame.write.mode("overwrite").parquet(f"{out}/number={number}/kind={kind}")
+
+        return write
+
+    sinks = {"on_upsert": sink("upsert"), "on_delete": sink("delete")}
+    _finished(
+        maintain.maintain_catalog(
+            _out_of_order(spark, sf_dir), folder, scratch_path(spark, "checkpoint"), timedelta(0), DELAY,
+            trigger={"availableNow": True}, **sinks,
+        )
+    )
+    maintain.drain(spark, folder, **sinks)
+    delivered = spark.read.option("mergeSchema", True).parquet(out)
+    others = [c for c in CATALOG_COLUMNS if c != "path"]
+    last = delivered.groupBy("path").agg(F.max_by(F.struct("kind", *others), "number").alias("last"))
+    rows = last.select("path", "last.*")
+    return _plain_times(merge.replace_paths(_home(spark, sf_dir), rows, rows.filter("kind = 'upsert'")))

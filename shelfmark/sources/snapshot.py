@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from shelfmark.operators.merge import latest_per_path
 from shelfmark.schema import CATALOG_COLUMNS, CATALOG_SCHEMA
+from shelfmark.sources.json_document import ORDER, read_document
 
 # Fixed value: the only snapshot format version.
 FORMAT_VERSION = "1.0"
@@ -31,19 +32,6 @@ MANIFEST_SCHEMA = (
     "generation long, watermark long, delay long, lateness long"
 )
 
-# Fields of a snapshot document in JSON, in their order, and the compact text between
-# two of its file entries. The text cannot be part of a name, because quotes in names are escaped.
-FILE_SCHEMA = (
-    "path string, name string, size long, modified_time timestamp, is_dir boolean, extension string"
-)
-HEAD_SCHEMA = "version string, created_at string, file_count long"
-DOCUMENT_SCHEMA = (
-    f"{HEAD_SCHEMA}, files array<struct<{FILE_SCHEMA.replace(' ', ': ').replace(',:', ',')}>>"
-)
-BETWEEN_FILES = '},{"path":'
-BEFORE_FILES = r',"files":\[\{"path":'
-AFTER_FILES = r'\}\],"total_size":-?[0-9]+,"compressed":(true|false)\}\s*\z'
-
 
 def _publish(spark: SparkSession, folder: str, manifest: dict) -> None:
     row = spark.createDataFrame([Row(**manifest)], MANIFEST_SCHEMA)
@@ -207,47 +195,15 @@ def _check_head(head: Row | None, found: int, path: str) -> None:
     _check_count(head, found)
 
 
-def _split_document(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file entry of a compact document, read in parallel: ``head`` (in the first row
-    only), ``file`` (NULL where the text is not one whole entry), and ``block`` and ``place``, which
-    tell the order of the entries."""
-    pieces = spark.read.option("lineSep", BETWEEN_FILES).text(path)
-    parts = F.split("value", BEFORE_FILES, 2)
-    is_first = F.size(parts) == 2
-    entry = F.regexp_replace(F.element_at(parts, -1), AFTER_FILES, "")
-    return pieces.select(
-        F.when(is_first, F.from_json(F.concat(parts[0], F.lit("}")), HEAD_SCHEMA)).alias("head"),
-        F.from_json(
-            F.concat(F.lit('{"path":'), entry, F.lit("}")), FILE_SCHEMA, {"mode": "PERMISSIVE"}
-        ).alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"),
-    )
-
-
 def import_json(spark: SparkSession, path: str) -> DataFrame:
-    """Catalog rows of a snapshot kept as one JSON document, plain or ``.gz``.
+    """Catalog rows of a snapshot kept as one JSON document, plain or ``.gz``, in any layout.
 
-    A document in the compact form it is written in is cut between its entries and read in
-    parallel (a compressed one is still one stream). In any other form it is read as the single value
-    it is. Of entries with one path the later stays.
+    The document is taken apart in parallel (a compressed one is still one stream). Of entries with one path
+    the later stays. An entry without a path, or another number of entries than recorded, is an error.
     """
-    split = _split_document(spark, path)
-    head = split.filter(F.col("head.version").isNotNull()).select("head.*").first()
-    files = split.select("file.*")
-    totals = files.agg(
-        F.count(F.lit(1)).alias("pieces"),
-        F.count("path").alias("entries"),
-        F.count("extension").alias("whole"),
-    ).first()
-    if head is not None and totals.pieces == totals.entries == totals.whole:
-        _check_head(head, totals.entries, path)
-        order = ["block", "place"]
-        rows = split.select(*order, "file.*")
-        return latest_per_path(rows, order, CATALOG_COLUMNS + order).drop(*order)
-
-    document = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).json(path)
-    head = document.select("version", "file_count", F.size("files").alias("found")).first()
-    _check_head(head, (head.found or 0) if head else 0, path)
-    rows = document.select(F.posexplode("files").alias("seq", "file")).select("seq", "file.*")
-    return latest_per_path(rows, ["seq"], CATALOG_COLUMNS + ["seq"]).drop("seq")
+    head, entries = read_document(spark, path)
+    totals = entries.agg(F.count(F.lit(1)).alias("entries"), F.count("path").alias("named")).first()
+    _check_head(head, totals.entries, path)
+    if totals.named != totals.entries:
+        raise ValueError(f"{totals.entries - totals.named} entries cannot be read: {path}")
+    return latest_per_path(entries, ORDER, CATALOG_COLUMNS + ORDER).drop(*ORDER)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import merge
 from shelfmark.schema import CATALOG_COLUMNS, catalog_from_manifest
-from shelfmark.sources import change_log, listing, snapshot
+from shelfmark.sources import change_log, json_document, listing, snapshot
 from shelfmark.streaming import debounce as d, maintain
 from tests.conftest import paths
 
@@ -277,12 +277,53 @@ def test_import_json_is_read_in_parallel(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", 300_000)
     try:
         df = snapshot.import_json(spark, str(file))
-        assert snapshot._split_document(spark, str(file)).rdd.getNumPartitions() > 3
+        assert json_document.split_document(spark, str(file)).rdd.getNumPartitions() > 3
         assert df.count() == 20_000 and df.agg(F.sum("size")).first()[0] == 20_000 * 20_001 // 2
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("bytes_per_block, indent", [(200, None), (700, 3), (1 << 20, 0)])
+def test_documents_of_any_layout(spark, tmp_path, bytes_per_block, indent):
+    """Names of braces, brackets, quotes and backslashes, cut into blocks at any place."""
+    rng = random.Random(indent or 7)
+    signs = ["{", "}", "[", "]", '"', "\\", ",", ":", "\n", "é", "a", '"files":[', "},{"]
+    names = ["".join(rng.choices(signs, k=rng.randint(1, 9))) for _ in range(40)]
+    body = json.loads(document(names))
+    body["files"][3]["extra"] = {"more": [1, {"deep": "}"}]}
+    body["files"][5] = dict(reversed(body["files"][5].items()))
+    late = {"options": {"a": ["}", {"b": "]"}]}, **{k: body.pop(k) for k in ("version", "file_count")}}
+    file = tmp_path / "s.json"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_per_block)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        for end in ("", " \n\n"):
+            file.write_text(json.dumps({**body, **late}, indent=indent, ensure_ascii=False) + end)
+            wanted = {f"/{name}": size for size, name in enumerate(names, 1)}
+            assert sizes(snapshot.import_json(spark, str(file))) == wanted
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_documents_in_parts(spark, tmp_path):
+    text = document(["a}.txt", "b.txt", "c.txt"])
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    lines = text.replace(',"files":[', ',"files":[\n').replace("},{", "},\n{").replace("}],", "}\n],").replace('"is_dir"', '\n"is_dir"').splitlines()
+    for i, line in enumerate(lines):
+        (folder / f"part-{i:05}.txt").write_text(line + "\n")
+    assert sizes(snapshot.import_json(spark, str(folder))) == {"/a}.txt": 1, "/b.txt": 2, "/c.txt": 3}
+
+
+@pytest.mark.parametrize("cut", [1, 40, 200])
+def test_cut_documents_are_refused(spark, tmp_path, cut):
+    file = tmp_path / "s.json"
+    file.write_text(document(["a.txt", "b.txt"])[:-cut - 1] + "\n")
+    with pytest.raises(ValueError):
+        snapshot.import_json(spark, str(file))
+
+
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "tree"
@@ -457,3 +498,38 @@ def test_deliver_changes(spark, tmp_path):
         {"availableNow": True},
     ).awaitTermination()
     assert got == {"upsert": ["/a"], "delete": ["/b"]}
+
+
+def test_late_changes_are_delivered_as_differences(spark, catalog, tmp_path):
+    folder, log, checkpoint = (str(tmp_path / n) for n in ("catalog", "log", "checkpoint"))
+    snapshot.save_catalog(catalog(("/base", 1), ("/gone", 2), ("/same", 3)), folder)
+    got = []
+    sinks = {
+        "on_upsert": lambda df, number: got.append((number, sizes(df))),
+        "on_delete": lambda df, number: got.append((number, sorted(paths(df)))),
+    }
+
+    def run():
+        got.clear()
+        stream = spark.readStream.schema(CHANGE_SCHEMA).parquet(log)
+        maintain.maintain_catalog(
+            stream, folder, checkpoint, timedelta(0), timedelta(seconds=5), trigger={"availableNow": True}, **sinks
+        ).awaitTermination()
+        return list(got)
+
+    first = snapshot.read_manifest(spark, folder).number + 1
+    write_log(spark, log, [
+        (0, "/a", "create", 1), (1, "/same", "modify", 3), (2, "/none", "delete", None),
+        (90, "/gone", "delete", None), (100, "/b", "create", 2),
+    ])
+    # The times for delay and lateness are recorded by one version more.
+    assert run() == [(first + 1, {"/a": 1}), (first + 1, ["/gone"])]
+    # Late, newer than what went out of the path; late, older; late and joining a settled change to one that waits.
+    write_log(spark, log, [(50, "/a", "modify", 7), (40, "/gone", "modify", 9), (94, "/gone", "create", 4), (104, "/z", "create", 1)])
+    assert run() == [(first + 2, {"/a": 7, "/gone": 4}), (first + 2, [])]
+    write_log(spark, log, [(60, "/a", "delete", None)])
+    assert run() == [(first + 3, {}), (first + 3, ["/a"])]
+    got.clear()
+    maintain.drain(spark, folder, **sinks)
+    assert got == [(first + 4, {"/b": 2, "/z": 1}), (first + 4, [])]
+    assert sizes(maintain.current_catalog(spark, folder)) == {"/base": 1, "/same": 3, "/gone": 4, "/b": 2, "/z": 1}
