@@ -24,7 +24,7 @@ from shelfmark.plans.sizing import broadcast_if_small
 #: Tokens of a block, which ends with the document that reaches them.
 BLOCK = 1 << 18
 #: Words that a process keeps here, where most of its time goes into new ones.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 def _kind(tokenizer: str, end_id: int) -> type:
