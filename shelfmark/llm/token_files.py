@@ -9,7 +9,6 @@ read and decoded on its own.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,14 +45,6 @@ def tokenised(
     numbers = pa.list_(pa.int64())
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Words and ids hold no cycles; looking for some among so many objects takes a seventh of the time.
-        gc.disable()
-        try:
-            yield from encoded(batches)
-        finally:
-            gc.enable()
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, total = encoder(tokenizer, REMEMBERED), np.zeros(0, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         names, key_type = ["id", "doc", "ids", "symbols", "counts"], None
