@@ -1,13 +1,18 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-No pair is lost (prefix filtering). If two sets are that similar, they have at least 0.8 of the larger
+Candidates come from SimHash first (``simhash``): fingerprints of the same shingles that differ in at most
+three bits, found by chains of segments on a ring. Texts that are that similar can lie further apart (up to
+11 bits in the test tables), so the shingles themselves find the rest, and no pair is lost (prefix
+filtering). If two sets are that similar, they have at least 0.8 of the larger
 one in common, so under any one order of all shingles the first fifth (and one more) of the one meets
 the first fifth of the other. The order is by hash, with shingles that are frequent in a sample of the
 documents last: it decides what a search costs, never what it finds.
 
-Shared shingles give candidates in two rounds. In the first every document of a shingle is compared
-with one of them, which ties a large group of copies together by few comparisons; in the second
-documents of a shingle that are still in different components are compared all with all. Candidates
+Candidates are judged in three rounds, and what a round has tied together is not compared again. In the
+first every row is compared with the first one of its fingerprint, and that one with one of a near
+fingerprint; in the second every document of a shingle is compared with one of them. So a large group of
+copies is tied together by few comparisons. In the third near fingerprints and documents of a shingle that
+are still in different components are compared all with all. Candidates
 whose shingles per hash cell differ by more than similar sets can are left out, which loses none; the
 others are judged by their whole sets, of 64-bit hashes. A pair has a centre, and sets are sent
 to centres: a member's set once per centre, the centre's once per slice of its members.
@@ -23,12 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from shelfmark.llm import simhash
 from shelfmark.llm.common import doc_key, only_with, packed, step, unpacked
 from shelfmark.llm.components import connected_components
-from shelfmark.plans.sizing import broadcast_if_small
+from shelfmark.plans.sizing import broadcast_if_small, join_hot_keys
 
 #: Words in a shingle, and the similarity from which two documents are copies.
 SHINGLE, SIMILARITY = 5, 0.8
+#: Differing bits of the fingerprints that are compared.
+BITS = 3
 _SEED = 42
 #: One document in so many is counted for the order; shingles that this many of them have are frequent.
 _SAMPLE, _FREQUENT, _MOST = 16, 3, 200_000
@@ -41,8 +49,8 @@ _MEMBERS = 500
 _BATCH = 4 << 20
 
 
-def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted different hashes of the shingles; a shorter text is one shingle, also the empty one."""
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of all shingles; a shorter text is one shingle, also the empty one."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -50,7 +58,12 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
         grams = iter([b" ".join(words)])
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    return np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(_SEED)), np.uint64))
+    return np.fromiter(map(xxh64_intdigest, grams, repeat(_SEED)), np.uint64)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted different hashes of the shingles."""
+    return np.unique(_hashes(text, shingle))
 
 
 def _least_common(size: int, similarity: float) -> int:
@@ -104,7 +117,8 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``(node, id, doc, size, cells, keys)``, written once: a row's number, counts and first shingles."""
+    """``(node, id, doc, fingerprint, size, cells, keys)``, written once: a row's number, fingerprint,
+    counts and first shingles."""
     frequent, counts = _frequent(rows, shingle)
 
     def prefix(found: np.ndarray) -> np.ndarray:
@@ -116,16 +130,23 @@ def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(text.as_py(), shingle) for text in batch["text"]]
+            prints, sets = [], []
+            for text in batch["text"]:
+                found = _hashes(text.as_py(), shingle)
+                prints.append(simhash.fingerprint_of(found))
+                sets.append(np.unique(found))
             sizes, keys = pa.array(map(len, sets), pa.int64()), [prefix(s) for s in sets]
             keys = pa.array(keys, pa.list_(pa.int64()))
             cells = pa.array(map(_cells, sets), pa.binary())
-            columns = [batch["node"], batch["id"], batch["doc"], sizes, cells, keys]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "id", "doc", "size", "cells", "keys"])
+            prints = pa.array(prints, pa.int64())
+            columns = [batch["node"], batch["id"], batch["doc"], prints, sizes, cells, keys]
+            yield pa.RecordBatch.from_arrays(
+                columns, ["node", "id", "doc", "fingerprint", "size", "cells", "keys"]
+            )
 
     id_type = rows.schema["id"].dataType.simpleString()
     numbered = rows.withColumn("node", F.monotonically_increasing_id())
-    schema = f"node long, id {id_type}, doc string, size long, cells binary, keys array<long>"
+    schema = f"node long, id {id_type}, doc string, fingerprint long, size long, cells binary, keys array<long>"
     return step(numbered.mapInArrow(per_batch, schema))
 
 
@@ -133,6 +154,39 @@ def _sizes_fit(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - F.lit(1e-9)
 
 
+def _by_fingerprint(nodes: DataFrame, bits: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)``: each row with the first of its fingerprint, and the first rows of fingerprints
+    that differ in ``bits`` places or fewer, the smaller number as ``a``."""
+    offered = nodes.select("fingerprint", "node", "size")
+    first = F.min(F.struct("node", "size")).alias("first")
+    groups = step(offered.groupBy("fingerprint").agg(first, F.count(F.lit(1)).alias("n")))
+    several = groups.filter("n > 1").select("fingerprint", "first")
+    equal = join_hot_keys(offered, several, "fingerprint").filter(
+        (F.col("node") != F.col("first.node")) & _sizes_fit("size", "first.size", similarity)
+    )
+
+    def named(side: str) -> DataFrame:
+        return groups.select(F.col("fingerprint").alias(side), F.col("first").alias(f"{side}_first"))
+
+    near = simhash.links(groups.select("fingerprint"), bits).join(named("a"), "a").join(named("b"), "b")
+    near = near.filter(_sizes_fit("a_first.size", "b_first.size", similarity))
+    numbers = ("a_first.node", "b_first.node")
+    return (
+        step(equal.select(F.col("first.node").alias("a"), F.col("node").alias("b"))),
+        step(near.select(F.least(*numbers).alias("a"), F.greatest(*numbers).alias("b"))),
+    )
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the pairs ``(a, b)`` that no component has both of."""
+    few = broadcast_if_small(roots)
+    roots = roots if few is None else few
+    for side in ("a", "b"):
+        own = roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+        pairs = pairs.join(own, side, "left")
+    return pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
 def _shared(nodes: DataFrame, similarity: float) -> DataFrame:
     """``(key, node, size, centre, centre_size)`` of shingles that several documents offer."""
     offered = nodes.select("node", "size", F.explode("keys").alias("key"))
@@ -229,22 +283,32 @@ def near_copies(
     text_col: str = "text",
     shingle: int = SHINGLE,
     similarity: float = SIMILARITY,
+    bits: int = BITS,
 ) -> DataFrame:
     """``(id, doc, root)``, one row per row of ``docs``; rows of one component have the same root.
 
     Rows are linked if their sets of shingles (words between blanks, ASCII letters folded) are at
     least so similar. A text of ``shingle`` words or fewer is one shingle; null texts equal empty ones.
+    ``bits`` says how far apart fingerprints may be that are compared; the result is the same with any.
     """
     if not 0 < similarity <= 1:
         raise ValueError("the similarity is above 0 and at most 1")
     rows = _rows(docs, id_col, text_col)
     nodes = _prefixes(rows, shingle, similarity)
-    shared = _shared(nodes, similarity)
 
-    first = shared.filter(_sizes_fit("size", "centre_size", similarity) & (F.col("node") != F.col("centre")))
-    first = step(first.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    tied = _verified(first, nodes, rows, shingle, similarity)
-    roots = connected_components(tied)
+    equal, near = _by_fingerprint(nodes, bits, similarity)
+    first = step(equal.unionByName(near.groupBy("b").agg(F.min("a").alias("a"))))
+    links = _verified(first, nodes, rows, shingle, similarity)
+    roots = connected_components(links)
+
+    shared = _shared(nodes, similarity)
+    second = shared.filter(_sizes_fit("size", "centre_size", similarity) & (F.col("node") != F.col("centre")))
+    second = second.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    second = step(_apart(second, roots))
+    links = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(
+        _verified(second, nodes, rows, shingle, similarity)
+    )
+    roots = connected_components(links)
 
     apart = shared.select("key", "node", "size").join(roots, "node", "left")
     apart = apart.withColumn("root", F.coalesce("root", "node"))
@@ -257,9 +321,12 @@ def near_copies(
         (F.col("key") == F.col("k")) & (F.col("r") != F.col("q")) & (F.col("a") < F.col("b"))
         & _sizes_fit("s", "t", similarity),
     )
-    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = step(open_pairs.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
-    links = tied.unionByName(_verified(second, nodes, rows, shingle, similarity))
+    known = first.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    third = open_pairs.select("a", "b").unionByName(_apart(near, roots)).distinct()
+    third = step(third.join(known, ["a", "b"], "left_anti"))
+    links = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(
+        _verified(third, nodes, rows, shingle, similarity)
+    )
 
     stars = connected_components(links)
     rooted = nodes.select("node", "id", "doc").join(stars, "node", "left")

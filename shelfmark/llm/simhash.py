@@ -39,6 +39,14 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return (seen @ _BYTE_BITS).ravel()
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of the hashes of a text's shingles, repeats included."""
+    counts = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), _SLICE):
+        counts += _bit_counts(hashes[start : start + _SLICE])
+    return int(np.packbits(counts * 2 > len(hashes)).view(">i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The signed 64-bit fingerprint of one text; zero without words."""
     from xxhash import xxh64_intdigest

@@ -97,3 +97,42 @@ def test_counts_leave_out_no_similar_sets():
         other = np.unique(rng.integers(0, 1 << 64, len(a), np.uint64))
         left_out += not near_copies._may_be_similar(near_copies._cells(a), near_copies._cells(other), 0.8)
     assert left_out > 360
+
+
+def test_fingerprints_give_candidates(spark, docs, groups, monkeypatch):
+    """Fingerprints alone link what lies within the bits; shingles add the rest, with any bits."""
+    rng, texts = random.Random(11), {}
+    for i in range(12):
+        words = [f"t{i}w{k}" for k in range(400)]
+        for j in range(8):
+            copy = list(words)
+            for _ in range(rng.randrange(12)):
+                copy[rng.randrange(400)] = f"n{rng.randrange(10**9)}"
+            texts[100 * i + j] = " ".join(copy)
+    frame = docs(*texts.items())
+    prints = {i: near_copies.simhash.fingerprint(t, 5) % (1 << 64) for i, t in texts.items()}
+    sets = {i: brute_set(t) for i, t in texts.items()}
+
+    def linked(most):
+        found = type(groups)()
+        for i in texts:
+            found.root(i)
+        for i, j in combinations(texts, 2):
+            common = len(sets[i] & sets[j])
+            if (prints[i] ^ prints[j]).bit_count() <= most and 5 * common >= 4 * len(sets[i] | sets[j]):
+                found.link(i, j)
+        return sorted(map(sorted, found.members()))
+
+    def members(**more):
+        found = {}
+        for r in near_copies.near_copies(frame, **more).collect():
+            found.setdefault(r.root, []).append(r.id)
+        return sorted(map(sorted, found.values()))
+
+    wanted = linked(64)
+    for bits in (0, 3):
+        assert members(bits=bits) == wanted
+    shared = near_copies._shared
+    monkeypatch.setattr(near_copies, "_shared", lambda *given: shared(*given).limit(0))
+    assert members() == linked(near_copies.BITS)
+    assert len(wanted) < len(linked(near_copies.BITS)) < len(texts)
