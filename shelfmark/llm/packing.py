@@ -98,6 +98,9 @@ def pieces(
             yield pa.RecordBatch.from_arrays(
                 columns, ["id", "row", "piece", "start", "length", "ids"]
             )
+        # The process stays for later stages, and so would a few hundred MB on each executor.
+        encode.forget()
+        pa.default_memory_pool().release_unused()
 
     return step(rows.mapInArrow(per_batch, schema))
 

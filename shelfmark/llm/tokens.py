@@ -108,6 +108,11 @@ class Encoder:
         words = self.pattern.findall(text.lower() if self.lower else text)
         return b"".join(map(self.words.__getitem__, words))
 
+    def forget(self) -> None:
+        """Give back the words remembered, when a task ends and the process may do other work next."""
+        self.words.clear()
+        self.words.before = {}
+
 
 def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One per Python process, for all its tasks.
