@@ -19,7 +19,9 @@ from shelfmark.plans.sizing import (
     join_hot_keys,
     keep_keys_of,
     keep_known,
+    spread,
 )
+from shelfmark.plans.storage import reliable
 
 # Marks for keys of names that are too short to be cut: any such name, one of its bytes.
 ANY_SHORT, SHORT_BYTE = -1, -2
@@ -81,9 +83,12 @@ def close_pairs(
         distances = sorted(row.distance for row in rows) or [0]
     as_bytes = "decode(encode(text, 'UTF-8'), 'ISO-8859-1')"
     pattern_keys = f"array_distinct({for_value(as_bytes, _PATTERN_KEYS.format(d='distance'))})"
-    keyed_patterns = patterns.selectExpr(
-        "*", f"{as_bytes} AS pattern_bytes", f"explode({pattern_keys}) AS key"
-    ).drop("text")
+    # Written once: keys are the work, and each decision below reads them.
+    keyed_patterns = reliable(
+        spread(patterns).selectExpr(
+            "*", f"{as_bytes} AS pattern_bytes", f"explode({pattern_keys}) AS key"
+        ).drop("text")
+    )
     name_keys = ", ".join(_NAME_KEYS.format(d=d) for d in distances)
     own_keys = f"array_distinct({for_value(as_bytes, f'concat({name_keys})')})"
     keys = keep_known(own_keys, keyed_patterns)
@@ -92,7 +97,7 @@ def close_pairs(
     ).drop("text")
     small = broadcast_if_small(keyed_patterns, broadcast_bytes) is not None
     if not small:
-        keyed_names = keep_keys_of(keyed_names, keyed_patterns, "key")
+        keyed_names = reliable(keep_keys_of(keyed_names, keyed_patterns, "key"))
     candidates = join_hot_keys(keyed_names, keyed_patterns, "key", known_small=small)
     # The limit of the early-stopping distance must be a literal: one branch per distance.
     close = F.lit(False)
@@ -119,4 +124,5 @@ def fuzzy_join(names: DataFrame, patterns: DataFrame, distance: int) -> DataFram
     right = patterns.select("pattern").distinct().select(
         "pattern", F.col("pattern").alias("text"), F.lit(distance).alias("distance")
     )
+    left = spread(left)
     return close_pairs(left, right, distances=[distance]).select("name", "pattern")

@@ -14,6 +14,7 @@ from shelfmark.operators import merge, query_table, rank, search as s, stats
 from shelfmark.operators.batch_search import search_many
 from shelfmark.operators.fuzzy_join import fuzzy_join
 from shelfmark.plans import workload
+from shelfmark.plans.sizing import spread
 from shelfmark.plans.storage import scratch_path
 from shelfmark.sources import change_log, listing, snapshot
 from shelfmark.schema import CATALOG_COLUMNS, catalog_from_manifest
@@ -578,7 +579,7 @@ SELECT DISTINCT name, lower(pattern) AS pattern FROM names, (SELECT DISTINCT pat
 """,
 )
 def _(spark, sf_dir):
-    parsed = query_table.parse_queries(workload.query_log(spark, sf_dir))
+    parsed = query_table.parse_queries(spread(workload.query_log(spark, sf_dir)))
     patterns = parsed.filter(F.col("error").isNull() & (F.col("pattern") != ""))
     return fuzzy_join(
         workload.files(spark, sf_dir), patterns.select(F.lower("pattern").alias("pattern")), 3

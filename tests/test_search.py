@@ -9,7 +9,7 @@ from shelfmark.functions import regex
 from shelfmark.functions.required import required_parts
 from shelfmark.operators import batch_search, rank, search as s, stats
 from shelfmark.operators.batch_search import search_many, size_cells
-from shelfmark.operators.fuzzy_join import fuzzy_join
+from shelfmark.operators.fuzzy_join import close_pairs, fuzzy_join
 from shelfmark.operators.query_table import parse_queries, validate_queries
 from shelfmark.operators.search import SearchSpec
 from tests.conftest import names, paths
@@ -509,3 +509,24 @@ def test_plans(spark, many_files, tmp_path):
     assert "WindowGroupLimit" in many
     for plan in (many, plan_of(search_many(saved, parsed(spark, MANY_TEXTS), 10, 1))):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "PythonUDF" not in plan
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1, 32 << 20])
+def test_fuzzy_join_reads_its_patterns_once(spark, broadcast_bytes):
+    """Patterns can be costly to make, and come in one file: each is made once, keys by several tasks."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(number):
+        seen.add(1)
+        return f"report_{number}.txt"
+
+    patterns = spark.range(40).coalesce(1).select(made("id").alias("text"), F.lit(1).alias("distance"))
+    patterns = patterns.withColumn("pattern", F.concat("text", F.lit("")))
+    names_ = spark.createDataFrame([("report_1.txt", "report_1.txt"), ("report_x.txt", "report_x.txt")], "name string, text string")
+    found = close_pairs(names_, patterns, broadcast_bytes).select("name").collect()
+    # The distances are looked for first.
+    assert len(found) > 10 and seen.value <= 80
+    seen.value = 0
+    close_pairs(names_, patterns, broadcast_bytes, [1]).collect()
+    assert seen.value <= 40
