@@ -12,6 +12,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from shelfmark.plans.storage import reliable
+
 DEFAULT_DELAY = timedelta(milliseconds=100)
 CELLS_PER_BLOCK = 4_096
 DETAILS = ["seq", "op", "size", "modified_time", "is_dir"]
@@ -61,7 +63,8 @@ def debounce(changes: DataFrame, delay: timedelta = DEFAULT_DELAY) -> DataFrame:
     start = F.col("block") * (CELLS_PER_BLOCK * width)
     touches_start = F.col("first") - start <= width
     touches_end = start + CELLS_PER_BLOCK * width - F.unix_micros("last.ts") <= width
-    marked = inner.withColumn("border", touches_start | touches_end).drop("block")
+    # Written once: both kinds of sessions are taken from it.
+    marked = reliable(inner.withColumn("border", touches_start | touches_end).drop("block"))
     across = _sessions(marked.filter("border").drop("border"), ["path"], width)
     whole = marked.filter(~F.col("border")).drop("border").unionByName(across)
     return whole.select("path", "last.*").withColumn("settled_at", _plus(F.col("ts"), delay))

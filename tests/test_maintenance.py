@@ -533,3 +533,19 @@ def test_late_changes_are_delivered_as_differences(spark, catalog, tmp_path):
     maintain.drain(spark, folder, **sinks)
     assert got == [(first + 4, {"/b": 2, "/z": 1}), (first + 4, [])]
     assert sizes(maintain.current_catalog(spark, folder)) == {"/base": 1, "/same": 3, "/gone": 4, "/b": 2, "/z": 1}
+
+
+def test_debounce_reads_its_changes_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def path_of(number):
+        seen.add(1)
+        return f"/p{number % 5}"
+
+    times = F.timestamp_seconds(F.col("id") * 3600)
+    changes = spark.range(100).select(
+        path_of("id").alias("path"), times.alias("ts"), F.col("id").alias("seq"), F.lit("modify").alias("op")
+    )
+    found = d.debounce(changes, timedelta(hours=1)).collect()
+    assert len(found) == 100 and seen.value == 100
