@@ -12,7 +12,10 @@ Candidates are judged in three rounds, and what a round has tied together is not
 first every row is compared with the first one of its fingerprint, and that one with one of a near
 fingerprint; in the second every document of a shingle is compared with one of them. So a large group of
 copies is tied together by few comparisons. In the third near fingerprints and documents of a shingle that
-are still in different components are compared all with all. Candidates
+are still in different components are compared all with all, as far as places and signs allow: if sets meet
+first at some places of their orders, they have no more in common than what follows there, and they differ
+in as many shingles as their signs (of each of 1,024 cells whether its count is odd) do in bits. Both are
+conditions of the join, so documents that only have a passage in common make no rows. Candidates
 whose shingles per hash cell differ by more than similar sets can are left out, which loses none; the
 others are judged by their whole sets, of 64-bit hashes. A pair has a centre, and sets are sent
 to centres: a member's set once per centre, the centre's once per slice of its members.
@@ -43,6 +46,8 @@ _SAMPLE, _FREQUENT, _MOST = 16, 3, 200_000
 #: Cells of hashes in which a set's shingles are counted: at least so many, and so many that a cell has
 #: at most so many shingles on average.
 _CELLS, _PER_CELL = 64, 8
+#: Words of 64 bits in a set's signs.
+_SIGNS = 16
 #: So many members are compared with one copy of their centre's set.
 _MEMBERS = 500
 #: So many bytes of sets go into one batch, but for a set that is larger.
@@ -84,6 +89,13 @@ def _cells(found: np.ndarray) -> bytes:
     return np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<i4").tobytes()
 
 
+def _signs(found: np.ndarray) -> list[int]:
+    """Of each cell, by the shingles' last bits, whether it has an odd number of them, as signed words."""
+    cells = 64 * _SIGNS
+    odd = np.bincount((found % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _may_be_similar(a: bytes, b: bytes, similarity: float) -> bool:
     """Whether sets with these counts can be: they differ in as many shingles as the cells at least."""
     x, y = np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")
@@ -117,8 +129,8 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``(node, id, doc, fingerprint, size, cells, keys)``, written once: a row's number, fingerprint,
-    counts and first shingles."""
+    """``(node, id, doc, fingerprint, size, cells, signs, keys)``, written once: a row's number, fingerprint,
+    counts, signs and first shingles, in the order of all shingles."""
     frequent, counts = _frequent(rows, shingle)
 
     def prefix(found: np.ndarray) -> np.ndarray:
@@ -138,15 +150,17 @@ def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
             sizes, keys = pa.array(map(len, sets), pa.int64()), [prefix(s) for s in sets]
             keys = pa.array(keys, pa.list_(pa.int64()))
             cells = pa.array(map(_cells, sets), pa.binary())
+            signs = pa.array(map(_signs, sets), pa.list_(pa.int64()))
             prints = pa.array(prints, pa.int64())
-            columns = [batch["node"], batch["id"], batch["doc"], prints, sizes, cells, keys]
+            columns = [batch["node"], batch["id"], batch["doc"], prints, sizes, cells, signs, keys]
             yield pa.RecordBatch.from_arrays(
-                columns, ["node", "id", "doc", "fingerprint", "size", "cells", "keys"]
+                columns, ["node", "id", "doc", "fingerprint", "size", "cells", "signs", "keys"]
             )
 
     id_type = rows.schema["id"].dataType.simpleString()
     numbered = rows.withColumn("node", F.monotonically_increasing_id())
-    schema = f"node long, id {id_type}, doc string, fingerprint long, size long, cells binary, keys array<long>"
+    schema = f"node long, id {id_type}, doc string, fingerprint long, size long, "
+    schema += "cells binary, signs array<long>, keys array<long>"
     return step(numbered.mapInArrow(per_batch, schema))
 
 
@@ -188,19 +202,47 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _shared(nodes: DataFrame, similarity: float) -> DataFrame:
-    """``(key, node, size, centre, centre_size)`` of shingles that several documents offer."""
-    offered = nodes.select("node", "size", F.explode("keys").alias("key"))
+    """``(key, node, size, place, centre, centre_size)`` of shingles that several documents offer; ``place``
+    tells how many of the document's shingles come before."""
+    offered = nodes.select("node", "size", F.posexplode("keys").alias("place", "key"))
     per_key = W.partitionBy("key")
     centre = F.min(F.struct(F.xxhash64("key", "node"), "node", "size")).over(per_key)
     met = offered.withColumn("n", F.count(F.lit(1)).over(per_key)).withColumn("centre", centre)
     return step(
         met.filter("n > 1").select(
-            "key", "node", "size", F.col("centre.node").alias("centre"),
+            "key", "node", "size", "place", F.col("centre.node").alias("centre"),
             F.col("centre.size").alias("centre_size"),
         )
     )
 
 
+def _open_pairs(apart: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: documents of one shingle with different roots whose places and signs allow the similarity.
+
+    ``apart`` has ``key``, ``node``, ``size``, ``place`` and ``root``.
+    """
+    signs = only_with(nodes.select("node", "signs"), apart.select("node").distinct(), "node")
+    signs = signs.select("node", *[F.col("signs")[i].alias(f"sign{i}") for i in range(_SIGNS)])
+    signed = step(apart.join(signs, "node"))
+    other = signed.select([F.col(c).alias(f"{c}_2") for c in signed.columns])
+    both = F.col("size") + F.col("size_2")
+    # Of two sets the smaller one, which has the least behind its place, meets the larger one early.
+    most = F.lit(similarity / (1 + similarity))
+    smaller = signed.filter(F.col("size") - F.col("place") >= 2 * F.col("size") * most - F.lit(1e-6))
+    common = F.least(F.col("size") - F.col("place"), F.col("size_2") - F.col("place_2"))
+    differ = sum(
+        (F.bit_count(F.col(f"sign{i}").bitwiseXOR(F.col(f"sign{i}_2"))) for i in range(_SIGNS)), F.lit(0)
+    )
+    met = smaller.join(
+        other,
+        (F.col("key") == F.col("key_2")) & (F.col("root") != F.col("root_2"))
+        & (F.struct("size", "node") < F.struct("size_2", "node_2")) & _sizes_fit("size", "size_2", similarity)
+        & (common >= both * most - F.lit(1e-6))
+        & (differ * (1 + similarity) <= both * (1 - similarity) + F.lit(1e-6)),
+    )
+    return met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"))
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose counts per cell are no further apart than similar sets allow."""
 
@@ -310,19 +352,13 @@ def near_copies(
     )
     roots = connected_components(links)
 
-    apart = shared.select("key", "node", "size").join(roots, "node", "left")
+    apart = shared.select("key", "node", "size", "place").join(roots, "node", "left")
     apart = apart.withColumn("root", F.coalesce("root", "node"))
     mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    apart = step(apart.join(mixed.filter("low < high").select("key"), "key", "left_semi"))
-    left = apart.select("key", F.col("node").alias("a"), F.col("size").alias("s"), F.col("root").alias("r"))
-    right = apart.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("size").alias("t"), F.col("root").alias("q"))
-    open_pairs = left.join(
-        right,
-        (F.col("key") == F.col("k")) & (F.col("r") != F.col("q")) & (F.col("a") < F.col("b"))
-        & _sizes_fit("s", "t", similarity),
-    )
+    apart = apart.join(mixed.filter("low < high").select("key"), "key", "left_semi")
+    open_pairs = _open_pairs(step(apart), nodes, similarity)
     known = first.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    third = open_pairs.select("a", "b").unionByName(_apart(near, roots)).distinct()
+    third = open_pairs.unionByName(_apart(near, roots)).distinct()
     third = step(third.join(known, ["a", "b"], "left_anti"))
     links = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(
         _verified(third, nodes, rows, shingle, similarity)

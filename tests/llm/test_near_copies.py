@@ -136,3 +136,35 @@ def test_fingerprints_give_candidates(spark, docs, groups, monkeypatch):
     monkeypatch.setattr(near_copies, "_shared", lambda *given: shared(*given).limit(0))
     assert members() == linked(near_copies.BITS)
     assert len(wanted) < len(linked(near_copies.BITS)) < len(texts)
+
+
+def test_signs_leave_out_no_similar_sets():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 64, int(rng.integers(1, 3000)), np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 64, 3, np.uint64)]))
+        pairs = zip(near_copies._signs(a), near_copies._signs(b))
+        bits = sum(((x ^ y) % (1 << 64)).bit_count() for x, y in pairs)
+        assert bits <= len(np.setxor1d(a, b))
+
+
+def test_passage_of_many_documents_makes_few_pairs(spark, docs, groups, monkeypatch):
+    """Documents that have most words in common, yet are no near copies, are not all compared."""
+    rng, base, texts = random.Random(5), [f"w{i}" for i in range(150)], {}
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), 2 + i % 4):
+            words[at] = f"x{rng.randrange(10**9)}"
+        texts[i] = " ".join(words)
+    judged, verified = [], near_copies._verified
+
+    def counted(pairs, *given):
+        judged.append(pairs.count())
+        return verified(pairs, *given)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    found = near_copies.deduplicate(docs(*texts.items()))
+    wanted = brute_first(texts, groups)
+    assert {r.doc_id for r in found.collect()} == wanted
+    assert len(wanted) > 100
+    assert judged[-1] < 10 * len(texts)
