@@ -57,6 +57,20 @@ def test_checkpoints_and_damage():
         rans.encode(np.array([900]), table)
 
 
+def test_blocks_of_other_lanes_are_read(monkeypatch):
+    """Files say how many lanes they have; checkpoints stay where they were."""
+    rng = np.random.default_rng(7)
+    symbols = rng.integers(0, 900, 200_001).astype(np.uint16)
+    table = rans.Table(np.arange(900), np.bincount(symbols))
+    for lanes in (512, 1024):
+        with monkeypatch.context() as patched:
+            patched.setattr(rans, "LANES", lanes)
+            block = rans.encode(symbols, table)
+        assert rans.checkpoints(block, table) == 4
+        assert (rans.decode(block, table) == symbols).all()
+        assert (rans.decode(block, table, 1, 3) == symbols[1 << 16 : 3 << 16]).all()
+
+
 def test_edge_cases(spark, docs, tmp_path):
     frame = docs((5, None), (5, ""), (None, "no id"), (9, "same"), (9, "same"), (-3, "long word " * 40_000))
     token_files.write_token_files(frame, f"{tmp_path}/a", PATH, 2, block=100)
