@@ -144,6 +144,21 @@ def test_prefix_counts_without_broadcast(catalog, spark, monkeypatch):
     assert counts == {"/hot/": 300, "/hot/1": 111, "/": 301}
 
 
+def test_prefixes_are_computed_once(catalog, spark):
+    """A table of prefixes is measured, sampled and shuffled, but worked out once."""
+    tree, seen = catalog("/a/b", "/a/c", "/d"), spark.sparkContext.accumulator(0)
+
+    def noted(prefix):
+        seen.add(1)
+        return prefix
+
+    asked = spark.createDataFrame([("/a",), ("/x",), (None,)], "p string")
+    asked = asked.select(F.udf(noted, "string")("p").alias("prefix"))
+    found = {r.prefix: r["count"] for r in stats.prefix_counts(tree, asked, 0).collect()}
+    assert found == {"/a": 2, "/x": 0, None: 0}
+    assert seen.value == 3
+
+
 @pytest.mark.parametrize("broadcast_bytes", [32 << 20, 1])
 def test_prefix_counts_equal_brute_force(spark, broadcast_bytes):
     rng = random.Random(8)
