@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.llm.common import doc_key, only_with, packed, step, unpacked
+from shelfmark.llm.common import doc_key, only_with, packed, portions, step, unpacked
 from shelfmark.plans.sizing import join_hot_keys
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -110,7 +110,7 @@ def text_likelihoods(
         return total * TEMPER
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = [t.as_py() for t in batch["text"]]
             found = np.array([likelihood(t) for t in texts]).reshape(len(texts), -1)
             found = found.reshape(len(texts), model.shape[1])

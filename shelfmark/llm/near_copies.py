@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from shelfmark.llm import simhash
-from shelfmark.llm.common import doc_key, only_with, packed, step, unpacked
+from shelfmark.llm.common import doc_key, only_with, packed, portions, step, unpacked
 from shelfmark.llm.components import connected_components
 from shelfmark.plans.sizing import broadcast_if_small, join_hot_keys
 
@@ -141,7 +141,7 @@ def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
         return found[:many].view(np.int64)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             prints, sets = [], []
             for text in batch["text"]:
                 found = _hashes(text.as_py(), shingle)

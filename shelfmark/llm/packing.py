@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfmark.llm.common import step
+from shelfmark.llm.common import portions, step
 from shelfmark.llm.tokens import encoder
 
 #: Tokens of a sequence.
@@ -78,7 +78,7 @@ def pieces(
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in portions(batches):
             place, number, ids = [], [], []
             for i, text in enumerate(batch["text"]):
                 tokens = encode(text.as_py()) + end

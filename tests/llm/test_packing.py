@@ -2,9 +2,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
-from shelfmark.llm import packing
+from shelfmark.llm import near_copies, packing
+from shelfmark.llm.common import PORTION, portions
 from shelfmark.llm.queries import QUERIES
 from shelfmark.llm.tokens import Encoder, public_path
 
@@ -77,3 +80,30 @@ def test_word_by_word_equals_whole_texts():
         for text in odd:
             ids = plain.encode(text or "", add_special_tokens=False).ids
             assert encode(text) == np.array(ids, "<u4").tobytes()
+
+
+def test_portions_hold_all_rows_in_order():
+    texts = ["abc", None, "", "é" * 50, "x" * 8, "y", None, "z" * 3, "w" * 30]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(9)), "text": pa.array(texts, pa.string())})
+    parts = list(portions(iter([batch, batch.slice(3, 4), batch.slice(0, 0)]), 10))
+    assert [r for p in parts for r in p.to_pylist()] == [*batch.to_pylist(), *batch.slice(3, 4).to_pylist()]
+    assert [p.num_rows for p in parts] == [4, 1, 4, 1, 3, 0]
+
+
+@pytest.mark.parametrize("stage", ["pieces", "prefixes"])
+def test_a_batch_of_many_texts_leaves_in_portions(docs, monkeypatch, stage):
+    frame, taken = docs("a"), []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema: taken.append(f) or self)
+    for module in (packing, near_copies):
+        monkeypatch.setattr(module, "step", lambda df: df)
+    monkeypatch.setattr(near_copies, "_frequent", lambda *a: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    if stage == "pieces":
+        packing.pieces(frame, PATH, 1)
+    else:
+        near_copies._prefixes(near_copies._rows(frame, "doc_id", "text"), 5, 0.8)
+    numbers = pa.array(range(900))
+    columns = {"id": numbers, "row": numbers, "node": numbers, "doc": numbers.cast(pa.string())}
+    batch = pa.RecordBatch.from_pydict(columns | {"text": ["some words " * 1500] * 900})
+    out = list(taken[0](iter([batch])))
+    assert [i for b in out for i in dict.fromkeys(b["id"].to_pylist())] == list(range(900))
+    assert len(out) == -(-len("some words ") * 1500 * 900 // PORTION)
