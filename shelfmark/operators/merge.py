@@ -12,11 +12,17 @@ from shelfmark.plans.storage import reliable
 from shelfmark.schema import CATALOG_COLUMNS, catalog_from_manifest
 
 
-def latest_per_path(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """The last row of every path by ``order``; the other columns break ties."""
+def latest_per_path(
+    rows: DataFrame, order: list[str], columns: list[str], counted: str | None = None
+) -> DataFrame:
+    """The last row of every path by ``order``; the other columns break ties. ``counted`` is a column
+    for the number of its rows."""
     others = [c for c in columns if c != "path" and c not in order]
     last = F.max(F.struct(*order, *others)).alias("last")
-    return rows.groupBy("path").agg(last).select("path", "last.*").select(*columns)
+    if counted is None:
+        return rows.groupBy("path").agg(last).select("path", "last.*").select(*columns)
+    found = rows.groupBy("path").agg(last, F.count(F.lit(1)).alias(counted))
+    return found.select("path", "last.*", counted).select(*columns, counted)
 
 
 def replace_paths(catalog: DataFrame, gone: DataFrame, added: DataFrame) -> DataFrame:

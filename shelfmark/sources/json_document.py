@@ -12,6 +12,10 @@ their names, are one document; all but the last must end with a newline, as Spar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F
 
 from shelfmark.plans.storage import reliable
@@ -22,7 +26,13 @@ FILE_SCHEMA = (
 )
 HEAD_SCHEMA = "version string, created_at string, file_count long"
 
-ORDER = ["file", "block", "place"]
+STATE_SCHEMA = (
+    "file string, block long, place long, file_size long, value string, odd long, after_brace boolean, "
+    "turned long, change0 long, depth0 long, change1 long, depth1 long, ends_block boolean"
+)
+
+#: The order of pieces: blocks are numbered through all files.
+ORDER = ["nth", "place"]
 FILES_DEPTH = 2
 FIRST_FILE = r'"files"\s*:\s*\['
 
@@ -43,36 +53,78 @@ def split_document(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _count(text: Column, sign: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(sign), F.lit("")))
+
+
 def _depth_change(text: Column) -> Column:
-    """Opened less closed braces and brackets outside strings; the text begins outside."""
-    plain = F.regexp_replace(text, r'"[^"]*("|\z)', "")
-    opened = F.replace(F.replace(plain, F.lit("{"), F.lit("")), F.lit("["), F.lit(""))
-    closed = F.replace(plain, F.lit("]"), F.lit(""))
-    return F.char_length(closed) - F.char_length(opened)
+    """Opened less closed braces and brackets; a piece has no closing brace."""
+    return _count(text, "{") + _count(text, "[") - _count(text, "]")
 
 
 def _for_both_beginnings(pieces: DataFrame) -> DataFrame:
     """The state before each piece, if its block begins outside a string (0) and inside one (1)."""
     # A closing brace cannot be escaped, so no piece begins after half an escape.
     bare = F.regexp_replace("value", r"(?s)\\.", "")
-    quotes = F.char_length(bare) - F.char_length(F.replace(bare, F.lit('"'), F.lit("")))
-    block = W.partitionBy("file", "block").orderBy("place")
+    outside = _depth_change(F.regexp_replace(bare, r'"[^"]*+"?', ""))
     read = pieces.select(
         "*",
-        F.pmod(quotes, F.lit(2)).alias("odd"),
-        _depth_change(bare).alias("if_outside"),
-        _depth_change(F.concat(F.lit('"'), bare)).alias("if_inside"),
-        ((F.row_number().over(block) > 1) | (F.col("block") > 0)).alias("after_brace"),
-        F.lead("place").over(block).isNull().alias("ends_block"),
-    ).withColumn("turned", F.pmod(F.sum("odd").over(block) - F.col("odd"), F.lit(2)))
-    for start in (0, 1):
-        inside = F.col("turned") != start
-        closes = F.when(F.col("after_brace") & ~inside, 1).otherwise(0)
-        change = F.when(inside, F.col("if_inside")).otherwise(F.col("if_outside")) - closes
-        read = read.withColumn(f"change{start}", change).withColumn(
-            f"depth{start}", F.sum(f"change{start}").over(block) - F.col(f"change{start}") - closes
+        F.pmod(_count(bare, '"'), F.lit(2)).alias("odd"),
+        outside.alias("if_outside"),
+        # What is in a string for the one beginning is outside for the other.
+        (_depth_change(bare) - outside).alias("if_inside"),
+    )
+    return read.mapInArrow(_running, STATE_SCHEMA)
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Running sums over each block. A task reads whole blocks, every one in order, so nothing is shuffled,
+    and no more than two batches are held at once."""
+    key, carried, held = None, {}, None
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        files = batch["file"].dictionary_encode()
+        which, block = files.indices.to_numpy(), batch["block"].to_numpy()
+        names = files.dictionary.to_pylist()
+        begins = np.empty(n, bool)
+        begins[0] = key != (names[which[0]], block[0])
+        begins[1:] = (which[1:] != which[:-1]) | (block[1:] != block[:-1])
+        key = (names[which[-1]], block[-1])
+        first = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+        goes_on = ~np.logical_or.accumulate(begins)
+
+        def before(name: str, values: np.ndarray) -> np.ndarray:
+            total = np.cumsum(values) - values
+            found = total - total[first] + np.where(goes_on, carried.get(name, 0), 0)
+            carried[name] = found[-1] + values[-1]
+            return found
+
+        odd, if_outside, if_inside = (
+            batch[c].to_numpy().astype(np.int64) for c in ("odd", "if_outside", "if_inside")
         )
-    return read.drop("if_outside", "if_inside")
+        after_brace = ~begins | (block > 0)
+        turned = before("odd", odd) % 2
+        columns = [*(batch[c] for c in ("file", "block", "place", "file_size", "value")), odd, after_brace, turned]
+        for start in (0, 1):
+            inside = turned != start
+            closes = (after_brace & ~inside).astype(np.int64)
+            change = np.where(inside, if_inside, if_outside) - closes
+            columns += [change, before(f"change{start}", change) - closes]
+        if held is not None:
+            yield _with_ends(*held, begins[0])
+        held = (columns, begins)
+    if held is not None:
+        yield _with_ends(*held, True)
+
+
+def _with_ends(columns: list, begins: np.ndarray, ends_last: bool) -> pa.RecordBatch:
+    """A row ends its block if the next one begins one."""
+    ends = np.append(begins[1:], ends_last)
+    names = [column.split()[0] for column in STATE_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in [*columns, ends]], names)
 
 
 def _starts(read: DataFrame) -> DataFrame:
@@ -85,7 +137,7 @@ def _starts(read: DataFrame) -> DataFrame:
     turned = blocks.withColumn("starts", F.pmod(F.sum("odd").over(ordered) - F.col("odd"), F.lit(2)))
     change = F.when(F.col("starts") == 0, F.col("change0")).otherwise(F.col("change1"))
     return turned.withColumn("change", change).select(
-        "file", "block", "starts", (F.sum("change").over(ordered) - F.col("change")).alias("start_depth"),
+        "file", "block", F.row_number().over(ordered).alias("nth"), "starts", (F.sum("change").over(ordered) - F.col("change")).alias("start_depth"),
         F.pmod(F.col("starts") + F.col("odd"), F.lit(2)).alias("ends"),
         F.sum("change").over(ordered).alias("end_depth"),
         (F.sum("bytes").over(W.partitionBy("file")) - F.col("file_size")).alias("excess"),
@@ -95,17 +147,17 @@ def _starts(read: DataFrame) -> DataFrame:
 def _groups(rest: DataFrame) -> DataFrame:
     """Pieces joined from one that begins outside strings and entries up to the next such."""
     own = F.when(F.col("begins"), F.struct(*ORDER))
-    block = W.partitionBy("file", "block").orderBy("place")
+    block = W.partitionBy("nth").orderBy("place")
     marked = rest.withColumn("own", own).withColumn(
         "near", F.last("own", ignorenulls=True).over(block)
     )
-    earlier = W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)
-    carried = marked.groupBy("file", "block").agg(F.max("own").alias("newest")).select(
-        "file", "block", F.last("newest", ignorenulls=True).over(earlier).alias("far")
+    earlier = W.orderBy("nth").rowsBetween(W.unboundedPreceding, -1)
+    carried = marked.groupBy("nth").agg(F.max("own").alias("newest")).select(
+        "nth", F.last("newest", ignorenulls=True).over(earlier).alias("far")
     )
     brace = F.when(F.col("after_brace") & ~F.col("begins"), F.lit("}")).otherwise(F.lit(""))
     return (
-        marked.join(F.broadcast(carried), ["file", "block"])
+        marked.join(F.broadcast(carried), "nth")
         .withColumn("text", F.concat(brace, "value"))
         .groupBy(F.coalesce("near", "far").alias("own"))
         .agg(
@@ -127,7 +179,7 @@ def read_document(spark: SparkSession, path: str) -> tuple[Row | None, DataFrame
     """
     read = reliable(_for_both_beginnings(split_document(spark, path)))
     starts = reliable(_starts(read))
-    end = starts.orderBy(F.desc("file"), F.desc("block")).first()
+    end = starts.orderBy(F.desc("nth")).first()
     # A brace that ends the file has no piece after it. Where pieces and one byte after each are more
     # than the file, there is no such brace; of a compressed file the length is not known.
     open_end = end is not None and end.end_depth == 1 and end.excess != 1

@@ -17,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from shelfmark.operators.merge import latest_per_path
+from shelfmark.plans.storage import reliable
 from shelfmark.schema import CATALOG_COLUMNS, CATALOG_SCHEMA
 from shelfmark.sources.json_document import ORDER, read_document
 
@@ -202,8 +203,13 @@ def import_json(spark: SparkSession, path: str) -> DataFrame:
     the later stays. An entry without a path, or another number of entries than recorded, is an error.
     """
     head, entries = read_document(spark, path)
-    totals = entries.agg(F.count(F.lit(1)).alias("entries"), F.count("path").alias("named")).first()
+    # The entries are read once: what is counted is kept.
+    latest = reliable(latest_per_path(entries, ORDER, CATALOG_COLUMNS + ORDER, "n").drop(*ORDER))
+    totals = latest.select(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("entries"),
+        F.coalesce(F.sum(F.when(F.col("path").isNotNull(), F.col("n"))), F.lit(0)).alias("named"),
+    ).first()
     _check_head(head, totals.entries, path)
     if totals.named != totals.entries:
         raise ValueError(f"{totals.entries - totals.named} entries cannot be read: {path}")
-    return latest_per_path(entries, ORDER, CATALOG_COLUMNS + ORDER).drop(*ORDER)
+    return latest.drop("n")

@@ -1,6 +1,7 @@
 import gzip
 import json
 import random
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -271,6 +272,32 @@ def test_import_json(spark, tmp_path, separators):
         snapshot.import_json(spark, str(plain))
 
 
+def test_pieces_of_a_document_are_neither_shuffled_nor_held(spark, tmp_path, capsys):
+    for number in range(3):
+        entries = [{"path": "/}\\\"" * (i % 2), "name": "\"{[" * (i % 3), "size": i} for i in range(40)]
+        (tmp_path / f"part-{number}").write_text(json.dumps(entries) + "\n")
+    read = json_document._for_both_beginnings(json_document.split_document(spark, str(tmp_path)))
+    read.explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+    wanted = sorted(tuple(r) for r in read.collect())
+    assert sum(r[-1] for r in wanted) == len({r[:2] for r in wanted})
+    for rows in (1, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            assert sorted(tuple(r) for r in read.select("*").collect()) == wanted
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # Both beginnings, counted by hand: pieces of a file in order.
+    for number in range(3):
+        file = [r for r in wanted if r[0].endswith(f"part-{number}")]
+        quotes = 0
+        for r in sorted(file, key=lambda r: r[2]):
+            assert r[7] == quotes % 2
+            quotes += re.sub(r"(?s)\\.", "", r[4]).count('"')
+
+
+
 def test_import_json_is_read_in_parallel(spark, tmp_path):
     file = tmp_path / "s.json"
     file.write_text(document([f"{i}.txt" for i in range(20_000)]))
