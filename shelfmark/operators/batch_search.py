@@ -412,7 +412,7 @@ def _filters_only(files: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     )
     asked = wanted.withColumn("group", F.explode(groups)).withColumn("place", F.explode(F.expr(size_cells())))
     celled = _with_asked_cells(files.filter(~F.col("is_dir")), asked.select("place"))
-    per_extension = first_k_per(celled, ["extension", "place"], ["path"], k, "n").drop("n")
+    per_extension = first_k_per(celled, ["extension", "place"], ["path"], k, "n", much_alike=True).drop("n")
     per_cell = first_k_per(per_extension, ["place"], ["path"], k, "n").drop("n")
     best = per_extension.withColumn("group", F.col("extension")).unionByName(
         per_cell.withColumn("group", F.lit(ANY_EXTENSION))

@@ -12,6 +12,7 @@ from shelfmark.operators.batch_search import search_many, size_cells
 from shelfmark.operators.fuzzy_join import close_pairs, fuzzy_join
 from shelfmark.operators.query_table import parse_queries, validate_queries
 from shelfmark.operators.search import SearchSpec
+from shelfmark.plans.sizing import first_k_per
 from tests.conftest import names, paths
 
 
@@ -409,6 +410,20 @@ def test_search_many_with_nothing_to_do(spark, many_files):
     assert search_many(many_files.limit(0), parsed(spark, MANY_TEXTS), 5).count() == 0
 
 
+def test_first_rows_of_much_alike_groups(spark, capsys):
+    """A number in front of the keys spares comparisons and changes no row."""
+    rows = [((None, ".a", ".b")[i % 3], (i % 5, i % 2), f"/{(i * 7919) % 400}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "extension string, place struct<level: int, cell: long>, path string")
+    plain, numbered = (
+        first_k_per(df, ["extension", "place"], ["path"], 4, "n", much_alike=a) for a in (False, True)
+    )
+    shown = lambda found: sorted((r.extension or "", r.place, r.path, r.n) for r in found.collect())
+    assert shown(numbered) == shown(plain) and plain.count() == 30 * 4
+    numbered.explain()
+    assert "xxhash64(extension" in capsys.readouterr().out
+
+
+
 def test_search_many_with_many_size_ranges(spark, many_files):
     texts = [f"size:>={n} size:<={n * 3}" for n in range(1, 40)] + [f"config size:>{n}" for n in range(9)]
     texts += [f"/home/u{n} size:<{n * 300}" for n in range(7)] + ["config size:<2KB", "config size:>=1KB", "config size:>1KB"]
